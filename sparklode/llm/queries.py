@@ -3,26 +3,42 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparklode.llm import mixing, quality_rules
+from sparklode.llm import jaccard, mixing, pii, quality_rules, secrets
 from sparklode.llm.store import table
 
 
+def op3_pii_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.scanned(table(spark, sf_dir, "documents")))
+
+
 def op5_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.allocated(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.grouped(table(spark, sf_dir, "documents"), n=3, similarity=Fraction(9, 10))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scanned(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_pii_field": op3_pii_field,
         "op5_pareto_mix": op5_pareto_mix,
+        "op8_jaccard_join": op8_jaccard_join,
         "op9_quality_rules": op9_quality_rules,
+        "op10_secret_scan": op10_secret_scan,
     }
 
 
