@@ -8,10 +8,19 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparklode.llm import jaccard, mixing, pii, quality_rules, secrets
+from sparklode.llm import jaccard, mainhtml, mixing, pieces, pii, quality_model, quality_rules, secrets
 from sparklode.llm.store import table
 
 
+def op1_shared_prefix_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encoded(table(spark, sf_dir, "documents"))
+
+
+def op2_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_model.scored(docs, quality_model.fitted(docs, table(spark, sf_dir, "labels")))
+
+
 def op3_pii_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.scanned(table(spark, sf_dir, "documents")))
 
@@ -20,6 +29,10 @@ def op5_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.allocated(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_cut_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mainhtml.extracted(table(spark, sf_dir, "pages"))
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.grouped(table(spark, sf_dir, "documents"), n=3, similarity=Fraction(9, 10))
 
@@ -34,8 +47,11 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_shared_prefix_pieces": op1_shared_prefix_pieces,
+        "op2_ordinal_quality": op2_ordinal_quality,
         "op3_pii_field": op3_pii_field,
         "op5_pareto_mix": op5_pareto_mix,
+        "op7_cut_main_text": op7_cut_main_text,
         "op8_jaccard_join": op8_jaccard_join,
         "op9_quality_rules": op9_quality_rules,
         "op10_secret_scan": op10_secret_scan,
