@@ -178,11 +178,11 @@ def labelled_table(rows: int = 3000, seed: int = 11) -> tuple[np.ndarray, np.nda
     for i in range(rows):
         content = i % 2 == 0
         y[i] = content
-        put(i, "article", 0.75 if content else 0.25)
-        put(i, "main", 0.5 if content else 0.2)
+        put(i, "article", 0.8 if content else 0.08)
+        put(i, "main", 0.5 if content else 0.1)
         put(i, "long", 0.5 if content else 0.1)
         put(i, "sentence", 0.85 if content else 0.15)
-        put(i, "short", 0.15 if content else 0.5)
+        put(i, "short", 0.25 if content else 0.4)
         put(i, "linked", 0.02 if content else 0.4)
         put(i, "heading", 0.1 if content else 0.05)
         put(i, "item", 0.1 if content else 0.3)
