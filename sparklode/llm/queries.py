@@ -8,7 +8,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparklode.llm import jaccard, mainhtml, mixing, pieces, pii, quality_model, quality_rules, secrets
+from sparklode.llm import jaccard, mainhtml, mixing, neighbours, pieces, pii, quality_model, quality_rules, secrets
 from sparklode.llm.store import table
 
 
@@ -25,6 +25,10 @@ def op3_pii_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.scanned(table(spark, sf_dir, "documents")))
 
 
+def op4_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.searched(table(spark, sf_dir, "embeddings"))
+
+
 def op5_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.allocated(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -50,6 +54,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_shared_prefix_pieces": op1_shared_prefix_pieces,
         "op2_ordinal_quality": op2_ordinal_quality,
         "op3_pii_field": op3_pii_field,
+        "op4_adaptive_scan": op4_adaptive_scan,
         "op5_pareto_mix": op5_pareto_mix,
         "op7_cut_main_text": op7_cut_main_text,
         "op8_jaccard_join": op8_jaccard_join,
