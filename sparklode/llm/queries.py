@@ -8,7 +8,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparklode.llm import jaccard, mainhtml, mixing, neighbours, pieces, pii, quality_model, quality_rules, secrets
+from sparklode.llm import jaccard, mainhtml, mixing, neighbours, pieces, pii, quality_model, quality_rules, repeats, secrets
 from sparklode.llm.store import table
 
 
@@ -33,6 +33,10 @@ def op5_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.allocated(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_merged_transforms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digest(repeats.cleaned(table(spark, sf_dir, "documents")))
+
+
 def op7_cut_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mainhtml.extracted(table(spark, sf_dir, "pages"))
 
@@ -56,6 +60,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_pii_field": op3_pii_field,
         "op4_adaptive_scan": op4_adaptive_scan,
         "op5_pareto_mix": op5_pareto_mix,
+        "op6_merged_transforms": op6_merged_transforms,
         "op7_cut_main_text": op7_cut_main_text,
         "op8_jaccard_join": op8_jaccard_join,
         "op9_quality_rules": op9_quality_rules,
