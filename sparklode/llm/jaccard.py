@@ -10,7 +10,7 @@ The n-grams of all documents have one global order, that of their 64-bit hashes.
 
 Documents with equal sets are one class from the start, and classes stand for their members. A bucket of documents with an equal
 fragment is compared with its first document before anything else; what that joins needs no further pairs, and only documents of
-one bucket that are still in different components are compared with each other. So a group of n copies costs about n pairs, not n * n,
+one bucket that are still in different components are compared with each other, large buckets block by block. So a group of n copies costs about n pairs, not n * n,
 and no link between different texts is lost: two linked documents always share a bucket, and end in one component or are compared.
 
 Defined results: a null, empty or blank text has an empty set and links with nothing, not even another such; with fewer words
@@ -25,19 +25,23 @@ from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparklode.llm.bits import bit_table, maybe_in
 from sparklode.llm.store import materialize
 from sparklode.llm.textkernel import U64, mix, shingles, utf8
 
 #: Fragments of the global order in which partial overlaps are counted.
 WIDE = 4
-#: Fragments a similar pair has in common at least, less one: as many of a document's may be empty and give no bucket.
-SPARE = 2
+#: As many fragments of a document may be empty and give no bucket; of the others a similar pair has at least SHARED in common.
+EMPTY, SHARED = 2, 4
+SPARE = EMPTY + SHARED - 1
+#: Buckets up to this size are compared pair by pair in Spark; larger ones in blocks of at most BLOCK documents.
+SMALL, BLOCK = 24, 512
 ROWS = 1024
-BITS = 1 << 24
 
 
 def bounds(t: Fraction, most: int) -> np.ndarray:
@@ -47,7 +51,7 @@ def bounds(t: Fraction, most: int) -> np.ndarray:
 
 
 def fragments(k: int, t: Fraction) -> int:
-    """Fragments for documents that meet in class k: more than a similar pair of them can differ in, by one and SPARE."""
+    """Fragments for documents that meet in class k: more than a similar pair of them can differ in, by SHARED and EMPTY."""
     most = math.floor(float(1 / t) ** (2 * k + 2) * (1 + 1e-9))
     return math.floor(2 * most * (1 - t) / (1 + t)) + 1 + SPARE
 
@@ -75,7 +79,7 @@ def signatures(x: np.ndarray, t: Fraction) -> list[np.ndarray]:
         first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
         used = part[first]
         out.append(mix(np.add.reduceat(whole, first) + mix(used.astype(U64) + U64(c) * U64(1 << 40))))
-        if count - len(used) > SPARE:
+        if count - len(used) > EMPTY:
             missing = np.setdiff1d(np.arange(count), used, assume_unique=True)
             out.append(mix(mix(missing.astype(U64) + U64(c) * U64(1 << 40)) + U64(1)))
     return out
@@ -104,33 +108,8 @@ def fingerprints(docs: DataFrame, n: int, t: Fraction, id_col: str, text_col: st
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, sigs array<long>")
 
 
-def _bit(ids: np.ndarray) -> np.ndarray:
-    return (mix(ids.astype(np.int64).view(U64)) & U64(BITS - 1)).astype(np.int64)
-
-
-def wanted_bits(ids: DataFrame) -> np.ndarray:
-    """A bit table of fixed size (BITS) of the ids: a row whose bit is off isn't among them. It only spares rows an exchange."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(_bit(b.column(0).to_numpy(zero_copy_only=False)))], ["bit"])
-
-    words = ids.mapInArrow(run, "bit long").groupBy(F.shiftright("bit", 6).cast("int").alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("bit") % 64).cast("int"))).alias("word")).toPandas()
-    out = np.zeros(BITS // 64, np.int64)
-    out[words["at"].to_numpy()] = words["word"].to_numpy()
-    return np.unpackbits(out.view(np.uint8), bitorder="little").view(bool)
-
-
 def sets(docs: DataFrame, wanted: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
     """(rep, g0, g1, ...) for the wanted ids: the sorted shingle hashes of the text in each of the WIDE fragments of the order."""
-    bits = docs.sparkSession.sparkContext.broadcast(np.packbits(wanted_bits(wanted)))  # BITS / 8 bytes, whatever the input
-
-    def maybe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.unpackbits(bits.value).view(bool)
-        for b in batches:
-            ids = b.column(0).fill_null(0).to_numpy(zero_copy_only=False)
-            yield b.filter(pa.array(table[_bit(ids)]))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, ROWS):
@@ -143,7 +122,8 @@ def sets(docs: DataFrame, wanted: DataFrame, n: int, id_col: str, text_col: str)
                     columns.append(pa.ListArray.from_arrays(pa.array(off), pa.array(flat.view(np.int64))))
                 yield pa.RecordBatch.from_arrays(columns, ["rep", *(f"g{g}" for g in range(WIDE))])
 
-    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text")).mapInArrow(maybe, "rep long, text string").join(wanted, "rep", "left_semi")
+    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text"))
+    texts = maybe_in(texts, "rep", bit_table(wanted)).join(wanted, "rep", "left_semi")
     return texts.mapInArrow(run, "rep long, " + ", ".join(f"g{g} array<long>" for g in range(WIDE)))
 
 
@@ -158,6 +138,46 @@ def linked(pairs: DataFrame, parts: DataFrame, t: Fraction) -> DataFrame:
     return counted.filter(F.col("both") * t.denominator >= (F.col("na") + F.col("nb") - F.col("both")) * t.numerator).select("a", "b").distinct()
 
 
+def linked_in_blocks(rows: DataFrame, t: Fraction) -> DataFrame:
+    """Edges (a, b) that connect what is similar among the rows (k1, k2, k3, rep, g0, g1, ...) of each key; fewer edges than rows.
+
+    Overlaps of all pairs of a block are products of 0/1 matrices, one fragment of the order after another, and are summed.
+    """
+
+    def run(block: pd.DataFrame) -> pd.DataFrame:
+        block = block.drop_duplicates("rep")
+        n = len(block)
+        both, size = np.zeros((n, n), np.float32), np.zeros(n, np.int64)
+        for g in range(WIDE):
+            lists = [np.asarray(x, np.int64) for x in block[f"g{g}"]]
+            owner = np.repeat(np.arange(n), [len(x) for x in lists])
+            size += np.bincount(owner, minlength=n)
+            _, gram, count = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
+            common = np.flatnonzero(count > 1)
+            number = np.full(len(count), -1)
+            number[common] = np.arange(len(common))
+            column = number[gram]
+            for lo in range(0, len(common), 4096):
+                pick = (column >= lo) & (column < lo + 4096)
+                m = np.zeros((n, min(4096, len(common) - lo)), np.float32)
+                m[owner[pick], column[pick] - lo] = 1
+                both += m @ m.T
+        o = both.astype(np.int64)
+        near = o * t.denominator >= (size[:, None] + size[None] - o) * t.numerator
+        label = np.arange(n)
+        while True:
+            low = np.where(near, label[None], n).min(axis=1)
+            low = np.minimum(low, label)
+            if np.array_equal(low, label):
+                break
+            label = low
+        ids = block["rep"].to_numpy()
+        far = np.flatnonzero(label != np.arange(n))
+        return pd.DataFrame({"a": ids[label[far]], "b": ids[far]})
+
+    return rows.groupBy("k1", "k2", "k3").applyInPandas(run, "a long, b long").distinct()
+
+
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(v, c): the smallest node reachable from each node. Alternating large-star and small-star steps, each a table in the shared folder."""
     star = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct()
@@ -202,14 +222,20 @@ def grouped(docs: DataFrame, n: int = 3, similarity: Fraction = Fraction(9, 10),
     nodes = lead.select(F.col("rep").alias("v"))
     group = materialize(components(nodes, links).withColumnRenamed("v", "rep"), "jaccard-groups")
 
-    # Documents of one bucket that the first documents did not join: one row for each component of a bucket, and pairs across them.
+    # Documents of one bucket that are in different components still; buckets with the same documents are one.
     held = bucket.select("sig", "rep").join(group, "rep")
-    split = held.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("sig")
-    rest = held.join(split, "sig")
+    split = held.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("k"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("who")).filter("lo < hi")
+    few = split.filter(F.col("k") <= SMALL).select("sig")
+    many = split.filter(F.col("k") > SMALL).groupBy("k", "who").agg(F.min("sig").alias("sig")).select("sig", F.ceil(F.col("k") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    rest = held.join(few, "sig")
     left, right = rest.select("sig", F.col("rep").alias("a"), F.col("c").alias("ca")), rest.select("sig", F.col("rep").alias("b"), F.col("c").alias("cb"))
-    across = left.join(right, "sig").filter("ca < cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    across = left.join(right, "sig").filter("ca < cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).groupBy("a", "b").count().filter(F.col("count") >= SHARED).select("a", "b")
     across = materialize(near(across.join(first, ["a", "b"], "left_anti")), "jaccard-across")
     more = linked(across, parts, t)
+    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    dealt = bucket.select("sig", "rep").join(many, "sig").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select(F.col("sig").alias("k1"), F.least("own", "other").alias("k2"), F.greatest("own", "other").alias("k3"), "rep").distinct()
+    more = more.unionByName(linked_in_blocks(dealt.join(parts, "rep"), t))
     joins = more.join(group.select(F.col("rep").alias("a"), F.col("c").alias("ca")), "a").join(group.select(F.col("rep").alias("b"), F.col("c").alias("cb")), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
     final = components(group.select(F.col("c").alias("v")).distinct(), joins)
     comp = group.join(final.select(F.col("v").alias("c"), F.col("c").alias("component_id")), "c").select("rep", "component_id")
