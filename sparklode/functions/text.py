@@ -6,6 +6,7 @@ import json
 import re
 from datetime import datetime
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -75,8 +76,6 @@ def json_minified(s: Column) -> Column:
 
 def json_pretty(s: Column) -> Column:
     """Keys sorted, two spaces; NULL if it isn't JSON. Spark has no pretty printer, so this one is an Arrow function."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def pretty(x: pd.Series) -> pd.Series:
         def one(t):
@@ -188,8 +187,6 @@ def ipv4_number(s: Column) -> Column:
 
 def ip_struct(s: Column) -> Column:
     """(family, bytes) of any address, without its zone; ordered by bytes within a family. IPv6 has no built-in parser."""
-    import pandas as pd
-
     @F.pandas_udf("family int, bytes binary")
     def parse(x: pd.Series) -> pd.DataFrame:
         from ipaddress import ip_address
