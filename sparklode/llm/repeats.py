@@ -34,12 +34,12 @@ from pyspark.sql import functions as F
 
 from sparklode.llm.bits import bit_table, maybe_in
 from sparklode.llm.store import materialize
-from sparklode.llm.textkernel import U64, Rolling, ranges, utf8
+from sparklode.llm.textkernel import U64, Rolling, ranges, slices, utf8
 
 LENGTH = 400
 GRAM = 96
-#: Bytes of texts worked on at once, in the first pass and in a merge.
-CHUNK = 4 << 20
+#: Bytes of texts worked on at once, in the first pass and in a merge. Longer texts are worked on in parts that overlap by a passage.
+CHUNK = 1 << 20
 #: A phrase ends where the hash of the CUT bytes before is a multiple of EACH.
 CUT, EACH = 16, 32
 SHARDS = 4
@@ -93,26 +93,27 @@ def key_runs(raw: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int =
     return text[first], key[first], begin - off[text[first]], count, roll.spans(begin, begin + count - 1 + length), again
 
 
-def _slices(column: pa.Array, most: int = CHUNK) -> Iterator[tuple[int, int]]:
-    """Ranges of rows with about ``most`` bytes each."""
-    _, off = utf8(column)
-    a = 0
-    while a < len(column):
-        b = max(a + 1, int(np.searchsorted(off, off[a] + most, side="right")) - 1)
-        yield a, b
-        a = b
+def _parts(raw: np.ndarray, off: np.ndarray, length: int, gram: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """:func:`key_runs` of texts; of a long text part by part (a run that is cut in two only has its key twice)."""
+    if len(raw) <= 2 * CHUNK or len(off) > 2:
+        yield key_runs(raw, off, length, gram)
+        return
+    for at in range(0, len(raw) - length + 1, CHUNK):
+        part = raw[at : at + CHUNK + length - 1]
+        text, key, begin, *rest = key_runs(part, np.array([0, len(part)]), length, gram)
+        yield text, key, begin + at, *rest
 
 
 def runs(texts: DataFrame, length: int, gram: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo, hi in _slices(b.column(1)):
+            for lo, hi in slices(b.column(1), CHUNK):
                 part = b.slice(lo, hi - lo)
-                text, key, at, count, ph, again = key_runs(*utf8(part.column(1)), length, gram)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(text)), pa.array(key.view(np.int64)), pa.array(at.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(ph.view(np.int64)), pa.array(again)],
-                    ["doc_id", "key", "at", "n", "bytes", "again"],
-                )
+                for text, key, at, count, ph, again in _parts(*utf8(part.column(1)), length, gram):
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column(0).take(pa.array(text)), pa.array(key.view(np.int64)), pa.array(at.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(ph.view(np.int64)), pa.array(again)],
+                        ["doc_id", "key", "at", "n", "bytes", "again"],
+                    )
 
     return texts.mapInArrow(run, "doc_id long, key long, at int, n int, bytes long, again boolean")
 

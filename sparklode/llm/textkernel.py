@@ -6,6 +6,8 @@ White space is ``\\x20`` and ``\\x09-\\x0D``; these bytes never occur inside a m
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 
@@ -16,10 +18,10 @@ _POW: dict[int, np.ndarray] = {}
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """``base**i mod 2**64`` for i < n; grown by doubling and kept for the life of the process."""
+    """``base**i mod 2**64`` for i < n; kept for the life of the process."""
     p = _POW.get(base)
     if p is None or len(p) < n:
-        size = 1 << max(16, int(n).bit_length())
+        size = -(-n // (1 << 18)) << 18
         p = np.full(size, base, dtype=U64)
         p[0] = 1
         np.multiply.accumulate(p, out=p)
@@ -53,6 +55,16 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, off - off[0]
 
 
+def slices(column: pa.Array, most: int = 2 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with about ``most`` bytes each, so that what is worked on at once has a bound; a longer text is a range of its own."""
+    _, off = utf8(column)
+    a = 0
+    while a < len(column):
+        b = max(a + 1, int(np.searchsorted(off, off[a] + most, side="right")) - 1)
+        yield a, b
+        a = b
+
+
 def space(raw: np.ndarray) -> np.ndarray:
     return (raw == 32) | ((raw >= 9) & (raw <= 13))
 
