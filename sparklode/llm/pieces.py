@@ -27,10 +27,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparklode.llm.textkernel import Rolling, ranges, utf8
+from sparklode.llm.textkernel import Rolling, ranges, slices, utf8
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-ROWS = 4096
+#: Bytes of texts whose distinct words are one trie.
+CHUNK = 4 << 20
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
@@ -251,9 +252,6 @@ def decoded(ids: list[int] | np.ndarray, v: Vocabulary) -> str:
     return raw.tobytes().decode(errors="replace")[1:] if len(ids) else ""
 
 
-_ENCODERS: dict[int, Encoder] = {}
-
-
 def encoded(docs: DataFrame, vocabulary: Vocabulary | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids, round_trip) for every row; round_trip: the ids decode to the text."""
     held = docs.sparkSession.sparkContext.broadcast(vocabulary or read())
@@ -262,8 +260,8 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary | None = None, id_col: str =
         v = held.value
         encoder = Encoder(v)
         for b in batches:
-            for k in range(0, b.num_rows, ROWS):
-                part = b.slice(k, ROWS)
+            for lo, hi in slices(b.column(1), CHUNK):
+                part = b.slice(lo, hi - lo)
                 ids, off = encode_batch(part.column(1), encoder)
                 raw, ends = decode_batch(ids, off, v)
                 want, at = marked(part.column(1))
