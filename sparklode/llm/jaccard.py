@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from sparklode.llm.bits import bit_table, maybe_in
 from sparklode.llm.store import materialize
-from sparklode.llm.textkernel import U64, mix, shingles, utf8
+from sparklode.llm.textkernel import U64, mix, shingles, slices, utf8
 
 #: Fragments of the global order in which partial overlaps are counted.
 WIDE = 4
@@ -58,8 +58,8 @@ def fragments(k: int, t: Fraction) -> int:
 
 def _by_text(column: pa.Array, n: int) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text, a bounded number of texts at a time."""
-    for at in range(0, len(column), ROWS):
-        h, off = shingles(*utf8(column.slice(at, ROWS)), n)
+    for lo, hi in slices(column):
+        h, off = shingles(*utf8(column.slice(lo, hi - lo)), n)
         for i in range(len(off) - 1):
             x = np.sort(h[off[i] : off[i + 1]])
             yield x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) > 1 else x

@@ -4,8 +4,8 @@ The grade of a labelled document is 0 (poor), 1 (readable, but abusive) or 2 (go
 shared by all grades, and ordered thresholds cut its score: P(grade >= g) = sigmoid(score - cut[g]). The model gives the expected
 grade and the tail probability P(grade = 2), by which documents are selected.
 
-Features are marks, not counts, so that one telling word weighs the same in a long text as in a short one: hashed lower-case words,
-hashed word shapes binned by their share of the text, and the share of words equal to the one before.
+Features are marks, not counts, so that one telling word weighs the same in a long text as in a short one: hashed lower-case words and
+word beginnings, hashed word shapes binned by their share of the text, and the share of words equal to the one before.
 
 The fit reads a bounded sample of labelled rows (:data:`SAMPLE`, the smallest hashes of their ids); scoring reads every text, whole.
 
@@ -23,21 +23,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparklode.llm.textkernel import U64, Rolling, ascii_lower, mix, utf8, words
+from sparklode.llm.textkernel import U64, Rolling, ascii_lower, mix, slices, utf8, words
 
-#: Most labelled rows that the fit reads, width of the hashed space, and fewest documents of the sample a feature must be in.
+#: Most labelled rows that the fit reads, width of the hashed space, fewest documents of the sample a feature must be in, and how many
+#: standard errors its share must differ by between the grades below and above some threshold. Words that tell nothing have no weight.
 SAMPLE = 12_000
-WIDTH = 1 << 18
-LEAST_DOCS = 4
+WIDTH = 1 << 26
+LEAST_DOCS = 12
+#: As many bytes at the start of a word are features by themselves.
+STEMS = (4, 5, 6, 7)
+LEAST_ERRORS = 8.0
 #: Tail probability from which a document is kept.
 KEEP = 0.3
-ROWS = 2048
 GRADES = 3
 
 
 @dataclass
 class Model:
-    weights: np.ndarray  # float32[WIDTH]
+    ids: np.ndarray  # hashed features that have a weight, in order; some hundreds
+    weights: np.ndarray
     cuts: np.ndarray  # of grades 1, 2
     bias_only: bool = False
 
@@ -68,7 +72,6 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     start, end, by = words(raw, off)
     n_texts, count = len(off) - 1, np.diff(by)
     doc = np.repeat(np.arange(n_texts), count)
-    h = Rolling(ascii_lower(raw)).spans(start, end)
     shape = _shape(raw, start, end)
     # Punctuation at the end is no part of a word.
     trim = end.copy()
@@ -76,19 +79,21 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         last = raw[trim - 1] if len(trim) else trim
         cut = (trim - start > 1) & np.isin(last, np.frombuffer(b".,;:!?*$%&#", np.uint8))
         trim = trim - cut
-    word = Rolling(ascii_lower(raw)).spans(start, trim)
-    same = np.zeros(len(h), bool)
-    same[1:] = (h[1:] == h[:-1]) & (doc[1:] == doc[:-1])
+    roll = Rolling(ascii_lower(raw))
+    word = roll.spans(start, trim)
+    longs = [np.flatnonzero(trim - start >= n) for n in STEMS]
+    stems = [roll.spans(start[at], start[at] + n) ^ U64(1 << 42) for n, at in zip(STEMS, longs, strict=True)]
+    same = np.zeros(len(word), bool)
+    same[1:] = (word[1:] == word[:-1]) & (doc[1:] == doc[:-1])
     shares = np.zeros((n_texts, 129))
     np.add.at(shares, (doc, shape), 1)
     np.add.at(shares, (doc[same], 128), 1)
-    shares /= np.maximum(count, 1)[:, None]
+    shares /= (count + 10)[:, None]  # so that a few words don't make a style
     at, kind = np.nonzero(shares)
     level = np.minimum(np.ceil(shares[at, kind] * 8), 8).astype(np.int64)
-    length = np.minimum(np.log2(count + 1).astype(np.int64), 20)
-    code = np.concatenate([(kind * 16 + level).astype(U64) + U64(1 << 40), length.astype(U64) + U64(1 << 41)])
-    ids = np.concatenate([(mix(word) % U64(WIDTH)).astype(np.int64), (mix(code) % U64(WIDTH)).astype(np.int64)])
-    owner = np.concatenate([doc, at, np.arange(n_texts)])
+    code = (kind * 16 + level).astype(U64) + U64(1 << 40)
+    ids = (mix(np.concatenate([word, *stems, code])) % U64(WIDTH)).astype(np.int64)
+    owner = np.concatenate([doc, *(doc[k] for k in longs), at])
     key = np.unique(owner * WIDTH + ids)
     return key % WIDTH, np.searchsorted(key // WIDTH, np.arange(n_texts + 1))
 
@@ -101,29 +106,39 @@ def sample_rows(docs: DataFrame, labels: DataFrame, bound: int, id_col: str, tex
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(few), "doc_id").select("doc_id", "text", "grade")
 
 
-def fitted(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", steps: int = 250, rate: float = 0.15, ridge: float = 1e-5) -> Model:
+def fitted(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", steps: int = 500, rate: float = 0.2, ridge: float = 1e-5) -> Model:
     """Fit on the driver, from features that executors made of at most ``bound`` labelled rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k in range(0, b.num_rows, ROWS):
-                part = b.slice(k, ROWS)
+            for lo, hi in slices(b.column(1)):
+                part = b.slice(lo, hi - lo)
                 ids, off = features(part.column(1))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(ids.astype(np.int32))), part.column(2)], ["doc_id", "ids", "grade"])
 
     rows = sample_rows(docs, labels, bound, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>, grade int").toArrow().sort_by("doc_id")
     y = rows["grade"].to_numpy()
     if len(np.unique(y)) < 2:
-        return Model(np.zeros(WIDTH, np.float32), np.array([-30.0, -30.0]), True)
+        return Model(np.zeros(0, np.int64), np.zeros(0), np.array([-30.0, -30.0]), True)
     lists = rows["ids"].combine_chunks()
     at, off = lists.values.to_numpy(), lists.offsets.to_numpy().astype(np.int64)
     at = at[off[0] : off[-1]]
     off = off - off[0]
     owner = np.repeat(np.arange(len(y)), np.diff(off))
-    frequent = np.bincount(at, minlength=WIDTH) >= LEAST_DOCS
-    keep = frequent[at]
-    used, at = np.unique(at[keep], return_inverse=True)
-    owner = owner[keep]
+    known, at = np.unique(at, return_inverse=True)
+    have = np.bincount(at)
+    telling = np.zeros(len(known), bool)
+    for g in range(1, GRADES):
+        above, n = (y >= g)[owner], (y >= g).sum()
+        if 0 < n < len(y):
+            up = np.bincount(at[above], minlength=len(known))
+            share = have / len(y)
+            spread = np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n + 1 / (len(y) - n)))
+            telling |= np.abs(up / n - (have - up) / (len(y) - n)) >= LEAST_ERRORS * spread
+    telling &= have >= LEAST_DOCS
+    used, number = known[telling], np.cumsum(telling) - 1
+    keep = telling[at]
+    owner, at = owner[keep], number[at[keep]]
     w, low, gap = np.zeros(len(used)), -1.0, np.log(0.5)
     m, v = np.zeros(len(used) + 2), np.zeros(len(used) + 2)
     share = np.bincount(y, minlength=GRADES) / len(y)
@@ -142,20 +157,18 @@ def fitted(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE, id_col: str
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w, low, gap = w + move[:-2], low + move[-2], gap + move[-1]
-    full = np.zeros(WIDTH, np.float32)
-    full[used] = w
-    return Model(full, np.array([low, low + np.exp(gap)]))
+    return Model(used.astype(np.int64), w, np.array([low, low + np.exp(gap)]))
 
 
 def scored(docs: DataFrame, model: Model, keep: float = KEEP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, expected_grade, tail_prob, kept) for every row."""
-    held = docs.sparkSession.sparkContext.broadcast(model)  # WIDTH weights, whatever the input
+    held = docs.sparkSession.sparkContext.broadcast(model)  # one weight a telling feature of the bounded sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
         for b in batches:
-            for k in range(0, b.num_rows, ROWS):
-                part = b.slice(k, ROWS)
+            for lo, hi in slices(b.column(1)):
+                part = b.slice(lo, hi - lo)
                 tail, expected = probabilities(part.column(1), m)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(expected), pa.array(tail), pa.array(tail >= keep)], ["doc_id", "expected_grade", "tail_prob", "kept"])
 
@@ -165,7 +178,9 @@ def scored(docs: DataFrame, model: Model, keep: float = KEEP, id_col: str = "doc
 
 def probabilities(column: pa.Array, m: Model) -> tuple[np.ndarray, np.ndarray]:
     ids, off = features(column)
-    total = np.concatenate(([0.0], np.cumsum(m.weights[ids].astype(np.float64))))
+    at = np.minimum(np.searchsorted(m.ids, ids), max(len(m.ids) - 1, 0))
+    each = np.where(m.ids[at] == ids, m.weights[at], 0.0) if len(m.ids) else np.zeros(len(ids))
+    total = np.concatenate(([0.0], np.cumsum(each)))
     score = np.round(total[off[1:]] - total[off[:-1]], 6)
     s = 1 / (1 + np.exp(-np.clip(score[:, None] - m.cuts[None], -40, 40)))
     return s[:, 1], s.sum(axis=1)
@@ -177,8 +192,8 @@ def selected(docs: DataFrame, model: Model, keep: float = KEEP, id_col: str = "d
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k in range(0, b.num_rows, ROWS):
-                part = b.slice(k, ROWS)
-                yield part.filter(pa.array(probabilities(part.column(part.schema.get_field_index(text_col)), held.value)[0] >= keep))
+            text = b.column(b.schema.get_field_index(text_col))
+            for lo, hi in slices(text):
+                yield b.slice(lo, hi - lo).filter(pa.array(probabilities(text.slice(lo, hi - lo), held.value)[0] >= keep))
 
     return docs.mapInArrow(run, docs.schema)
