@@ -26,10 +26,10 @@ def states(docs: DataFrame, largest: int) -> DataFrame:
 
 
 def grams(text: Column) -> Column:
-    """The distinct trigrams of a lower-case text."""
-    low = F.lower(text)
-    n = F.length(low)
-    return F.when(n >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: F.substring(low, i, F.lit(3))))).otherwise(F.array().cast("array<string>"))
+    """The distinct trigrams of a lower-case text. Letters are cut apart once (the array binds them), so that the work grows with the text and not with its square."""
+    letters = F.array(F.split(F.lower(text), ""))
+    three = F.transform(letters, lambda x: F.transform(x, lambda c, i: F.concat(c, F.get(x, i + 1), F.get(x, i + 2))))[0]
+    return F.array_distinct(F.filter(three, lambda g: g.isNotNull() & (F.length(g) == 3)))
 
 
 def postings(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
