@@ -127,5 +127,20 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM measures"""
 
 
+JACCARD_SQL = r"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+grams AS (
+  SELECT DISTINCT doc_id, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS gram FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM split)
+  UNION ALL SELECT doc_id, array_to_string(ws, ' ') FROM split WHERE len(ws) IN (1, 2)),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM grams a JOIN grams b USING (gram) WHERE a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * o >= 90 * (x.n + y.n - o)),
+ends AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(v, c) AS (SELECT doc_id, doc_id FROM split UNION SELECT b, c FROM reach JOIN ends ON a = v)
+SELECT s.doc_id, coalesce(z.n, 0)::BIGINT AS n_shingles, r.c AS component_id
+FROM split s LEFT JOIN sizes z USING (doc_id) JOIN (SELECT v, min(c) AS c FROM reach GROUP BY v) r ON r.v = s.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_pareto_mix": _mix_sql(), "op9_quality_rules": _rules_sql()}
+    return {"op5_pareto_mix": _mix_sql(), "op8_jaccard_join": JACCARD_SQL.strip(), "op9_quality_rules": _rules_sql()}
