@@ -27,11 +27,11 @@ from sparklode.llm.textkernel import U64, Rolling, ascii_lower, mix, slices, utf
 
 #: Most labelled rows that the fit reads, width of the hashed space, fewest documents of the sample a feature must be in, and how many
 #: standard errors its share must differ by between the grades below and above some threshold. Words that tell nothing have no weight.
-SAMPLE = 12_000
+SAMPLE = 8_000
 WIDTH = 1 << 26
 LEAST_DOCS = 12
 #: As many bytes at the start of a word are features by themselves.
-STEMS = (4, 5, 6, 7)
+STEMS = (5, 7)
 LEAST_ERRORS = 8.0
 #: Tail probability from which a document is kept.
 KEEP = 0.3
@@ -124,8 +124,10 @@ def fitted(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE, id_col: str
     at, off = lists.values.to_numpy(), lists.offsets.to_numpy().astype(np.int64)
     at = at[off[0] : off[-1]]
     off = off - off[0]
-    owner = np.repeat(np.arange(len(y)), np.diff(off))
+    owner = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(off))
+    del rows, lists
     known, at = np.unique(at, return_inverse=True)
+    at = at.astype(np.int32)
     have = np.bincount(at)
     telling = np.zeros(len(known), bool)
     for g in range(1, GRADES):
