@@ -8,13 +8,13 @@ The n-grams of all documents have one global order, that of their 64-bit hashes.
     for each pair. The sum gives the exact similarity.
 3.  *Groups.* Linked pairs make components, by a distributed label propagation over the links.
 
-Documents with equal sets are one class from the start, and classes stand for their members. A bucket of documents with an equal
-fragment is compared with its first document before anything else; what that joins needs no further pairs, and only documents of
+Documents with equal sets are one class from the start, and classes stand for their members. Documents that are often in a
+bucket with its first document are compared with that before anything else; what that joins needs no further pairs, and only documents of
 one bucket that are still in different components are compared with each other, large buckets block by block. So a group of n copies costs about n pairs, not n * n,
 and no link between different texts is lost: two linked documents always share a bucket, and end in one component or are compared.
 
 Defined results: a null, empty or blank text has an empty set and links with nothing, not even another such; with fewer words
-than n, all words are the one n-gram; repeated rows of an id are one document (of the smaller text); an empty table gives
+than n, all words are the one n-gram; repeated rows (id and text) are one row; an empty table gives
 an empty one; only the id and the text are read.
 """
 
@@ -27,7 +27,7 @@ from fractions import Fraction
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparklode.llm.bits import bit_table, maybe_in
@@ -56,6 +56,24 @@ def fragments(k: int, t: Fraction) -> int:
     return math.floor(2 * most * (1 - t) / (1 + t)) + 1 + SPARE
 
 
+def _common(larger: Column, together: Column, t: Fraction) -> Column:
+    """Fragments that the class of the larger document has, less those that documents of these sizes together can differ in."""
+    w, gap = float(1 / t) ** 2, float((1 - t) / (1 + t))
+    k = F.floor(F.log(larger * (1 - 1e-9)) / math.log(w))
+    most = F.floor(F.pow(F.lit(w), k + 1) * (1 - 1e-9))
+    return F.floor(2 * most * gap - 1e-6) - F.floor(together * gap + 1e-6) + SHARED
+
+
+def least_common(na: Column, nb: Column, t: Fraction) -> Column:
+    """Buckets that documents of these sizes have in common at least, if they are similar."""
+    return F.greatest(_common(F.greatest(na, nb), na + nb, t), F.lit(1))
+
+
+def least_buckets(n: Column, t: Fraction) -> Column:
+    """Buckets that a document of this size is in at least, if any other is similar: that one has at most n / t n-grams."""
+    return F.greatest(_common(n, n * (1 + float(1 / t)), t), F.lit(SHARED - 1))
+
+
 def _by_text(column: pa.Array, n: int) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text, a bounded number of texts at a time."""
     for lo, hi in slices(column):
@@ -212,12 +230,22 @@ def grouped(docs: DataFrame, n: int = 3, similarity: Fraction = Fraction(9, 10),
     # Buckets of equal fragments with at least two classes.
     sig = full.select(F.col("doc_id").alias("rep"), "sigs").join(lead.select("rep"), "rep", "left_semi").select("rep", F.explode("sigs").alias("sig"))
     same = Window.partitionBy("sig")
-    bucket = materialize(sig.withColumn("head", F.min("rep").over(same)).withColumn("last", F.max("rep").over(same)).filter("head < last").select("sig", "rep", "head"), "jaccard-buckets")
-    near = lambda p: (  # noqa: E731  the sizes allow the similarity
-        p.join(lead.select(F.col("rep").alias("a"), F.col("n").alias("na")), "a").join(lead.select(F.col("rep").alias("b"), F.col("n").alias("nb")), "b").filter(F.least("na", "nb") * t.denominator >= F.greatest("na", "nb") * t.numerator).select("a", "b")
-    )
-    first = materialize(near(bucket.filter("rep != head").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct()), "jaccard-first")
-    parts = materialize(sets(docs, bucket.select("rep").distinct(), n, id_col, text_col), "jaccard-sets")
+    met = materialize(sig.withColumn("head", F.min("rep").over(same)).withColumn("last", F.max("rep").over(same)).filter("head < last").select("sig", "rep"), "jaccard-met")
+    # A document in too few of them, as those with a common phrase or two, has none that is similar.
+    often = met.groupBy("rep").count().join(lead, "rep").filter(F.col("count") >= least_buckets(F.col("n"), t)).select("rep")
+    left_over = met.join(often, "rep", "left_semi")
+    heads = left_over.groupBy("sig").agg(F.min("rep").alias("head"), F.max("rep").alias("last")).filter("head < last").select("sig", "head")
+    bucket = materialize(left_over.join(heads, "sig"), "jaccard-buckets")
+    star = bucket.filter("rep != head").select(F.col("head").alias("a"), F.col("rep").alias("b")).groupBy("a", "b").count()
+
+    def near(p: DataFrame) -> DataFrame:
+        """Pairs (a, b, count of common buckets) whose sizes and common buckets allow the similarity."""
+        p = p.join(lead.select(F.col("rep").alias("a"), F.col("n").alias("na")), "a").join(lead.select(F.col("rep").alias("b"), F.col("n").alias("nb")), "b")
+        return p.filter((F.least("na", "nb") * t.denominator >= F.greatest("na", "nb") * t.numerator) & (F.col("count") >= least_common(F.col("na"), F.col("nb"), t))).select("a", "b")
+
+    first = materialize(near(star), "jaccard-first")
+    ends = lambda p: p.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    parts = materialize(sets(docs, ends(first), n, id_col, text_col), "jaccard-sets")
     links = linked(first, parts, t)
     nodes = lead.select(F.col("rep").alias("v"))
     group = materialize(components(nodes, links).withColumnRenamed("v", "rep"), "jaccard-groups")
@@ -229,13 +257,13 @@ def grouped(docs: DataFrame, n: int = 3, similarity: Fraction = Fraction(9, 10),
     many = split.filter(F.col("k") > SMALL).groupBy("k", "who").agg(F.min("sig").alias("sig")).select("sig", F.ceil(F.col("k") / F.lit(BLOCK)).cast("int").alias("blocks"))
     rest = held.join(few, "sig")
     left, right = rest.select("sig", F.col("rep").alias("a"), F.col("c").alias("ca")), rest.select("sig", F.col("rep").alias("b"), F.col("c").alias("cb"))
-    across = left.join(right, "sig").filter("ca < cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).groupBy("a", "b").count().filter(F.col("count") >= SHARED).select("a", "b")
+    across = left.join(right, "sig").filter("ca < cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).groupBy("a", "b").count()
     across = materialize(near(across.join(first, ["a", "b"], "left_anti")), "jaccard-across")
-    more = linked(across, parts, t)
     own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     dealt = bucket.select("sig", "rep").join(many, "sig").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select(F.col("sig").alias("k1"), F.least("own", "other").alias("k2"), F.greatest("own", "other").alias("k3"), "rep").distinct()
-    more = more.unionByName(linked_in_blocks(dealt.join(parts, "rep"), t))
+    parts = materialize(sets(docs, ends(across).union(dealt.select("rep")).distinct(), n, id_col, text_col), "jaccard-sets")
+    more = linked(across, parts, t).unionByName(linked_in_blocks(dealt.join(parts, "rep"), t))
     joins = more.join(group.select(F.col("rep").alias("a"), F.col("c").alias("ca")), "a").join(group.select(F.col("rep").alias("b"), F.col("c").alias("cb")), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
     final = components(group.select(F.col("c").alias("v")).distinct(), joins)
     comp = group.join(final.select(F.col("v").alias("c"), F.col("c").alias("component_id")), "c").select("rep", "component_id")
