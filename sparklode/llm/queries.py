@@ -42,7 +42,7 @@ def op7_cut_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.grouped(table(spark, sf_dir, "documents"), n=3, similarity=Fraction(9, 10))
+    return jaccard.grouped(table(spark, sf_dir, "documents"), n=3, similarity=Fraction(9, 10)).select("doc_id", "n_shingles", "component_id")
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
