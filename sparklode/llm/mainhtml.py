@@ -190,6 +190,9 @@ def labelled_table(rows: int = 3000, seed: int = 11) -> tuple[np.ndarray, np.nda
             which = (i // 2) % (len(bad) + 1)
             if which < len(bad):
                 x[i, NAMES.index(bad[which])] = 1
+                put(i, "article", 0.6)
+                put(i, "main", 0.6)
+                put(i, "sentence", 0.6)
             else:
                 x[i, :2] = 0
         elif not (x[i, 0] or x[i, 1]):
