@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+from collections import Counter
 from fractions import Fraction
 
 import numpy as np
@@ -231,3 +232,19 @@ def test_quality_model_odd_inputs(spark):
     m = quality_model.fitted(d, none)
     assert m.bias_only and quality_model.scored(d, m).filter("kept").count() == len(ODD)
     assert quality_model.selected(d, m).columns == d.columns and quality_model.selected(d, m).count() == len(ODD)
+
+
+def test_quality_sample_has_rare_grades_whole(spark):
+    n = 600
+    lab = spark.createDataFrame([(i, int(i % 5 > 0), int(i % 60 == 1)) for i in range(n)], "doc_id long, quality int, toxic int")
+    got = Counter(r["grade"] for r in quality_model.sample_rows(docs(spark, ["x"] * n), lab, 90, "doc_id", "text").collect())
+    assert got == {1: 10, 0: 40, 2: 40}
+
+
+def test_quality_model_learns_abuse_of_minority_languages(spark):
+    d, lab = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    m = quality_model.fitted(d, lab)
+    x = quality_model.scored(d, m).join(lab, "doc_id").join(d.select("doc_id", "lang"), "doc_id").toPandas()
+    assert x.kept[(x.quality == 1) & (x.toxic == 0)].mean() > 0.98
+    abusive = x[(x.quality == 1) & (x.toxic == 1)]
+    assert set(abusive.lang) == {"en", "de", "fr", "es"} and (abusive.groupby("lang").kept.mean() < 0.2).all()
