@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparklode.functions import paths, text
-from sparklode.operators import clipboard, content_index, rules, search, sessions, tree, usage
+from sparklode.operators import clipboard, content_index, event_log, rules, search, sessions, tree, usage
 from sparklode.plans.compile import Options
 from sparklode.sources import catalog
 
@@ -329,9 +329,7 @@ def event_log_keys(spark, sf_dir):
 
 @query(f"WITH {EVENTS}, log AS (SELECT event_id, lower(concat_ws(' ', concat_ws(' ', {_KEYS}), path)) AS t FROM fs ORDER BY event_id DESC LIMIT 2000) SELECT event_id FROM log WHERE contains(t, 'renamed') AND contains(t, '/d1')")
 def event_log_filter(spark, sf_dir):
-    ring = catalog.change_events(spark, sf_dir).orderBy(F.desc("event_id")).limit(2000)
-    t = F.lower(F.concat_ws(" ", F.array_join(text.event_keys(F.col("flags")), " "), "path"))
-    return ring.filter(F.contains(t, F.lit("renamed")) & F.contains(t, F.lit("/d1"))).select("event_id")
+    return event_log.matching(catalog.change_events(spark, sf_dir), ["renamed", "/d1"]).select("event_id")
 
 
 @query(f"WITH {EVENTS} SELECT CASE WHEN flags & 65536 <> 0 THEN 'exact' WHEN flags & 131072 <> 0 THEN CASE WHEN flags & 256 <> 0 THEN 'subtree' WHEN flags & 1024 <> 0 THEN 'metadata' ELSE 'exact' END ELSE 'subtree' END AS kind, count(*) AS n FROM fs GROUP BY 1")

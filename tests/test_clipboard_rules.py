@@ -2,8 +2,10 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
+from sparklode import queries
 from sparklode.functions import text
-from sparklode.operators import clipboard, rules, sessions
+from sparklode.operators import clipboard, event_log, rules, sessions
+from sparklode.sources import catalog
 
 CLIP = "id string, created_at timestamp, preview string, kind string, pinned boolean, title string, bundle string, app string, ocr string, collection string, keyword string, expand boolean"
 T0 = datetime(2024, 1, 1)
@@ -86,3 +88,16 @@ def test_sessions(spark):
     assert stat((0, "started"), now=5) == (1, 5.0, 5.0)
     pairs = spark.createDataFrame([("p", T0 + timedelta(milliseconds=m), i) for i, m in enumerate((0, 500, 1000, 1500, 9000))], "process string, ts timestamp, event_id int")
     assert {(r["first_id"], r["second_id"]) for r in sessions.merge_pairs(pairs).collect()} == {(0, 1), (2, 3)}
+
+
+def test_event_log_capacity(spark):
+    events = spark.range(20_010).selectExpr("id AS event_id", "2048 AS flags", "concat('/vol/d1/f', id) AS path")
+    assert event_log.matching(events, ["renamed", "/d1"]).agg(F.min("event_id"), F.count("*")).first()[:] == (10, 20_000)
+    assert event_log.matching(events, ["renamed", "/d1"], capacity=5).count() == 5
+
+
+def test_event_log_query_searches_the_whole_log(spark):
+    sf = "/root/testdata/sf0.01"
+    t = F.lower(F.concat_ws(" ", F.array_join(text.event_keys(F.col("flags")), " "), "path"))
+    want = catalog.change_events(spark, sf).filter(F.contains(t, F.lit("renamed")) & F.contains(t, F.lit("/d1")))  # 10 000 events, fewer than the log holds
+    assert {r[0] for r in queries.QUERIES["event_log_filter"](spark, sf).collect()} == {r[0] for r in want.select("event_id").collect()}
