@@ -385,8 +385,8 @@ def recent_clips(spark, sf_dir):
 @query("""WITH k AS (SELECT conv_id || '-' || turn AS id, ';k' || (conv_id % 30) AS keyword FROM conversations WHERE turn = 0), t AS (SELECT event_id AS typed_id, 'say ;K' || user_id AS typed FROM events WHERE event_id % 3 = 0)
 SELECT typed_id, id, keyword FROM (SELECT typed_id, id, keyword, row_number() OVER (PARTITION BY typed_id ORDER BY length(keyword) DESC, keyword, id) AS n FROM t JOIN k ON ends_with(lower(typed), lower(keyword))) WHERE n = 1""")
 def snippet_suffix(spark, sf_dir):
-    k = catalog.table(spark, sf_dir, "conversations").filter("turn = 0").select(F.concat("conv_id", F.lit("-"), "turn").alias("id"), F.concat(F.lit(";k"), F.col("conv_id") % 30).alias("keyword"))
-    t = catalog.table(spark, sf_dir, "events").filter("event_id % 3 = 0").select(F.col("event_id").alias("typed_id"), F.concat(F.lit("say ;K"), "user_id").alias("typed"))
+    k = catalog.table(spark, sf_dir, "conversations").select(F.concat("conv_id", F.lit("-"), "turn").alias("id"), F.concat(F.lit(";k"), F.col("conv_id") % 30).alias("keyword"))
+    t = catalog.table(spark, sf_dir, "events").select(F.col("event_id").alias("typed_id"), F.concat(F.lit("say ;K"), "user_id").alias("typed"))
     return clipboard.suffix_snippets(t, k)
 
 

@@ -101,3 +101,14 @@ def test_event_log_query_searches_the_whole_log(spark):
     t = F.lower(F.concat_ws(" ", F.array_join(text.event_keys(F.col("flags")), " "), "path"))
     want = catalog.change_events(spark, sf).filter(F.contains(t, F.lit("renamed")) & F.contains(t, F.lit("/d1")))  # 10 000 events, fewer than the log holds
     assert {r[0] for r in queries.QUERIES["event_log_filter"](spark, sf).collect()} == {r[0] for r in want.select("event_id").collect()}
+
+
+def test_snippet_suffix_takes_all_typed_texts(spark, data):
+    words = sorted((f";k{r['conv_id'] % 30}", f"{r['conv_id']}-{r['turn']}") for r in spark.read.parquet(f"{data}/conversations.parquet").select("conv_id", "turn").collect())
+    want = set()
+    for e in spark.read.parquet(f"{data}/events.parquet").select("event_id", "user_id").collect():
+        hits = [(-len(k), k, i) for k, i in words if f"say ;k{e['user_id']}".endswith(k)]
+        if hits:
+            _, k, i = min(hits)
+            want.add((e["event_id"], i, k))
+    assert {tuple(r) for r in queries.QUERIES["snippet_suffix"](spark, data).select("typed_id", "id", "keyword").collect()} == want
