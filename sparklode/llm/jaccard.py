@@ -1,205 +1,199 @@
 """Operator 8: n-gram Jaccard join by vertical partitioning.
 
-The n-grams of all documents have one global order, that of their 64-bit hashes. The order is cut into fragments:
-
-1.  *Candidates.* Documents of like size are cut into more fragments than two similar ones can differ in, so that a similar
-    pair has at least one fragment in common, whole. Only documents with an equal fragment meet.
-2.  *Counts.* A candidate pair's overlap is counted in each of a few wide fragments apart, and the partial overlaps are summed
-    for each pair. The sum gives the exact similarity.
+The n-grams of all documents have one global order: rare ones first, by the counts of a bounded table over the whole corpus
+(:class:`Order`), ties by their hashes. Any order gives the same links; this one keeps what many documents share out of the way.
+
+1.  *Candidates.* Two similar documents have an n-gram in common among the first few of each (the prefix that a similarity of
+    ``t`` leaves). Documents meet under it only if their sizes, the places of the n-gram in both, and a parity bitmap of
+    512 bits allow the similarity; these are bounds, so no link is lost.
+2.  *Counts.* The order is cut into :data:`FRAGMENTS` fragments of like mass. The overlap of a candidate pair is counted in
+    each fragment apart, by a join on document and fragment, and the partial overlaps are summed for each pair.
 3.  *Groups.* Linked pairs make components, by a distributed label propagation over the links.
 
-Documents with equal sets are one class from the start, and classes stand for their members. Documents that are often in a
-bucket with its first document are compared with that before anything else; what that joins needs no further pairs, and only documents of
-one bucket that are still in different components are compared with each other, large buckets block by block. So a group of n copies costs about n pairs, not n * n,
-and no link between different texts is lost: two linked documents always share a bucket, and end in one component or are compared.
+Documents with equal sets are one class from the start, and classes stand for their members. Of the classes that meet under an
+n-gram, all are first compared with the one in which it comes first (copies with few changes are near that one). What this joins
+needs no further pairs: then only classes that are still in different components are compared. So a group of n copies costs
+about n pairs, and no link between different texts is lost: two linked classes end in one component, or are compared.
 
 Defined results: a null, empty or blank text has an empty set and links with nothing, not even another such; with fewer words
-than n, all words are the one n-gram; repeated rows (id and text) are one row; an empty table gives
-an empty one; only the id and the text are read.
+than n, all words are the one n-gram; every row is a document of its own, so repeated rows are copies of one another, and an id with
+two texts has a row for each; rows without an id take part, and a component's id is its least id (null if it has none); an empty
+table gives an empty one; only the id and the text are read.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 from fractions import Fraction
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparklode.llm.bits import bit_table, maybe_in
-from sparklode.llm.store import materialize
+from sparklode.llm.store import Tables
 from sparklode.llm.textkernel import U64, mix, shingles, slices, utf8
 
 #: Fragments of the global order in which partial overlaps are counted.
-WIDE = 4
-#: As many fragments of a document may be empty and give no bucket; of the others a similar pair has at least SHARED in common.
-EMPTY, SHARED = 2, 4
-SPARE = EMPTY + SHARED - 1
-#: Buckets up to this size are compared pair by pair in Spark; larger ones in blocks of at most BLOCK documents.
-SMALL, BLOCK = 24, 512
-ROWS = 1024
-
-
-def bounds(t: Fraction, most: int) -> np.ndarray:
-    """Lower ends of the size classes: powers of 1 / t**2, up to the one after that of ``most``."""
-    w = float(1 / t) ** 2
-    return w ** np.arange(math.ceil(math.log(max(most, 2)) / math.log(w)) + 3)
-
+FRAGMENTS = 8
+#: Counters of n-grams, whatever the size of the corpus, and the parts in which they are summed.
+COUNTERS, PARTS = 1 << 20, 64
+#: Bits of a document's parity bitmap, as longs.
+LONGS = 8
+#: Rows of a class that meet in one task before its members are counted are dealt to so many keys.
+SALTS = 64
+LEVEL_BITS = 6
+LEVEL = U64(64 - LEVEL_BITS)
 
-def fragments(k: int, t: Fraction) -> int:
-    """Fragments for documents that meet in class k: more than a similar pair of them can differ in, by SHARED and EMPTY."""
-    most = math.floor(float(1 / t) ** (2 * k + 2) * (1 + 1e-9))
-    return math.floor(2 * most * (1 - t) / (1 + t)) + 1 + SPARE
 
+@dataclass
+class Order:
+    """The global order: a level for each counter, by the logarithm of its count, and the lower ends of the fragments."""
 
-def _common(larger: Column, together: Column, t: Fraction) -> Column:
-    """Fragments that the class of the larger document has, less those that documents of these sizes together can differ in."""
-    w, gap = float(1 / t) ** 2, float((1 - t) / (1 + t))
-    k = F.floor(F.log(larger * (1 - 1e-9)) / math.log(w))
-    most = F.floor(F.pow(F.lit(w), k + 1) * (1 - 1e-9))
-    return F.floor(2 * most * gap - 1e-6) - F.floor(together * gap + 1e-6) + SHARED
+    level: np.ndarray
+    pivots: np.ndarray
 
+    def keys(self, h: np.ndarray) -> np.ndarray:
+        """Places of n-grams in the order, from their hashes: the level, then the hash. They stand for the n-grams from here on."""
+        return self.level[(h & U64(COUNTERS - 1)).astype(np.int64)] << LEVEL | h >> U64(LEVEL_BITS)
 
-def least_common(na: Column, nb: Column, t: Fraction) -> Column:
-    """Buckets that documents of these sizes have in common at least, if they are similar."""
-    return F.greatest(_common(F.greatest(na, nb), na + nb, t), F.lit(1))
 
+def counted(docs: DataFrame, n: int, text_col: str) -> Order:
+    """Counts over all texts; what reaches the driver is one number for each of :data:`COUNTERS` counters."""
 
-def least_buckets(n: Column, t: Fraction) -> Column:
-    """Buckets that a document of this size is in at least, if any other is similar: that one has at most n / t n-grams."""
-    return F.greatest(_common(n, n * (1 + float(1 / t)), t), F.lit(SHARED - 1))
-
-
-def _by_text(column: pa.Array, n: int) -> Iterator[np.ndarray]:
-    """The sorted distinct shingle hashes of each text, a bounded number of texts at a time."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.uint32)
+        for b in batches:
+            for lo, hi in slices(b.column(0)):
+                h, _ = shingles(*utf8(b.column(0).slice(lo, hi - lo)), n)
+                total += np.bincount((h & U64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
+        if total.any():
+            yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([x.tobytes() for x in total.reshape(PARTS, -1)], pa.binary())], ["part", "counts"])
+
+    def add(rows: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(x, np.uint32).astype(np.int64) for x in rows["counts"])
+        return pd.DataFrame({"part": [rows["part"].iloc[0]], "counts": [total.tobytes()]})
+
+    sums = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "part int, counts binary").groupBy("part").applyInPandas(add, "part int, counts binary").toArrow()
+    total = np.zeros((PARTS, COUNTERS // PARTS), np.int64)
+    for part, x in zip(sums["part"].to_pylist(), sums["counts"].to_pylist(), strict=True):
+        total[part] = np.frombuffer(x, np.int64)
+    total = total.reshape(-1)
+    # Half octaves: chance alone doesn't set the level of an n-gram that is met in a few documents only.
+    level = np.minimum(np.floor(2 * np.log2(np.maximum(total, 1))), (1 << LEVEL_BITS) - 1).astype(U64)
+    mass = np.concatenate(([0.0], np.cumsum(np.bincount(level.astype(np.int64), total, 1 << LEVEL_BITS))))
+    goal = np.linspace(0, mass[-1], FRAGMENTS + 1)[:-1]
+    k = np.minimum(np.searchsorted(mass, goal, side="right") - 1, (1 << LEVEL_BITS) - 1)
+    share = (goal - mass[k]) / np.maximum(mass[k + 1] - mass[k], 1)
+    pivots = (k.astype(U64) << LEVEL) + (share * float(1 << 57)).astype(U64) * U64(2)
+    return Order(level, pivots)
+
+
+def _by_text(column: pa.Array, n: int, order: Order) -> Iterator[np.ndarray]:
+    """The distinct n-grams of each text by their places in the order, a bounded number of texts at a time."""
     for lo, hi in slices(column):
         h, off = shingles(*utf8(column.slice(lo, hi - lo)), n)
+        k = order.keys(h)
         for i in range(len(off) - 1):
-            x = np.sort(h[off[i] : off[i + 1]])
+            x = np.sort(k[off[i] : off[i + 1]])
             yield x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) > 1 else x
 
 
-def signatures(x: np.ndarray, t: Fraction) -> list[np.ndarray]:
-    """Hashes of a document's fragments, for its own size class, and for the next one if a document there can be similar."""
-    low, out = bounds(t, len(x)), []
-    k = int(np.searchsorted(low, len(x), side="right")) - 1
-    top = (x >> U64(32)).astype(np.int64)
-    whole = mix(x)
-    for c in (k, k + 1):
-        if c > k and len(x) * (1 + 1e-9) < float(t) * low[c]:
-            break
-        count = fragments(c, t)
-        part = (top * count) >> 32
-        first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
-        used = part[first]
-        out.append(mix(np.add.reduceat(whole, first) + mix(used.astype(U64) + U64(c) * U64(1 << 40))))
-        if count - len(used) > EMPTY:
-            missing = np.setdiff1d(np.arange(count), used, assume_unique=True)
-            out.append(mix(mix(missing.astype(U64) + U64(c) * U64(1 << 40)) + U64(1)))
-    return out
+def parity(x: np.ndarray) -> np.ndarray:
+    """Bitmap in which each member of the set flips one bit: two bitmaps differ in no more bits than the sets in members."""
+    odd = np.bincount((mix(x) >> U64(32)).astype(np.int64) % (64 * LONGS), minlength=64 * LONGS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def prefix(n: int, t: Fraction) -> int:
+    """As many first n-grams of a set hold one that a similar set has as well: it shares t * n of them at least."""
+    return n - -(-n * t.numerator // t.denominator) + 1
 
 
-def fingerprints(docs: DataFrame, n: int, t: Fraction, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, n_shingles, set_a, set_b, sigs): the set's size, a 128-bit hash of the set, and the fragments' hashes."""
+def fingerprints(docs: DataFrame, n: int, t: Fraction, order: Order, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, n_shingles, set_a, set_b, bits, first): the set's size, a 128-bit hash of it, its bitmap, and its first n-grams."""
+    held = docs.sparkSession.sparkContext.broadcast(order)  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            size, a, c, sigs = [], [], [], []
-            for x in _by_text(b.column(1), n):
+            size, a, c, bits, first = [], [], [], [], []
+            for x in _by_text(b.column(1), n, held.value):
                 size.append(len(x))
                 with np.errstate(over="ignore"):
                     a.append(mix(x).sum(dtype=U64))
                     c.append(mix(x ^ U64(0x5DEECE66D1CE4E5B)).sum(dtype=U64))
-                sigs.append(np.concatenate(signatures(x, t)) if len(x) else np.zeros(0, U64))
-            off = np.concatenate(([0], np.cumsum([len(s) for s in sigs]))).astype(np.int32)
-            flat = np.concatenate(sigs) if sigs else np.zeros(0, U64)
-            lists = pa.ListArray.from_arrays(pa.array(off), pa.array(flat.view(np.int64)))
+                bits.append(parity(x))
+                first.append(x[: prefix(len(x), t)] if len(x) else x)
+            lists = lambda xs: pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(x) for x in xs]))).astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.int64), *(x.view(np.int64) for x in xs)])))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(size, pa.int64()), pa.array(np.array(a, U64).view(np.int64)), pa.array(np.array(c, U64).view(np.int64)), lists],
-                ["doc_id", "n_shingles", "set_a", "set_b", "sigs"],
+                [b.column(0), pa.array(size, pa.int64()), pa.array(np.array(a, U64).view(np.int64)), pa.array(np.array(c, U64).view(np.int64)), lists(bits), lists(first)],
+                ["doc_id", "n_shingles", "set_a", "set_b", "bits", "first"],
             )
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, sigs array<long>")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, bits array<long>, first array<long>")
 
 
-def sets(docs: DataFrame, wanted: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
-    """(rep, g0, g1, ...) for the wanted ids: the sorted shingle hashes of the text in each of the WIDE fragments of the order."""
+def fragments(docs: DataFrame, wanted: DataFrame, n: int, order: Order, id_col: str, text_col: str) -> DataFrame:
+    """(rep, fragment, grams) of the wanted classes (rep, doc_id, set_a): the n-grams of a set in each fragment where it has any."""
+    held = docs.sparkSession.sparkContext.broadcast(order)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, ROWS):
-                rows = list(_by_text(b.column(1).slice(at, ROWS), n))
-                cut = np.array([np.searchsorted((x >> U64(32)).astype(np.int64) * WIDE >> 32, np.arange(WIDE + 1)) for x in rows])
-                columns = [b.column(0).slice(at, ROWS)]
-                for g in range(WIDE):
-                    flat = np.concatenate([x[c[g] : c[g + 1]] for x, c in zip(rows, cut, strict=True)])
-                    off = np.concatenate(([0], (cut[:, g + 1] - cut[:, g]).cumsum())).astype(np.int32)
-                    columns.append(pa.ListArray.from_arrays(pa.array(off), pa.array(flat.view(np.int64))))
-                yield pa.RecordBatch.from_arrays(columns, ["rep", *(f"g{g}" for g in range(WIDE))])
-
-    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text"))
-    texts = maybe_in(texts, "rep", bit_table(wanted)).join(wanted, "rep", "left_semi")
-    return texts.mapInArrow(run, "rep long, " + ", ".join(f"g{g} array<long>" for g in range(WIDE)))
-
-
-def linked(pairs: DataFrame, parts: DataFrame, t: Fraction) -> DataFrame:
-    """The pairs (a, b) that are similar enough: partial overlaps, one a fragment, summed for each pair."""
-    side = lambda v: parts.select(F.col("rep").alias(v), *(F.col(f"g{g}").alias(f"{v}{g}") for g in range(WIDE)))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    total = lambda f: sum((f(g) for g in range(1, WIDE)), f(0))
-    counted = both.select(
-        "a", "b", total(lambda g: F.size(F.array_intersect(f"a{g}", f"b{g}"))).alias("both"), total(lambda g: F.size(f"a{g}")).alias("na"), total(lambda g: F.size(f"b{g}")).alias("nb")
-    )
-    return counted.filter(F.col("both") * t.denominator >= (F.col("na") + F.col("nb") - F.col("both")) * t.numerator).select("a", "b").distinct()
-
-
-def linked_in_blocks(rows: DataFrame, t: Fraction) -> DataFrame:
-    """Edges (a, b) that connect what is similar among the rows (k1, k2, k3, rep, g0, g1, ...) of each key; fewer edges than rows.
-
-    Overlaps of all pairs of a block are products of 0/1 matrices, one fragment of the order after another, and are summed.
-    """
+            ids, out = b.column(0), []
+            for i, x in enumerate(_by_text(b.column(1), n, held.value)):
+                cut = np.append(np.searchsorted(x, held.value.pivots), len(x))
+                with np.errstate(over="ignore"):
+                    a = int(mix(x).sum(dtype=U64).view(np.int64))
+                out += [(i, a, g, x[cut[g] : cut[g + 1]].view(np.int64)) for g in range(FRAGMENTS) if cut[g + 1] > cut[g]]
+                if len(out) > 8192:
+                    yield packed(ids, out)
+                    out = []
+            yield packed(ids, out)
 
-    def run(block: pd.DataFrame) -> pd.DataFrame:
-        block = block.drop_duplicates("rep")
-        n = len(block)
-        both, size = np.zeros((n, n), np.float32), np.zeros(n, np.int64)
-        for g in range(WIDE):
-            lists = [np.asarray(x, np.int64) for x in block[f"g{g}"]]
-            owner = np.repeat(np.arange(n), [len(x) for x in lists])
-            size += np.bincount(owner, minlength=n)
-            _, gram, count = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
-            common = np.flatnonzero(count > 1)
-            number = np.full(len(count), -1)
-            number[common] = np.arange(len(common))
-            column = number[gram]
-            for lo in range(0, len(common), 4096):
-                pick = (column >= lo) & (column < lo + 4096)
-                m = np.zeros((n, min(4096, len(common) - lo)), np.float32)
-                m[owner[pick], column[pick] - lo] = 1
-                both += m @ m.T
-        o = both.astype(np.int64)
-        near = o * t.denominator >= (size[:, None] + size[None] - o) * t.numerator
-        label = np.arange(n)
-        while True:
-            low = np.where(near, label[None], n).min(axis=1)
-            low = np.minimum(low, label)
-            if np.array_equal(low, label):
-                break
-            label = low
-        ids = block["rep"].to_numpy()
-        far = np.flatnonzero(label != np.arange(n))
-        return pd.DataFrame({"a": ids[label[far]], "b": ids[far]})
-
-    return rows.groupBy("k1", "k2", "k3").applyInPandas(run, "a long, b long").distinct()
+    def packed(ids: pa.Array, out: list[tuple]) -> pa.RecordBatch:
+        off = np.concatenate(([0], np.cumsum([len(o[3]) for o in out]))).astype(np.int32)
+        grams = pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate([np.zeros(0, np.int64), *(o[3] for o in out)])))
+        return pa.RecordBatch.from_arrays([ids.take(pa.array([o[0] for o in out], pa.int64())), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.int32()), grams], ["doc_id", "set_a", "fragment", "grams"])
+
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = maybe_in(texts, "doc_id", bit_table(wanted.select("doc_id"))).mapInArrow(run, "doc_id long, set_a long, fragment int, grams array<long>")
+    sides = rows.withColumnRenamed("doc_id", "_d").withColumnRenamed("set_a", "_a")
+    return wanted.join(sides, wanted["doc_id"].eqNullSafe(sides["_d"]) & (wanted["set_a"] == sides["_a"])).select("rep", "fragment", "grams")
+
+
+def enough(overlap: Column, together: Column, t: Fraction) -> Column:
+    """Whether sets with so many members together and in common are similar."""
+    return overlap * (t.denominator + t.numerator) >= together * t.numerator
+
+
+def may_link(na: Column, nb: Column, pa_: Column, pb: Column, t: Fraction) -> Column:
+    """For the first n-gram in common, at places pa and pb: whether the members from there on can be enough."""
+    return enough(F.least(na - pa_, nb - pb), na + nb, t)
+
+
+def bits_allow(a: str, b: str, together: Column, t: Fraction) -> Column:
+    """Whether the bitmaps differ in no more bits than similar sets can in members."""
+    differ = sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(1, LONGS)), F.bit_count(F.col(a)[0].bitwiseXOR(F.col(b)[0])))
+    return differ * (t.denominator + t.numerator) <= together * (t.denominator - t.numerator)
+
+
+def linked(pairs: DataFrame, parts: DataFrame, lead: DataFrame, t: Fraction) -> DataFrame:
+    """The pairs (a, b) that are similar enough: overlaps counted in each fragment apart, then summed for each pair."""
+    one = parts.select(F.col("rep").alias("a"), "fragment", F.col("grams").alias("ga"))
+    two = parts.select(F.col("rep").alias("b"), "fragment", F.col("grams").alias("gb"))
+    counts = pairs.select("a", "b").join(one, "a").join(two, ["b", "fragment"]).select("a", "b", "fragment", F.size(F.array_intersect("ga", "gb")).cast("long").alias("o"))
+    total = counts.groupBy("a", "b", "fragment").agg(F.max("o").alias("o")).groupBy("a", "b").agg(F.sum("o").alias("o"))  # a class' text may be there twice
+    size = lambda v: lead.select(F.col("rep").alias(v), F.col("n").alias(f"n{v}"))
+    return total.join(size("a"), "a").join(size("b"), "b").filter(enough(F.col("o"), F.col("na") + F.col("nb"), t)).select("a", "b")
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(v, c): the smallest node reachable from each node. Alternating large-star and small-star steps, each a table in the shared folder."""
-    star = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct()
-    star = materialize(star, "cc")
+    tables = Tables(nodes.sparkSession)
+    star = tables.keep(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct(), "cc")
     seen = None
     while True:
         both = star.select("u", "v").union(star.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -209,70 +203,96 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         # Small star: every smaller neighbour, and the node itself, likewise.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").filter("u > v").distinct()
-        star = materialize(small, "cc")
+        before, star = star, tables.keep(small, "cc")
+        tables.drop(before)
         state = tuple(star.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if state == seen:
             break
         seen = state
     label = star.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "_u")
-    return nodes.join(label, nodes["v"] == F.col("_u"), "left").select("v", F.coalesce("m", "v").alias("c"))
+    found = Tables(nodes.sparkSession).keep(nodes.join(label, nodes["v"] == F.col("_u"), "left").select("v", F.coalesce("m", "v").alias("c")), "cc")
+    tables.drop_all()
+    return found
+
+
+def classes(prints: DataFrame) -> DataFrame:
+    """(row, doc_id, n_shingles, rep): the least row with the same set for each row with a set; rows of a large class are dealt to many keys first."""
+    key = ["n_shingles", "set_a", "set_b"]
+    rows = prints.filter("n_shingles > 0").select("row", "doc_id", *key, F.pmod(F.xxhash64("row"), F.lit(SALTS)).alias("salt"))
+    some = rows.groupBy(*key, "salt").agg(F.min("row").alias("least"))
+    rep = some.groupBy(*key).agg(F.min("least").alias("rep"))
+    return rows.join(some.join(rep, key).drop("least"), [*key, "salt"]).select("row", "doc_id", "n_shingles", "rep")
 
 
 def grouped(docs: DataFrame, n: int = 3, similarity: Fraction = Fraction(9, 10), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, class_id): one row a document; documents of one class have equal sets."""
-    t = Fraction(similarity)
-    prints = materialize(fingerprints(docs, n, t, id_col, text_col), "jaccard-prints")
-    full = prints.filter("n_shingles > 0")
-    rep = full.groupBy("n_shingles", "set_a", "set_b").agg(F.min("doc_id").alias("rep"))
-    member = materialize(full.select("doc_id", "n_shingles", "set_a", "set_b").join(rep, ["n_shingles", "set_a", "set_b"]).select("doc_id", "n_shingles", "rep").distinct(), "jaccard-class")
-    lead = member.filter("doc_id = rep").select("rep", F.col("n_shingles").alias("n")).distinct()
-
-    # Buckets of equal fragments with at least two classes.
-    sig = full.select(F.col("doc_id").alias("rep"), "sigs").join(lead.select("rep"), "rep", "left_semi").select("rep", F.explode("sigs").alias("sig"))
-    same = Window.partitionBy("sig")
-    met = materialize(sig.withColumn("head", F.min("rep").over(same)).withColumn("last", F.max("rep").over(same)).filter("head < last").select("sig", "rep"), "jaccard-met")
-    # A document in too few of them, as those with a common phrase or two, has none that is similar.
-    often = met.groupBy("rep").count().join(lead, "rep").filter(F.col("count") >= least_buckets(F.col("n"), t)).select("rep")
-    left_over = met.join(often, "rep", "left_semi")
-    heads = left_over.groupBy("sig").agg(F.min("rep").alias("head"), F.max("rep").alias("last")).filter("head < last").select("sig", "head")
-    bucket = materialize(left_over.join(heads, "sig"), "jaccard-buckets")
-    star = bucket.filter("rep != head").select(F.col("head").alias("a"), F.col("rep").alias("b")).groupBy("a", "b").count()
-
-    def near(p: DataFrame) -> DataFrame:
-        """Pairs (a, b, count of common buckets) whose sizes and common buckets allow the similarity."""
-        p = p.join(lead.select(F.col("rep").alias("a"), F.col("n").alias("na")), "a").join(lead.select(F.col("rep").alias("b"), F.col("n").alias("nb")), "b")
-        return p.filter((F.least("na", "nb") * t.denominator >= F.greatest("na", "nb") * t.numerator) & (F.col("count") >= least_common(F.col("na"), F.col("nb"), t))).select("a", "b")
-
-    first = materialize(near(star), "jaccard-first")
-    ends = lambda p: p.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    parts = materialize(sets(docs, ends(first), n, id_col, text_col), "jaccard-sets")
-    links = linked(first, parts, t)
-    nodes = lead.select(F.col("rep").alias("v"))
-    group = materialize(components(nodes, links).withColumnRenamed("v", "rep"), "jaccard-groups")
-
-    # Documents of one bucket that are in different components still; buckets with the same documents are one.
-    held = bucket.select("sig", "rep").join(group, "rep")
-    split = held.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("k"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("who")).filter("lo < hi")
-    few = split.filter(F.col("k") <= SMALL).select("sig")
-    many = split.filter(F.col("k") > SMALL).groupBy("k", "who").agg(F.min("sig").alias("sig")).select("sig", F.ceil(F.col("k") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    rest = held.join(few, "sig")
-    left, right = rest.select("sig", F.col("rep").alias("a"), F.col("c").alias("ca")), rest.select("sig", F.col("rep").alias("b"), F.col("c").alias("cb"))
-    across = left.join(right, "sig").filter("ca < cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).groupBy("a", "b").count()
-    across = materialize(near(across.join(first, ["a", "b"], "left_anti")), "jaccard-across")
-    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    dealt = bucket.select("sig", "rep").join(many, "sig").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select(F.col("sig").alias("k1"), F.least("own", "other").alias("k2"), F.greatest("own", "other").alias("k3"), "rep").distinct()
-    parts = materialize(sets(docs, ends(across).union(dealt.select("rep")).distinct(), n, id_col, text_col), "jaccard-sets")
-    more = linked(across, parts, t).unionByName(linked_in_blocks(dealt.join(parts, "rep"), t))
-    joins = more.join(group.select(F.col("rep").alias("a"), F.col("c").alias("ca")), "a").join(group.select(F.col("rep").alias("b"), F.col("c").alias("cb")), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    """(doc_id, n_shingles, component_id, class_id, leads): one row a row; rows of one class have equal sets; one row of each component leads it."""
+    t, tables = Fraction(similarity), Tables(docs.sparkSession)
+    order = counted(docs, n, text_col)
+    prints = tables.keep(fingerprints(docs, n, t, order, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "jaccard-prints")
+    member = tables.keep(classes(prints), "jaccard-class")
+    same = member.filter("row = rep").select("rep")
+    lead = tables.keep(prints.join(same, prints["row"] == same["rep"]).select("rep", "doc_id", "set_a", F.col("n_shingles").alias("n"), "bits", "first"), "jaccard-lead")
+
+    # Classes that meet under an n-gram, and the one of them in which it comes first.
+    sig = lead.select("rep", "n", F.posexplode("first").alias("pos", "gram"))
+    heads = sig.groupBy("gram").agg(F.min(F.struct("pos", "rep", "n")).alias("head"), F.count("*").alias("met")).filter("met > 1")
+    bucket = tables.keep(sig.join(heads.select("gram", "head"), "gram"), "jaccard-buckets")
+    star = bucket.filter((F.col("rep") != F.col("head.rep")) & may_link(F.col("n"), F.col("head.n"), F.col("pos"), F.col("head.pos"), t))
+    star = star.select(F.least("rep", "head.rep").alias("a"), F.greatest("rep", "head.rep").alias("b")).distinct()
+
+    def close(p: DataFrame) -> DataFrame:
+        """The pairs whose bitmaps allow the similarity."""
+        side = lambda v: lead.select(F.col("rep").alias(v), F.col("n").alias(f"n{v}"), F.col("bits").alias(f"bits_{v}"))
+        return p.join(side("a"), "a").join(side("b"), "b").filter(bits_allow("bits_a", "bits_b", F.col("na") + F.col("nb"), t)).select("a", "b")
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        wanted = lead.join(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "rep").select("rep", "doc_id", "set_a")
+        parts = tables.keep(fragments(docs, wanted, n, order, id_col, text_col), "jaccard-fragments")
+        links = tables.keep(linked(pairs, parts, lead, t), "jaccard-links")
+        tables.drop(parts)
+        return links
+
+    first = tables.keep(close(star), "jaccard-first")
+    links = compared(first)
+    group = components(lead.select(F.col("rep").alias("v")), links).withColumnRenamed("v", "rep")
+
+    # Classes that meet and are in different components still.
+    held = bucket.select("gram", "pos", "rep", "n").join(group, "rep")
+    split = held.groupBy("gram").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("gram")
+    rest = tables.keep(held.join(split, "gram").join(lead.select("rep", "bits"), "rep"), "jaccard-rest")
+    side = lambda v: rest.select("gram", *(F.col(x).alias(f"{x}_{v}") for x in ("rep", "pos", "n", "c", "bits")))
+    meet = (F.col("c_a") < F.col("c_b")) & may_link(F.col("n_a"), F.col("n_b"), F.col("pos_a"), F.col("pos_b"), t) & bits_allow("bits_a", "bits_b", F.col("n_a") + F.col("n_b"), t)
+    across = side("a").join(side("b"), "gram").filter(meet).select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).distinct()
+    across = tables.keep(across.join(first, ["a", "b"], "left_anti"), "jaccard-across")
+    tables.drop(bucket, rest)
+    more = compared(across)
+    of = lambda v: group.select(F.col("rep").alias(v), F.col("c").alias(f"c{v}"))
+    joins = more.join(of("a"), "a").join(of("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
     final = components(group.select(F.col("c").alias("v")).distinct(), joins)
-    comp = group.join(final.select(F.col("v").alias("c"), F.col("c").alias("component_id")), "c").select("rep", "component_id")
-    found = member.join(comp, "rep").select("doc_id", "n_shingles", "component_id", F.col("rep").alias("class_id"))
-    empty = prints.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.col("doc_id").alias("class_id"))
-    return found.unionByName(empty)
+    comp = group.join(final.select(F.col("v").alias("c"), F.col("c").alias("k")), "c").select("rep", "k")
+
+    # A component's id is the least id of its members; the first row with that id leads it.
+    low = lambda c: F.min(c).alias("least")
+    of_class = member.groupBy("rep").agg(low(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")))
+    of_group = of_class.join(comp, "rep").groupBy("k").agg(low("least"))
+    of_class = comp.join(of_group, "k").select("rep", F.col("least.doc_id").alias("component_id"), F.col("least.row").alias("leader"))
+    found = member.join(of_class, "rep").select("doc_id", "n_shingles", "component_id", F.col("rep").alias("class_id"), (F.col("row") == F.col("leader")).alias("leads"))
+    empty = prints.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.col("row").alias("class_id"), F.lit(True).alias("leads"))
+    out = Tables(docs.sparkSession).keep(found.unionByName(empty), "jaccard-groups")
+    tables.drop_all()
+    return out
 
 
 def deduplicated(docs: DataFrame, n: int = 5, similarity: Fraction = Fraction(4, 5), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its component."""
-    first = grouped(docs, n, similarity, id_col, text_col).filter("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(first, docs[id_col].cast("long") == F.col("_keep"), "left_semi")
+    """The rows of ``docs`` whose id is the smallest of a component; rows without an id stay, and repeated rows of an id that stays.
+
+    Only rows whose id may have to go are exchanged.
+    """
+    gone = grouped(docs, n, similarity, id_col, text_col).filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_gone")).agg(F.max(F.col("doc_id") == F.col("component_id")).alias("_stays")).filter("NOT _stays").select("_gone")
+    gone = Tables(docs.sparkSession).keep(gone, "jaccard-gone")
+    number = "_number"
+    while number in docs.columns:
+        number += "_"
+    rows, table = docs.withColumn(number, F.col(id_col).cast("long")), bit_table(gone)
+    maybe, sure = (maybe_in(rows, number, table, inside) for inside in (True, False))
+    return sure.unionByName(maybe.join(gone, maybe[number] == gone["_gone"], "left_anti")).select(docs.columns)

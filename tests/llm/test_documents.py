@@ -189,9 +189,7 @@ def brute_groups(texts, n, t):
 
 
 @pytest.mark.parametrize(("n", "t"), [(3, Fraction(9, 10)), (5, Fraction(4, 5))])
-def test_jaccard_against_all_pairs(spark, monkeypatch, n, t):
-    monkeypatch.setattr(jaccard, "SMALL", 6)
-    monkeypatch.setattr(jaccard, "BLOCK", 8)
+def test_jaccard_against_all_pairs(spark, n, t):
     r = np.random.default_rng(5)
     words = [f"W{k}" for k in range(900)]
     base = [list(r.choice(words, int(k))) for k in (60, 150, 25, 400, 12)]
@@ -209,6 +207,48 @@ def test_jaccard_against_all_pairs(spark, monkeypatch, n, t):
     assert len({c for _, c in want}) > 20
 
 
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") & 1] for i in range(n))
+
+
+def test_words_that_collide_modulo_a_power_of_two(spark):
+    one = thue_morse(2048)
+    two = one.translate(str.maketrans("ab", "ba"))
+    texts = [f"the {one} end of it", f"the {two} end of it", one, two, one]
+    got = {x["doc_id"]: x["component_id"] for x in jaccard.grouped(docs(spark, texts)).collect()}
+    assert got == {0: 0, 1: 1, 2: 2, 3: 3, 4: 2}
+    rows = {x["doc_id"]: x for x in pieces.encoded(docs(spark, texts)).collect()}
+    assert all(r["round_trip"] for r in rows.values()) and rows[2]["ids"] != rows[3]["ids"] and rows[2]["ids"] == rows[4]["ids"]
+
+
+def test_jaccard_large_group_of_near_copies_and_common_line(spark):
+    r = np.random.default_rng(8)
+    words = [f"w{k}" for k in range(5000)]
+    base, line = list(r.choice(words, 70)), " ".join(r.choice(words, 12))
+    texts = [" ".join(base)] * 20
+    for _ in range(150):
+        x = list(base)
+        for _ in range(int(r.integers(1, 4))):
+            x[int(r.integers(len(x)))] = str(r.choice(words))
+        texts.append(" ".join(x))
+    texts += [" ".join(r.choice(words, int(r.integers(10, 60)))) + " " + line for _ in range(150)]
+    for n, t in ((3, Fraction(9, 10)), (5, Fraction(4, 5))):
+        got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in jaccard.grouped(docs(spark, texts), n, t).collect()}
+        assert [got[i] for i in range(len(texts))] == brute_groups(texts, n, t)
+
+
+def test_jaccard_ids_that_are_null_or_repeated(spark):
+    a, b = "a b c d e f g h", "p q r s t u v w"
+    rows = [(None, a), (None, a), (7, a), (7, a), (7, b), (3, b), (None, "x y z"), (9, None)]
+    t = spark.createDataFrame([(*r, 1, 1, 1) for r in rows], "doc_id long, text string, _number int, _gone int, row int")
+    found = jaccard.grouped(t).collect()
+    assert sorted((str(r["doc_id"]), str(r["component_id"])) for r in found) == sorted([("None", "7"), ("None", "7"), ("7", "7"), ("7", "7"), ("7", "3"), ("3", "3"), ("None", "None"), ("9", "9")])
+    assert sum(r["leads"] for r in found) == 4
+    left = jaccard.deduplicated(t)
+    assert left.columns == t.columns and sorted(str(r["doc_id"]) for r in left.collect()) == ["3", "7", "7", "7", "9", "None", "None", "None"]
+    assert jaccard.deduplicated(t.filter("doc_id < 0")).count() == 0
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (103, 101), (200, 207)]
     nodes = sorted({x for e in edges for x in e} | {999})
