@@ -36,14 +36,18 @@ def bit_table(ids: DataFrame) -> Broadcast:
     return ids.sparkSession.sparkContext.broadcast(table.view(np.uint8))
 
 
+def on(ids: pa.Array, table: np.ndarray) -> np.ndarray:
+    """Whether each id's bit is on."""
+    k = _bit(ids)
+    return (table[k >> 3] >> (k & 7).astype(np.uint8)) & 1 == 1
+
+
 def maybe_in(rows: DataFrame, column: str, table: Broadcast, inside: bool = True) -> DataFrame:
     """The rows whose bit is on (off: ``inside`` False); all columns are kept."""
     at = rows.columns.index(column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            k = _bit(b.column(at))
-            on = (table.value[k >> 3] >> (k & 7).astype(np.uint8)) & 1 == 1
-            yield b.filter(pa.array(on == inside))
+            yield b.filter(pa.array(on(b.column(at), table.value) == inside))
 
     return rows.mapInArrow(run, rows.schema)

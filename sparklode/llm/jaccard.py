@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparklode.llm.bits import bit_table, maybe_in
+from sparklode.llm.bits import bit_table, maybe_in, on
 from sparklode.llm.store import Tables
 from sparklode.llm.textkernel import U64, mix, shingles, slices, utf8
 
@@ -58,7 +58,7 @@ class Order:
 
     def keys(self, h: np.ndarray) -> np.ndarray:
         """Places of n-grams in the order, from their hashes: the level, then the hash. They stand for the n-grams from here on."""
-        return self.level[(h & U64(COUNTERS - 1)).astype(np.int64)] << LEVEL | h >> U64(LEVEL_BITS)
+        return self.level[(h & U64(COUNTERS - 1)).astype(np.int64)].astype(U64) << LEVEL | h >> U64(LEVEL_BITS)
 
 
 def counted(docs: DataFrame, n: int, text_col: str) -> Order:
@@ -83,8 +83,8 @@ def counted(docs: DataFrame, n: int, text_col: str) -> Order:
         total[part] = np.frombuffer(x, np.int64)
     total = total.reshape(-1)
     # Half octaves: chance alone doesn't set the level of an n-gram that is met in a few documents only.
-    level = np.minimum(np.floor(2 * np.log2(np.maximum(total, 1))), (1 << LEVEL_BITS) - 1).astype(U64)
-    mass = np.concatenate(([0.0], np.cumsum(np.bincount(level.astype(np.int64), total, 1 << LEVEL_BITS))))
+    level = np.minimum(np.floor(2 * np.log2(np.maximum(total, 1))), (1 << LEVEL_BITS) - 1).astype(np.uint8)
+    mass = np.concatenate(([0.0], np.cumsum(np.bincount(level, total, 1 << LEVEL_BITS))))
     goal = np.linspace(0, mass[-1], FRAGMENTS + 1)[:-1]
     k = np.minimum(np.searchsorted(mass, goal, side="right") - 1, (1 << LEVEL_BITS) - 1)
     share = (goal - mass[k]) / np.maximum(mass[k + 1] - mass[k], 1)
@@ -138,10 +138,11 @@ def fingerprints(docs: DataFrame, n: int, t: Fraction, order: Order, id_col: str
 
 def fragments(docs: DataFrame, wanted: DataFrame, n: int, order: Order, id_col: str, text_col: str) -> DataFrame:
     """(rep, fragment, grams) of the wanted classes (rep, doc_id, set_a): the n-grams of a set in each fragment where it has any."""
-    held = docs.sparkSession.sparkContext.broadcast(order)
+    held, bits = docs.sparkSession.sparkContext.broadcast(order), bit_table(wanted.select("doc_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            b = b.filter(pa.array(on(b.column(0), bits.value)))
             ids, out = b.column(0), []
             for i, x in enumerate(_by_text(b.column(1), n, held.value)):
                 cut = np.append(np.searchsorted(x, held.value.pivots), len(x))
@@ -159,7 +160,7 @@ def fragments(docs: DataFrame, wanted: DataFrame, n: int, order: Order, id_col:
         return pa.RecordBatch.from_arrays([ids.take(pa.array([o[0] for o in out], pa.int64())), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.int32()), grams], ["doc_id", "set_a", "fragment", "grams"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = maybe_in(texts, "doc_id", bit_table(wanted.select("doc_id"))).mapInArrow(run, "doc_id long, set_a long, fragment int, grams array<long>")
+    rows = texts.mapInArrow(run, "doc_id long, set_a long, fragment int, grams array<long>")
     sides = rows.withColumnRenamed("doc_id", "_d").withColumnRenamed("set_a", "_a")
     return wanted.join(sides, wanted["doc_id"].eqNullSafe(sides["_d"]) & (wanted["set_a"] == sides["_a"])).select("rep", "fragment", "grams")
 
@@ -235,8 +236,10 @@ def grouped(docs: DataFrame, n: int = 3, similarity: Fraction = Fraction(9, 10),
 
     # Classes that meet under an n-gram, and the one of them in which it comes first.
     sig = lead.select("rep", "n", F.posexplode("first").alias("pos", "gram"))
-    heads = sig.groupBy("gram").agg(F.min(F.struct("pos", "rep", "n")).alias("head"), F.count("*").alias("met")).filter("met > 1")
-    bucket = tables.keep(sig.join(heads.select("gram", "head"), "gram"), "jaccard-buckets")
+    met = tables.keep(sig.join(sig.groupBy("gram").agg(F.count("*").alias("met")).filter("met > 1").select("gram"), "gram"), "jaccard-met")
+    heads = met.groupBy("gram").agg(F.min(F.struct("pos", "rep", "n")).alias("head"))
+    bucket = tables.keep(met.join(heads, "gram"), "jaccard-buckets")
+    tables.drop(met)
     star = bucket.filter((F.col("rep") != F.col("head.rep")) & may_link(F.col("n"), F.col("head.n"), F.col("pos"), F.col("head.pos"), t))
     star = star.select(F.least("rep", "head.rep").alias("a"), F.greatest("rep", "head.rep").alias("b")).distinct()
 

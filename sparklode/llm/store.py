@@ -9,7 +9,8 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is written: its query's shuffle files go when it has ended, as nobody reads them again; and Python workers get few rows at once.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -25,17 +26,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 @contextmanager
-def shuffles_removed(spark: SparkSession) -> Iterator[None]:
-    """Inside, a query's shuffle files go when it has ended: what it wrote is in a table, so nobody reads them again."""
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
+def writing(spark: SparkSession) -> Iterator[None]:
+    """The settings of :data:`WRITING`, for a while."""
+    before = {k: spark.conf.get(k, None) for k in WRITING}
+    for k, v in WRITING.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(CLEANUP)
-        else:
-            spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -51,7 +54,7 @@ class Tables:
 
     def keep(self, df: DataFrame, label: str) -> DataFrame:
         path = f"{shared_dir(self.spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-        with shuffles_removed(self.spark):
+        with writing(self.spark):
             df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = (out, path)
