@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import base64
 import binascii
-import hashlib
 import json
 import re
 import zlib
@@ -32,7 +31,7 @@ HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}+")
 GITHUB = re.compile(r"(?<![A-Za-z0-9])gh[pousr]_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
 NPM = re.compile(r"(?<![A-Za-z0-9])npm_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
 JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)")
-PEM = re.compile(r"-----BEGIN ([A-Z ]{0,20}PRIVATE KEY)-----([A-Za-z0-9+/=\s]{16,20000}+)-----END \1-----")
+PEM = re.compile(r"-----BEGIN ([A-Z ]{0,20}PRIVATE KEY)-----([A-Za-z0-9+/=\s]{16,}+)-----END \1-----")
 KEYWORDS = {
     "assign": ("password", "passwd", "secret", "token", "apikey", "api_key"),
     "access": ("akia",),
@@ -171,7 +170,3 @@ def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ma
             yield b.set_column(at, b.schema.field(at), pa.array(out, b.schema.field(at).type))
 
     return docs.mapInArrow(run, docs.schema)
-
-
-def digests(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()
