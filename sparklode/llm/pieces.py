@@ -27,11 +27,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparklode.llm.textkernel import Rolling, ranges, slices, utf8
+from sparklode.llm.textkernel import equal_ranges, ranges, slices, utf8, word_hashes
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Bytes of texts whose distinct words are one trie.
-CHUNK = 4 << 20
+#: Bytes of texts whose distinct words are one trie, and the words whose ids a task remembers from one trie to the next at most.
+CHUNK, KNOWN = 4 << 20, 400_000
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
@@ -96,7 +96,7 @@ class Encoder:
     """Encodes sorted marked words; keeps what it has learnt of pairs of pieces."""
 
     def __init__(self, v: Vocabulary):
-        self.v, self.pairs, self.self_made = v, {}, {}
+        self.v, self.pairs, self.self_made, self.known = v, {}, {}, {}
         # Lengths of the pieces that end in each two letters, longest first.
         lengths: dict[str, set[int]] = {}
         for p in v.ids:
@@ -148,6 +148,16 @@ class Encoder:
             known = self.self_made[p] = self.merged(p) == [p]
         return known
 
+    def encode_words(self, words: list[bytes]) -> list[list[int]]:
+        """Ids of each of distinct words with spaces for marks. Words met before are remembered; the new ones are one trie."""
+        known = self.known
+        if len(known) > KNOWN:  # they are walked again: the result is the same
+            known.clear()
+        new = sorted((w.decode().replace(" ", MARK), w) for w in words if w not in known)
+        for (_, w), ids in zip(new, self.encode_sorted([m for m, _ in new]), strict=True):
+            known[w] = ids
+        return [known[w] for w in words]
+
     def encode_sorted(self, words: list[str]) -> Iterator[list[int]]:
         """Ids of each word, in the order given; the words are sorted, so those with a common prefix are neighbours."""
         ids, lengths, bpe = self.v.ids, self.lengths, self.v.bpe
@@ -222,14 +232,16 @@ def encode_batch(column: pa.Array, encoder: Encoder) -> tuple[np.ndarray, np.nda
     first[bounds] = True
     start = np.flatnonzero(first)
     end = np.append(start[1:], len(raw)) if len(start) else start
-    h = Rolling(raw).spans(start, end)
-    _, at, which = np.unique(h, return_index=True, return_inverse=True)
+    _, at, which = np.unique(word_hashes(raw, start, end), return_index=True, return_inverse=True)
+    size = end - start
     blob = raw.tobytes()
-    words = [blob[a:b].decode().replace(" ", MARK) for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)]
-    order = sorted(range(len(words)), key=words.__getitem__)
-    found: list[list[int]] = [[]] * len(words)
-    for i, ids in zip(order, encoder.encode_sorted([words[i] for i in order]), strict=True):
-        found[i] = ids
+    if not (np.array_equal(size[at][which], size) and equal_ranges(raw, start, start[at][which], size).all()):
+        # Different words with one hash: they are told apart by themselves.
+        first: dict[bytes, int] = {}
+        which = np.array([first.setdefault(blob[a:b], len(first)) for a, b in zip(start.tolist(), end.tolist(), strict=True)], np.int64)
+        at = np.unique(which, return_index=True)[1]
+    words = [blob[a:b] for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)]
+    found = encoder.encode_words(words)
     n = np.fromiter(map(len, found), np.int64, len(found))
     flat = np.fromiter((k for ids in found for k in ids), np.int32, int(n.sum()))
     base = np.cumsum(n) - n
