@@ -89,17 +89,18 @@ units AS (SELECT *, (total - capsum) / (allw - wsum) AS unit FROM line),
 opened AS (SELECT *, cap > unit * w AS is_open FROM units),
 goal AS (
   SELECT source, source_size, CASE WHEN is_open THEN w * (SELECT min_by(unit, cap / w) FROM opened WHERE is_open) ELSE cap END AS target FROM opened),
+mass AS (SELECT source, sum(({mixing.SOME} + least(size, {mixing.FULL})) * size)::BIGINT AS m FROM sized GROUP BY source),
 due AS (
-  SELECT s.doc_id, s.source, s.size, s.u, g.source_size, g.target,
-         CASE WHEN g.source_size > 0 THEN floor(g.target / g.source_size) ELSE 0 END AS whole,
-         CASE WHEN g.source_size > 0 THEN g.target / g.source_size - floor(g.target / g.source_size) ELSE 0 END AS p
-  FROM sized s JOIN goal g ON s.source IS NOT DISTINCT FROM g.source),
+  SELECT s.doc_id, s.source, s.size, s.u, g.source_size, g.target, mass.m,
+         CASE WHEN g.source_size > 0 THEN floor(g.target / g.source_size) ELSE 0 END AS whole, g.target - whole * g.source_size AS rest
+  FROM sized s JOIN goal g ON s.source IS NOT DISTINCT FROM g.source JOIN mass ON s.source IS NOT DISTINCT FROM mass.source),
+chance AS (SELECT *, CASE WHEN rest > 0 AND size > 0 THEN least(rest * ({mixing.SOME} + least(size, {mixing.FULL})) / m, {mixing.NEAR_ONE!r}::DOUBLE) ELSE 0 END AS p FROM due),
 ranked AS (
-  SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY CASE WHEN p > 0 THEN (u / (1 - u)) / (p / (1 - p)) END, doc_id, size
+  SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY CASE WHEN p > 0 THEN (u / (1 - u)) / (p / (1 - p)) END NULLS LAST, doc_id::VARCHAR, size
                      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cum
-  FROM due)
+  FROM chance)
 SELECT doc_id, size, source_size, target,
-       (whole * size + CASE WHEN p > 0 AND 2 * cum + size <= 2 * (target - whole * source_size) THEN size ELSE 0 END)::BIGINT AS taken
+       (whole * size + CASE WHEN p > 0 AND 2 * cum + size <= 2 * rest THEN size ELSE 0 END)::BIGINT AS taken
 FROM ranked"""
 
 

@@ -83,6 +83,29 @@ def test_mixing(spark):
     for s in order:
         assert goal[s] == pytest.approx(want[s]) and abs(taken[s] - want[s]) <= 20
     assert mixing.mixed(d).count() == sum(x["copies"] for x in rows) and mixing.mixed(d).columns == d.columns
+    assert mixing.mixed(d.filter("doc_id < 0")).count() == 0
+    plan = mixing.mixed(d)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def test_mixing_takes_by_odds(spark, monkeypatch):
+    """Rows taken again are those of least odds: large documents more often; the order is that of all odds, whatever the bins."""
+    r = np.random.default_rng(3)
+    d = docs(spark, ["w " * int(n) for n in r.choice([5, 50, 500, 2000], 800)], lambda i: "one" if i % 2 else "two")
+    rows = {x["doc_id"]: x for x in mixing.allocated(d, share=0.3).collect()}
+    share = lambda n: np.mean([x["copies"] for x in rows.values() if x["size"] == n and x["source"] == "two"])
+    assert share(5) < share(500) < share(2000) and share(50) < share(500) and share(500) > 0.05
+    monkeypatch.setattr(mixing, "BINS", 1)
+    assert {x["doc_id"]: x["copies"] for x in mixing.allocated(d, share=0.3).collect()} == {k: x["copies"] for k, x in rows.items()}
+
+
+def test_mixing_ids_with_two_texts(spark):
+    rows = [(1, "a b c", "s"), (1, "a b c d e f g", "s"), (1, None, None), (None, "x y", "s"), (None, "x y", "s"), (2, "z " * 50, "t")]
+    t = spark.createDataFrame([(*r, 1, 1) for r in rows], "doc_id long, text string, source string, _copies int, _s int")
+    share = mixing.allocated(t).collect()
+    assert len(share) == len(rows) and all(x["taken"] <= 2 * x["size"] for x in share)
+    got = mixing.mixed(t)
+    assert got.columns == t.columns and sum(len((x["text"] or "").split()) for x in got.collect()) == sum(x["taken"] for x in share)
 
 
 def test_secrets_against_patterns(spark):
@@ -106,6 +129,20 @@ def test_secrets_against_patterns(spark):
     assert kept[0] is None and kept[3] == "one" and "04dbebab" not in kept[len(ODD)] and kept[len(ODD)].endswith(" x")
 
 
+def test_secrets_keys_of_any_length(spark):
+    import base64
+
+    body = bytes(range(256)) * 500
+    der = b"\x30\x83" + len(body).to_bytes(3, "big") + body
+    code = base64.b64encode(der).decode()
+    mark = "PRIVATE " + "KEY"
+    key = f"-----BEGIN {mark}-----\n" + "\n".join(code[i : i + 64] for i in range(0, len(code), 64)) + f"\n-----END {mark}-----"
+    long = "word " * 100_000 + key + " tail"
+    got = secrets.digest(secrets.scanned(docs(spark, [long, key[:-1], key.replace("MI", "*", 1)]))).orderBy("doc_id").collect()
+    assert f"private_key:500000:{500_000 + len(key)}" in got[0]["spans"].split(",") and "private_key" not in got[1]["spans"]
+    assert secrets.redacted(docs(spark, [long])).first()["text"].endswith("[SECRET] tail") and secrets.redacted(docs(spark, ["x"]).filter("doc_id < 0")).count() == 0
+
+
 def test_pii_against_patterns_and_held_out(spark):
     email = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
     ip = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
