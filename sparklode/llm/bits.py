@@ -1,53 +1,32 @@
 """A bit table of fixed size over ids: rows whose bit is off are surely not among them.
 
-It spares most rows of a large table the exchange before a join, whatever the size of the input; the join itself decides.
+It spares most rows of a large table the exchange before a join, whatever the size of the input; the join itself decides. The table has
+at most BITS / 64 rows of 64 bits, so it may be broadcast; looking a row up is a hash join in the JVM.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparklode.llm.textkernel import U64, mix
+from sparklode.llm.store import materialize
 
 BITS = 1 << 24
 
 
-def _bit(ids: pa.Array) -> np.ndarray:
-    return (mix(ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(U64)) & U64(BITS - 1)).astype(np.int64)
-
-
-def bit_table(ids: DataFrame) -> Broadcast:
-    """The packed table (BITS / 8 bytes) of the first column, a long; it is put together in Spark as at most BITS / 64 words."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(_bit(b.column(0)))], ["bit"])
+def _bit(column: str) -> Column:
+    return F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(BITS))
 
-    one = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("bit") % 64).cast("int"))
-    words = ids.distinct().mapInArrow(run, "bit long").groupBy(F.shiftright("bit", 6).cast("int").alias("at")).agg(F.bit_or(one).alias("word")).toArrow()
-    table = np.zeros(BITS // 64, np.int64)
-    table[words["at"].to_numpy()] = words["word"].to_numpy()
-    return ids.sparkSession.sparkContext.broadcast(table.view(np.uint8))
 
+def bit_table(ids: DataFrame) -> DataFrame:
+    """(_at, _word): the words of the table that have a bit for an id in the first column, a long."""
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("_bit") % 64).cast("int"))
+    words = ids.select(_bit(ids.columns[0]).alias("_bit")).groupBy(F.shiftright("_bit", 6).alias("_at")).agg(F.bit_or(one).alias("_word"))
+    return materialize(words, "bits")
 
-def on(ids: pa.Array, table: np.ndarray) -> np.ndarray:
-    """Whether each id's bit is on."""
-    k = _bit(ids)
-    return (table[k >> 3] >> (k & 7).astype(np.uint8)) & 1 == 1
 
-
-def maybe_in(rows: DataFrame, column: str, table: Broadcast, inside: bool = True) -> DataFrame:
+def maybe_in(rows: DataFrame, column: str, table: DataFrame, inside: bool = True) -> DataFrame:
     """The rows whose bit is on (off: ``inside`` False); all columns are kept."""
-    at = rows.columns.index(column)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield b.filter(pa.array(on(b.column(at), table.value) == inside))
-
-    return rows.mapInArrow(run, rows.schema)
+    row = rows.select(F.struct("*").alias("_row"), _bit(column).alias("_bit")).withColumn("_at", F.shiftright("_bit", 6))
+    on = F.coalesce(F.getbit("_word", (F.col("_bit") % 64).cast("int")) == 1, F.lit(False))
+    return row.join(F.broadcast(table), "_at", "left").filter(on if inside else ~on).select("_row.*")

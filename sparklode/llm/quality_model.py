@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparklode.llm.textkernel import U64, Rolling, ascii_lower, mix, slices, utf8, words
+from sparklode.llm.textkernel import U64, ascii_lower, mix, slices, utf8, word_hashes, words
 
 #: Most labelled rows that the fit reads, width of the hashed space, fewest documents of the sample a feature must be in, and how many
 #: standard errors its share must differ by between the grades of some pair in :data:`SIDES`. Words that tell nothing have no weight.
@@ -40,6 +40,8 @@ SIDES = (((0,), (1, 2)), ((0, 1), (2,)), ((1,), (2,)), ((0,), (1,)))
 #: Tail probability from which a document is kept.
 KEEP = 0.3
 GRADES = 3
+#: Bytes of texts worked on at once.
+CHUNK = 1 << 20
 
 
 @dataclass
@@ -83,10 +85,10 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         last = raw[trim - 1] if len(trim) else trim
         cut = (trim - start > 1) & np.isin(last, np.frombuffer(b".,;:!?*$%&#", np.uint8))
         trim = trim - cut
-    roll = Rolling(ascii_lower(raw))
-    word = roll.spans(start, trim)
+    low = ascii_lower(raw)
+    word = word_hashes(low, start, trim)
     longs = [np.flatnonzero(trim - start >= n) for n in STEMS]
-    stems = [roll.spans(start[at], start[at] + n) ^ U64(1 << 42) for n, at in zip(STEMS, longs, strict=True)]
+    stems = [word_hashes(low, start[at], start[at] + n) ^ U64(1 << 42) for n, at in zip(STEMS, longs, strict=True)]
     same = np.zeros(len(word), bool)
     same[1:] = (word[1:] == word[:-1]) & (doc[1:] == doc[:-1])
     shares = np.zeros((n_texts, 129))
@@ -119,7 +121,7 @@ def fitted(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE, id_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo, hi in slices(b.column(1)):
+            for lo, hi in slices(b.column(1), CHUNK):
                 part = b.slice(lo, hi - lo)
                 ids, off = features(part.column(1))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(ids.astype(np.int32))), part.column(2)], ["doc_id", "ids", "grade"])
@@ -181,7 +183,7 @@ def scored(docs: DataFrame, model: Model, keep: float = KEEP, id_col: str = "doc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
         for b in batches:
-            for lo, hi in slices(b.column(1)):
+            for lo, hi in slices(b.column(1), CHUNK):
                 part = b.slice(lo, hi - lo)
                 tail, expected = probabilities(part.column(1), m)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(expected), pa.array(tail), pa.array(tail >= keep)], ["doc_id", "expected_grade", "tail_prob", "kept"])
@@ -207,7 +209,7 @@ def selected(docs: DataFrame, model: Model, keep: float = KEEP, id_col: str = "d
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             text = b.column(b.schema.get_field_index(text_col))
-            for lo, hi in slices(text):
+            for lo, hi in slices(text, CHUNK):
                 yield b.slice(lo, hi - lo).filter(pa.array(probabilities(text.slice(lo, hi - lo), held.value)[0] >= keep))
 
     return docs.mapInArrow(run, docs.schema)

@@ -1,6 +1,7 @@
 """Operators over documents, each against a plain version; nulls, empty and long texts, ties, repeats, empty tables, clashing columns."""
 
 import hashlib
+import os
 import re
 from collections import Counter
 from fractions import Fraction
@@ -293,13 +294,17 @@ def test_components(spark):
     assert got == {v: 0 if v <= 40 else 100 if v < 200 else 200 if v < 999 else 999 for v in nodes}
 
 
-def test_quality_model_holds_out(spark):
-    d, lab = (spark.read.parquet(f"/root/testdata/check_s/{t}.parquet") for t in ("documents", "labels"))
+@pytest.mark.parametrize(("folder", "abusive_kept"), [("check_s", 0.15), ("sf0.1", 0.2)])
+def test_quality_model_holds_out(spark, folder, abusive_kept):
+    """A third of the labels held out; sf0.1 has half as many labels as check_s, which is not on every machine."""
+    if not os.path.isdir(f"/root/testdata/{folder}"):
+        pytest.skip(f"no {folder}")
+    d, lab = (spark.read.parquet(f"/root/testdata/{folder}/{t}.parquet") for t in ("documents", "labels"))
     m = quality_model.fitted(d, lab.filter("doc_id % 3 != 0"))
     assert m.cuts[0] < m.cuts[1]
     x = quality_model.scored(d, m).join(lab.filter("doc_id % 3 = 0"), "doc_id").toPandas()
     clean = (x.quality == 1) & (x.toxic == 0)
-    assert x.kept[clean].mean() > 0.99 and x.kept[x.quality == 0].mean() < 0.02 and x.kept[(x.quality == 1) & (x.toxic == 1)].mean() < 0.15
+    assert x.kept[clean].mean() > 0.99 and x.kept[x.quality == 0].mean() < 0.02 and x.kept[(x.quality == 1) & (x.toxic == 1)].mean() < abusive_kept
     assert ((x.expected_grade >= 0) & (x.expected_grade <= 2)).all() and (x.tail_prob <= x.expected_grade / 2 + 1e-9).all()
 
 
