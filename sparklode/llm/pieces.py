@@ -31,7 +31,7 @@ from sparklode.llm.textkernel import equal_ranges, ranges, slices, utf8, word_ha
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Bytes of texts whose distinct words are one trie, and the words whose ids a task remembers from one trie to the next at most.
-CHUNK, KNOWN = 4 << 20, 400_000
+CHUNK, KNOWN = 1 << 20, 150_000
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
@@ -96,7 +96,7 @@ class Encoder:
     """Encodes sorted marked words; keeps what it has learnt of pairs of pieces."""
 
     def __init__(self, v: Vocabulary):
-        self.v, self.pairs, self.self_made, self.known = v, {}, {}, {}
+        self.v, self.pairs, self.self_made, self.known, self.older = v, {}, {}, {}, {}
         # Lengths of the pieces that end in each two letters, longest first.
         lengths: dict[str, set[int]] = {}
         for p in v.ids:
@@ -150,10 +150,17 @@ class Encoder:
 
     def encode_words(self, words: list[bytes]) -> list[list[int]]:
         """Ids of each of distinct words with spaces for marks. Words met before are remembered; the new ones are one trie."""
-        known = self.known
-        if len(known) > KNOWN:  # they are walked again: the result is the same
-            known.clear()
-        new = sorted((w.decode().replace(" ", MARK), w) for w in words if w not in known)
+        if len(self.known) > KNOWN // 2:  # what isn't met again for long is forgotten, and walked again: the result is the same
+            self.older, self.known = self.known, {}
+        known, older = self.known, self.older
+        new = []
+        for w in words:
+            if w not in known:
+                if (ids := older.get(w)) is not None:
+                    known[w] = ids
+                else:
+                    new.append((w.decode().replace(" ", MARK), w))
+        new.sort()
         for (_, w), ids in zip(new, self.encode_sorted([m for m, _ in new]), strict=True):
             known[w] = ids
         return [known[w] for w in words]
@@ -283,7 +290,7 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary | None = None, id_col: str =
                     same = np.array([np.array_equal(raw[ends[i] : ends[i + 1]], want[at[i] : at[i + 1]]) for i in range(part.num_rows)], bool)
                 lists = pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(off)), lists, pa.array(same)], ["doc_id", "n_tokens", "ids", "round_trip"])
-            if len(encoder.pairs) > 2_000_000:  # keeps what is remembered of pairs bounded; they are worked out again
+            if len(encoder.pairs) > 500_000:  # keeps what is remembered of pairs bounded; they are worked out again
                 encoder.pairs.clear()
 
     kind = docs.schema[id_col].dataType.simpleString()
