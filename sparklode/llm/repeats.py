@@ -4,8 +4,8 @@ A passage is a string of :data:`LENGTH` bytes; every byte of a passage that star
 
 1.  *Runs.* Each start of a passage is filed under the least hash among its passage's :data:`GRAM`-byte grams. Equal passages have
     equal keys, and starts next to each other mostly share one, so a text becomes a few runs of starts, each with a key and
-    the hash of the bytes that its passages cover. No exchange of text.
-2.  *Copies.* Runs are counted by key and by hash, in Spark. A key met once is dropped: its passages are unique. Runs of equal
+    a 128-bit digest of the bytes that its passages cover. No exchange of text.
+2.  *Copies.* Runs are counted by key and digest, in Spark. A key met once is dropped: its passages are unique. Runs of equal
     bytes are repeated whole. Only keys with different bytes (texts that are alike in part) and runs that overlap themselves go on,
     one representative for each different byte string.
 3.  *Shards.* The representatives' bytes are cut into phrases at places that the content names. Each shard's phrase sequences are
@@ -14,12 +14,15 @@ A passage is a string of :data:`LENGTH` bytes; every byte of a passage that star
     symbols of all suffixes, is made right for h + 1 by one stable distribution by the transforms' symbols. The round in which two
     neighbours part is their common prefix. Suffixes aren't sorted again. Starts whose phrases are not in a repeated interval are
     dropped.
-5.  *Bytes.* What is left is decided by the hash of the whole passage, so the result has the accuracy of single bytes.
+5.  *Bytes.* The phrases of a repeated interval leave some bytes at both ends of a passage open: an exact check of the passages follows,
+    byte by byte, so the result has the accuracy of single bytes.
 
-A task holds whole keys, some megabytes at a time; a key is split only by being brought down to its different byte strings first.
+A task holds whole keys, some megabytes at a time. A key of more than :data:`HOT` different byte strings would not fit: its starts are
+dealt out one by one, by a 128-bit digest of each passage, and counted in Spark.
 
-Defined results: null and empty texts have no bytes; texts shorter than a passage lose nothing; matches don't cross documents; repeated
-rows of an id are copies of one another, each with a row of its own; an empty table gives an empty one; only the id and the text are read.
+Defined results: null and empty texts have no bytes; texts shorter than a passage lose nothing; matches don't cross documents; every row is
+a document of its own, so repeated rows are copies of one another, and an id with two texts has a row for each; rows without an id take
+part; an empty table gives an empty one; only the id and the text are read.
 """
 
 from __future__ import annotations
@@ -33,8 +36,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparklode.llm.bits import bit_table, maybe_in
-from sparklode.llm.store import materialize
-from sparklode.llm.textkernel import U64, Rolling, ranges, slices, utf8
+from sparklode.llm.store import Tables
+from sparklode.llm.textkernel import U64, Rolling, equal_ranges, ranges, slices, utf8
 
 LENGTH = 400
 GRAM = 96
@@ -43,6 +46,12 @@ CHUNK = 1 << 20
 #: A phrase ends where the hash of the CUT bytes before is a multiple of EACH.
 CUT, EACH = 16, 32
 SHARDS = 4
+#: Different byte strings of a key that one task takes at most.
+HOT = 8192
+
+
+def digest_of(data: bytes | memoryview) -> bytes:
+    return hashlib.blake2b(data, digest_size=16).digest()
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -60,11 +69,11 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def key_runs(raw: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """(text, key, first start in the text, number of starts, hash of the bytes, whether it may overlap itself) of each run."""
+    """(text, key, first start in the text, number of starts, digest of the bytes, whether it may overlap itself) of each run."""
     n = len(raw)
     none = np.zeros(0, np.int64)
     if n < length:
-        return none, none.view(U64), none, none, none.view(U64), none.astype(bool)
+        return none, none.view(U64), none, none, [], none.astype(bool)
     roll, w = Rolling(raw), length - gram + 1
     grams = roll.grams(gram)
     least = sliding_min(grams, w)
@@ -90,7 +99,9 @@ def key_runs(raw: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int =
         of = np.repeat(grams[left], hi - lo + 1)
         again[run[key[first][run] == of]] = True
     again &= count > 1
-    return text[first], key[first], begin - off[text[first]], count, roll.spans(begin, begin + count - 1 + length), again
+    data = memoryview(raw.tobytes())
+    covered = [digest_of(data[a:b]) for a, b in zip(begin.tolist(), (begin + count - 1 + length).tolist(), strict=True)]
+    return text[first], key[first], begin - off[text[first]], count, covered, again
 
 
 def _parts(raw: np.ndarray, off: np.ndarray, length: int, gram: int) -> Iterator[tuple[np.ndarray, ...]]:
@@ -111,11 +122,15 @@ def runs(texts: DataFrame, length: int, gram: int) -> DataFrame:
                 part = b.slice(lo, hi - lo)
                 for text, key, at, count, ph, again in _parts(*utf8(part.column(1)), length, gram):
                     yield pa.RecordBatch.from_arrays(
-                        [part.column(0).take(pa.array(text)), pa.array(key.view(np.int64)), pa.array(at.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(ph.view(np.int64)), pa.array(again)],
-                        ["doc_id", "key", "at", "n", "bytes", "again"],
+                        [
+                            *(part.column(i).take(pa.array(text, pa.int64())) for i in (0, 2)),
+                            *(pa.array(key.view(np.int64)), pa.array(at.astype(np.int32)), pa.array(count.astype(np.int32))),
+                            *(pa.array(ph, pa.binary()), pa.array(again)),
+                        ],
+                        ["doc_id", "text_id", "key", "at", "n", "bytes", "again"],
                     )
 
-    return texts.mapInArrow(run, "doc_id long, key long, at int, n int, bytes long, again boolean")
+    return texts.mapInArrow(run, "doc_id long, text_id long, key long, at int, n int, bytes binary, again boolean")
 
 
 # ---------------------------------------------------------------- transforms and their merge
@@ -201,7 +216,8 @@ def repeated_starts(raw: np.ndarray, off: np.ndarray, count: np.ndarray, shard:
     np.add.at(before, cuts + 1, 1)
     before = np.cumsum(before)  # cuts before each position
     head = before[start + CUT]
-    inside = before[np.minimum(start + length + 1, len(before) - 1)] - head - 1  # whole phrases of the passage
+    # Whole phrases of the passage. A cut at its very end is left out: where a piece ends there, it isn't seen.
+    inside = before[start + length] - head - 1
     candidate = inside <= 0
     if len(symbol):
         depth = int(max(inside.max(initial=0), 0)) + 2
@@ -222,13 +238,40 @@ def repeated_starts(raw: np.ndarray, off: np.ndarray, count: np.ndarray, shard:
         some = np.flatnonzero(~candidate)
         candidate[some] = deep[head[some]] >= inside[some]
     start, piece = start[candidate], piece[candidate]
+    found = twice_there(raw, start, length)
+    return start[found], piece[found]
+
+
+def twice_there(raw: np.ndarray, start: np.ndarray, length: int) -> np.ndarray:
+    """Which of the starts, in order, have a passage that another of them has as well: brought together by a hash, compared byte by byte."""
+    if not len(start):
+        return np.zeros(0, np.int64)
     h = Rolling(raw).spans(start, start + length)
     order = np.argsort(h, kind="stable")
-    same = np.concatenate(([False], h[order][1:] == h[order][:-1])) if len(h) else np.zeros(0, bool)
-    twice = same.copy()
-    twice[:-1] |= same[1:]
-    found = np.sort(order[twice])
-    return start[found], piece[found]
+    same = h[order][1:] == h[order][:-1]
+    # Each start's partner: the one before it with its hash, or the one after for the first.
+    partner = np.full(len(start), -1)
+    partner[order[:-1][same]] = order[1:][same]
+    partner[order[1:][same]] = order[:-1][same]
+    some = np.flatnonzero(partner >= 0)
+    if not len(some):
+        return some
+    at, to = start[some], start[partner[some]]
+    # Starts next to each other with partners next to each other are compared as one range.
+    first = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1] + 1) | (to[1:] != to[:-1] + 1))))
+    last = np.append(first[1:], len(at)) - 1
+    good = equal_ranges(raw, at[first], to[first], at[last] - at[first] + length)
+    right = np.repeat(good, last - first + 1)
+    if right.all():
+        return some
+    # Hashes that different passages share: told apart by the passages themselves.
+    wrong = np.unique(h[some[~right]])
+    doubt = np.isin(h, wrong)
+    data, seen = raw.tobytes(), {}
+    for i in np.flatnonzero(doubt).tolist():
+        seen.setdefault(data[start[i] : start[i] + length], []).append(i)
+    clear = some[right & ~doubt[some]]
+    return np.sort(np.concatenate([clear, *(np.array(x) for x in seen.values() if len(x) > 1)])).astype(np.int64)
 
 
 def merged(pieces: DataFrame, length: int) -> DataFrame:
@@ -244,8 +287,7 @@ def merged(pieces: DataFrame, length: int) -> DataFrame:
         lo = np.flatnonzero(first)
         hi = np.append(lo[1:], len(at))
         own = piece[lo]
-        take = lambda v, kind: pa.array(np.array(v, np.int64)[own], kind)
-        return pa.RecordBatch.from_arrays([take(key, pa.int64()), take(ph, pa.int64()), pa.array(at[lo].astype(np.int32)), pa.array((at[hi - 1] + 1).astype(np.int32)) if len(lo) else pa.array([], pa.int32())], ["key", "bytes", "from", "to"])
+        return pa.RecordBatch.from_arrays([pa.array(np.array(key, np.int64)[own]), pa.array([ph[i] for i in own.tolist()], pa.binary()), pa.array(at[lo].astype(np.int32)), pa.array((at[hi - 1] + 1).astype(np.int32)) if len(lo) else pa.array([], pa.int32())], ["key", "bytes", "from", "to"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, last = [], 0, None
@@ -260,45 +302,68 @@ def merged(pieces: DataFrame, length: int) -> DataFrame:
         if held:
             yield work(held)
 
-    return pieces.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, bytes long, from int, to int")
+    return pieces.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, bytes binary, from int, to int")
+
+
+def starts_counted(pieces: DataFrame, length: int) -> DataFrame:
+    """The same for keys of any number of pieces: every start by itself, by the digest of its passage."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for key, ph, n, data in zip(*(b.column(i).to_pylist() for i in (0, 1, 2, 4)), strict=True):
+                passages = [digest_of(data[i : i + length]) for i in range(n)]
+                yield pa.RecordBatch.from_arrays([pa.array([key] * n, pa.int64()), pa.array([ph] * n, pa.binary()), pa.array(range(n), pa.int32()), pa.array(passages, pa.binary())], ["key", "bytes", "from", "passage"])
+
+    starts = pieces.mapInArrow(run, "key long, bytes binary, from int, passage binary")
+    twice = starts.groupBy("passage").agg(F.count("*").alias("met")).filter("met > 1").select("passage")
+    return starts.join(twice, "passage").select("key", "bytes", "from", (F.col("from") + 1).alias("to"))
 
 
 def ranges_to_remove(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(doc_id, from, to): byte ranges to remove, not yet joined; ``texts`` has (doc_id, text)."""
-    every = materialize(runs(texts, length, gram), "repeat-runs")
-    kinds = every.groupBy("key", "bytes").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "at", "n", "again")).alias("one"))
-    kinds = materialize(kinds, "repeat-kinds")
+    """(doc_id, text_id, from, to): byte ranges to remove, not yet joined; ``texts`` has (doc_id, text, text_id)."""
+    tables = Tables(texts.sparkSession)
+    every = tables.keep(runs(texts, length, gram), "repeat-runs")
+    kinds = every.groupBy("key", "bytes").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "text_id", "at", "n", "again")).alias("one"))
+    kinds = tables.keep(kinds, "repeat-kinds")
     keys = kinds.groupBy("key").agg(F.count("*").alias("different"), F.sum("copies").alias("total"), F.max("one.again").alias("again")).filter((F.col("total") > 1) | F.col("again"))
-    live = materialize(kinds.join(keys.drop("again"), "key").select("key", "bytes", "copies", "different", "one.*"), "repeat-live")
+    live = tables.keep(kinds.join(keys.drop("again"), "key").select("key", "bytes", "copies", "different", "one.*"), "repeat-live")
+    tables.drop(kinds)
     whole = live.filter("copies > 1").select("key", "bytes", F.lit(0).alias("from"), F.col("n").alias("to"))
-    ask = live.filter("different > 1 OR again").select("doc_id", "key", "bytes", "at", "n")
+    ask = live.filter("different > 1 OR again").select("doc_id", "text_id", "key", "bytes", "at", "n", (F.col("different") > HOT).alias("hot"))
     wanted = bit_table(ask.select("doc_id"))
-    lists = ask.groupBy("doc_id").agg(F.collect_list(F.struct("key", "bytes", "at", "n")).alias("runs"))
+    lists = ask.groupBy(F.col("doc_id").alias("_d"), F.col("text_id").alias("_t")).agg(F.collect_list(F.struct("key", "bytes", "at", "n", "hot")).alias("runs"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[list] = [[], [], [], [], []]
-            for doc, text, found in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            out: list[list] = [[] for _ in range(6)]
+            for doc, text, text_id, found in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                 data = (text or "").encode()
                 for r in found:
                     piece = data[r["at"] : r["at"] + r["n"] - 1 + length]
-                    for o, v in zip(out, (r["key"], r["bytes"], r["n"], doc % SHARDS if doc is not None else 0, piece), strict=True):
+                    for o, v in zip(out, (r["key"], r["bytes"], r["n"], text_id % SHARDS, piece, r["hot"]), strict=True):
                         o.append(v)
                 if len(out[0]) > 4096:
                     yield _pieces(out)
-                    out = [[], [], [], [], []]
+                    out = [[] for _ in range(6)]
             yield _pieces(out)
 
-    pieces = maybe_in(texts, "doc_id", wanted).join(lists, "doc_id").select("doc_id", "text", "runs").mapInArrow(cut, "key long, bytes long, n int, shard int, data binary")
-    part = merged(pieces, length)
-    both = materialize(whole.unionByName(part), "repeat-ranges")
-    hit = every.select("doc_id", "key", "bytes", "at").join(both, ["key", "bytes"])
-    return materialize(hit.select("doc_id", (F.col("at") + F.col("from")).alias("from"), (F.col("at") + F.col("to") - 1 + length).alias("to")).distinct(), "repeat-hits")
+    one = maybe_in(texts, "doc_id", wanted)
+    # A row that is there twice is one representative.
+    one = one.join(lists, one["doc_id"].eqNullSafe(lists["_d"]) & (one["text_id"] == lists["_t"])).select("doc_id", "text", "text_id", "runs")
+    pieces = tables.keep(one.mapInArrow(cut, "key long, bytes binary, n int, shard int, data binary, hot boolean"), "repeat-pieces")
+    cold, hot = pieces.filter("NOT hot").drop("hot"), pieces.filter("hot").drop("hot").dropDuplicates(["key", "bytes"])
+    part = merged(cold, length).unionByName(starts_counted(hot, length))
+    both = tables.keep(whole.unionByName(part), "repeat-ranges")
+    tables.drop(pieces)
+    hit = every.select("doc_id", "text_id", "key", "bytes", "at").join(both, ["key", "bytes"])
+    hits = Tables(texts.sparkSession).keep(hit.select("doc_id", "text_id", (F.col("at") + F.col("from")).alias("from"), (F.col("at") + F.col("to") - 1 + length).alias("to")).distinct(), "repeat-hits")
+    tables.drop_all()
+    return hits
 
 
 def _pieces(out: list[list]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, kinds, strict=True)], ["key", "bytes", "n", "shard", "data"])
+    kinds = (pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.bool_())
+    return pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, kinds, strict=True)], ["key", "bytes", "n", "shard", "data", "hot"])
 
 
 def joined(found: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -314,9 +379,9 @@ def joined(found: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def cleaned(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept binary) for every row; ``kept`` is what is left of the text."""
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("text_id"))
     hits = ranges_to_remove(texts, length, gram)
-    by_doc = hits.groupBy("doc_id").agg(F.collect_list(F.struct("from", "to")).alias("ranges"))
+    by_doc = hits.groupBy(F.col("doc_id").alias("_d"), F.col("text_id").alias("_t")).agg(F.collect_list(F.struct("from", "to")).alias("ranges"))
     wanted = bit_table(hits.select("doc_id"))
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -332,14 +397,17 @@ def cleaned(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str
                 kept.append(b"".join(data[s:e] for s, e in zip(at[::2], at[1::2], strict=True)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    touched = maybe_in(texts, "doc_id", wanted).join(by_doc, "doc_id", "left").select("doc_id", "text", "ranges").mapInArrow(strip, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    some = maybe_in(texts, "doc_id", wanted)
+    some = some.join(by_doc, some["doc_id"].eqNullSafe(by_doc["_d"]) & (some["text_id"] == by_doc["_t"]), "left")
+    touched = some.select("doc_id", "text", "ranges").mapInArrow(strip, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
     body = F.coalesce("text", F.lit("")).cast("binary")
     rest = maybe_in(texts, "doc_id", wanted, inside=False).select("doc_id", F.octet_length(body).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), body.alias("kept"))
     return touched.unionByName(rest)
 
 
 def digest(clean: DataFrame) -> DataFrame:
-    return clean.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    """Counts, the digest of what is left, and what is left as text (a letter that is cut in two gives U+FFFD)."""
+    return clean.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), F.make_valid_utf8(F.col("kept").cast("string")).alias("kept_text"))
 
 
 def brute(texts: list[bytes], length: int = LENGTH) -> list[tuple[int, int, str]]:

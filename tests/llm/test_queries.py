@@ -8,7 +8,7 @@ from sparklode.llm.queries import oracle_sql, queries
 COLUMNS = {
     "op3": "doc_id n_email n_ip n_card n_phone base_sha256 spans",
     "op4": "query_id rank vec_id score",
-    "op6": "doc_id n_bytes n_removed n_spans kept_sha256",
+    "op6": "doc_id n_bytes n_removed n_spans kept_sha256 kept_text",
     "op7": "page_id url text n_chars",
     "op10": "doc_id n_assign n_access n_hex base_sha256 spans",
 }

@@ -40,6 +40,59 @@ def test_long_texts_are_cut_and_rejoined(spark, monkeypatch):
     assert {(int(k), int(a)) for p in parts for k, a in zip(p[1], p[2], strict=True)} >= {(int(k), int(a)) for k, a in zip(whole[1], whole[2], strict=True)}
 
 
+def alike_in_part(seed, n=1200):
+    """Texts put together from few passages of a common stock, with changes; many occurrences end a piece."""
+    r = np.random.default_rng(seed)
+    stock = [bytes(r.integers(97, 123, int(r.integers(380, 900)), dtype=np.uint8)) for _ in range(60)]
+    out = []
+    for _ in range(n):
+        parts = []
+        for _ in range(int(r.integers(1, 4))):
+            x = stock[int(r.integers(len(stock)))]
+            a = int(r.integers(0, 60))
+            parts.append(x[a : len(x) - int(r.integers(0, 60))] if r.random() < 0.7 else bytes(r.integers(97, 123, 300, dtype=np.uint8)))
+        b = bytearray(b"".join(parts))
+        if r.random() < 0.3:
+            b[int(r.integers(len(b)))] = 48
+        out.append(bytes(b))
+    return out
+
+
+@pytest.mark.parametrize("hot", [8192, 3])
+def test_texts_alike_in_part(spark, monkeypatch, hot):
+    monkeypatch.setattr(R, "HOT", hot)
+    assert sum(w[0] for w in _compare(spark, alike_in_part(4, 1200 if hot > 3 else 150))) > 10_000
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_repeated_starts_are_all_found(seed):
+    texts = alike_in_part(seed, 40)
+    raw = np.frombuffer(b"".join(texts), np.uint8)
+    off = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+    got, piece = R.repeated_starts(raw, off, np.maximum(np.diff(off) - 399, 0), np.arange(len(texts)) % 4)
+    seen = {}
+    for k, t in enumerate(texts):
+        for i in range(len(t) - 399):
+            seen.setdefault(t[i : i + 400], []).append((int(off[k]) + i, k))
+    assert sorted(zip(got.tolist(), piece.tolist(), strict=True)) == sorted(x for v in seen.values() if len(v) > 1 for x in v)
+
+
+def test_passages_with_one_hash():
+    """Texts that collide modulo 2**64 in every base aren't taken for copies."""
+    one = "".join("ab"[bin(i).count("1") & 1] for i in range(2048)).encode()
+    raw = np.frombuffer(one + one.translate(bytes.maketrans(b"ab", b"ba")) + one, np.uint8)
+    assert R.twice_there(raw, np.array([0, 2048, 4096]), 2048).tolist() == [0, 2]
+
+
+def test_null_ids_repeated_rows_and_ids_with_two_texts(spark):
+    r = np.random.default_rng(2)
+    a, b, c = (bytes(r.integers(97, 123, 700, dtype=np.uint8)).decode() for _ in range(3))
+    rows = [(None, "x" + a), (None, "y" + a[50:]), (5, b), (5, b), (6, c[:500]), (6, a[:420] + "z"), (7, c), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((str(x["doc_id"]), x["n_removed"], x["n_spans"], x["kept_sha256"]) for x in R.digest(R.cleaned(df)).collect())
+    assert got == sorted((str(k), *w) for (k, _), w in zip(rows, R.brute([(t or "").encode() for _, t in rows]), strict=True))
+
+
 def test_empty_table(spark):
     assert R.digest(R.cleaned(spark.createDataFrame([], "doc_id long, text string"))).count() == 0
 
