@@ -11,7 +11,8 @@ The classifier is fitted on a small labelled table made by rule (:func:`labelled
 
 Defined results: null, empty and tag-only pages give an empty text; a page cut off inside a tag, a comment or a script ends
 there; unclosed and stray tags are closed or dropped; pages without any block of content give an empty text; repeated rows give equal
-rows; an empty table gives an empty one; only the id, the address and the markup are read.
+rows; where nothing is left, marks of elements around half of the page's letters or more are set aside and it is labelled anew; an
+empty table gives an empty one; only the id, the address and the markup are read.
 """
 
 from __future__ import annotations
@@ -28,18 +29,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Elements whose content is no markup: they end at their end tag, or with the page.
+RAW = "script|style|noscript|template|textarea|title|iframe|xmp|noembed|noframes"
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|object|textarea|select|head)\b(?:[^>\"']++|\"[^\"]*\"|'[^']*'|[\"'])*+>?.*?(?:</\1\s*>|\Z)"
+    rf"<!--.*?(?:-->|\Z)|<({RAW})(?=[\s/>])(?:[^>\"']++|\"[^\"]*\"|'[^']*'|[\"'])*+>?.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*'|[\"'])*+)(?:>|\Z)|<[!?][^>]*(?:>|\Z)",
     re.DOTALL | re.IGNORECASE,
 )
 ATTR = re.compile(r"""\b(class|id|role|style|aria-hidden|hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
 # Element names.
-BLOCK = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul title".split())
+BLOCK = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+HEAD = frozenset("base link meta basefont bgsound".split())
 CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 CLOSES |= dict.fromkeys("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol pre section table ul".split(), ("p",))
-TAG_MARK = {"nav": "menu", "menu": "menu", "header": "header", "footer": "footer", "aside": "aside", "form": "form", "button": "form", "label": "form", "fieldset": "form", "dialog": "notice", "article": "article", "main": "main"}
+TAG_MARK = {"svg": "hidden", "math": "hidden", "object": "hidden", "select": "form", "head": "hidden", "nav": "menu", "menu": "menu", "header": "header", "footer": "footer", "aside": "aside", "form": "form", "button": "form", "label": "form", "fieldset": "form", "dialog": "notice", "article": "article", "main": "main"}
 MARKS = {
     "menu": "nav navbar navigation menu breadcrumb breadcrumbs pager pagination toc tabs skip",
     "header": "header masthead topbar logo branding hero banner",
@@ -55,6 +59,10 @@ MARKS = {
 WORD_MARK = {w: k for k, ws in MARKS.items() for w in ws.split()}
 NAMES = ("article", "main", "menu", "header", "footer", "aside", "notice", "form", "ad", "comment", "hidden", "linked", "short", "long", "sentence", "heading", "item")
 FOLLOW, SIBLING = 0.6, 0.4
+#: Steps in the tree from which elements are equally far apart.
+FAR = 64
+#: Marks that a class, an id or a form may give to an element around the whole page, where they say little.
+SOFT = frozenset(("menu", "header", "footer", "aside", "form", "comment"))
 
 
 @dataclass
@@ -62,8 +70,10 @@ class Element:
     name: str
     parent: Element | None
     depth: int
-    marks: frozenset[str]
+    own: frozenset[str]
+    marks: frozenset[str]  # with those of the elements around it
     last: int = -1  # number of the last block right below
+    letters: int = 0
 
 
 @dataclass
@@ -71,7 +81,6 @@ class Block:
     owner: Element
     text: list[str] = field(default_factory=list)
     linked: int = 0
-    marks: frozenset[str] = frozenset()
 
 
 def _marks(name: str, attributes: str) -> set[str]:
@@ -88,17 +97,18 @@ def _marks(name: str, attributes: str) -> set[str]:
     return out
 
 
-def blocks(page: str) -> list[Block]:
-    """The text blocks of a page, in order."""
-    root = Element("", None, 0, frozenset())
+def blocks(page: str) -> tuple[list[Block], list[Element]]:
+    """The text blocks of a page, in order, and its elements, each after the one around it."""
+    root = Element("", None, 0, frozenset(), frozenset())
     here, out, block, link = root, [], None, 0
+    every = [root]
 
     def text(s: str) -> None:
         nonlocal block
         if block is None:
             if not s or s.isspace():
                 return
-            block = Block(here, marks=here.marks)
+            block = Block(here)
             out.append(block)
         block.text.append(s)
         if link:
@@ -128,6 +138,10 @@ def blocks(page: str) -> list[Block]:
                 link -= here.name == "a"
                 here = here.parent
             continue
+        if here.name == "head" and name not in HEAD or here.name in ("select", "optgroup", "option") and name in BLOCK and name not in ("option", "hr"):
+            # A head, or a list to choose from, that was not closed.
+            while here.name in ("head", "select", "optgroup", "option"):
+                here = here.parent
         if name in CLOSES:
             # An open paragraph (item, cell) ends here, unless a container stands between.
             e, stop = here, CLOSES[name]
@@ -140,16 +154,34 @@ def blocks(page: str) -> list[Block]:
                 here = here.parent
         if name in VOID or (m[4] or "").endswith("/"):
             continue
-        marks = here.marks | (_marks(name, m[4]) - ({"header"} if name == "h1" else set()))
+        own = _marks(name, m[4]) - ({"header"} if name == "h1" else set())
         if name[0] == "h" and name[1:].isdigit():
-            marks = marks | {"heading"}
+            own.add("heading")
         elif name == "li":
-            marks = marks | {"item"}
-        here = Element(name, here, here.depth + 1, frozenset(marks))
+            own.add("item")
+        here = Element(name, here, here.depth + 1, frozenset(own), here.marks | own)
+        every.append(here)
         link += name == "a"
     if at < len(page):
         text(page[at:])
-    return out
+    return out, every
+
+
+def set_aside(found: list[Block], every: list[Element]) -> bool:
+    """Take the marks in SOFT from the elements that hold half of the page's letters or more; whether there were any."""
+    total = 0
+    for b in found:
+        n = sum(map(len, b.text))
+        b.owner.letters += n
+        total += n
+    some = False
+    for e in reversed(every[1:]):
+        e.parent.letters += e.letters
+    for e in every[1:]:
+        if 2 * e.letters >= total and e.own & SOFT:
+            e.own, some = e.own - SOFT, True
+        e.marks = e.parent.marks | e.own
+    return some
 
 
 def clean(b: Block) -> str:
@@ -157,7 +189,7 @@ def clean(b: Block) -> str:
 
 
 def marks(b: Block, text: str) -> list[str]:
-    out = list(b.marks)
+    out = list(b.owner.marks)
     if b.linked * 2 > sum(map(len, b.text)):
         out.append("linked")
     if len(text) < 25:
@@ -215,7 +247,7 @@ def fitted(steps: int = 600, rate: float = 0.1, ridge: float = 1e-4) -> np.ndarr
 
 def distance(a: Element, b: Element) -> int:
     n = 0
-    while a is not b:
+    while a is not b and n < FAR:
         if a.depth >= b.depth:
             a = a.parent
         else:
@@ -229,10 +261,11 @@ def edges(found: list[Block]) -> dict[tuple[int, int], float]:
     out: dict[tuple[int, int], float] = {}
     for i in range(1, len(found)):
         out[i - 1, i] = FOLLOW / (1 + distance(found[i - 1].owner, found[i].owner))
-    for e in {id(b.owner): b.owner for b in found}.values():
-        while e is not None:
-            e.last = -1
-            e = e.parent
+    for b in found:
+        e = b.owner.parent
+        for _ in range(2):
+            if e is not None:
+                e.last, e = -1, e.parent
     for i, b in enumerate(found):
         up, e = 0, b.owner.parent
         while e is not None and up < 2:
@@ -307,17 +340,23 @@ def _max_flow(nodes: list[int], gain: list[float], near: list[dict[int, float]])
 def main_text(page: str | None, weights: np.ndarray) -> str:
     if not page:
         return ""
-    found, texts, gain = [], [], []
     index = {n: float(w) for n, w in zip(NAMES, weights, strict=False)}
     bias = float(weights[-1])
-    for b in blocks(page):
+    every, elements = blocks(page)
+    found, texts = [], []
+    for b in every:
         t = clean(b)
         if t:
             found.append(b)
             texts.append(t)
-            gain.append(max(-12.0, min(12.0, bias + sum(index[m] for m in marks(b, t)))))
-    keep = minimum_cut(gain, edges(found))
-    return " ".join(t for t, k in zip(texts, keep, strict=True) if k)
+
+    def kept() -> str:
+        gain = [max(-12.0, min(12.0, bias + sum(index[m] for m in marks(b, t)))) for b, t in zip(found, texts, strict=True)]
+        return " ".join(t for t, k in zip(texts, minimum_cut(gain, edges(found)), strict=True) if k)
+
+    out = kept()
+    # A mark around all of the page may have outweighed it.
+    return out if out or not found or not set_aside(found, elements) else kept()
 
 
 def extracted(pages: DataFrame, weights: np.ndarray | None = None) -> DataFrame:

@@ -22,7 +22,7 @@ def test_main_text(spark):
     assert mainhtml.extracted(t.filter("page_id < 0")).count() == 0
 
 
-def test_main_text_of_all_pages(spark, data):
+def test_main_text_of_all_pages(spark):
     """The article element is the main text of the driver's pages."""
     import html
     import re
@@ -34,6 +34,42 @@ def test_main_text_of_all_pages(spark, data):
         assert mainhtml.main_text(r["html"], w) == " ".join(html.unescape(a).split())
 
 
+ARTICLE = "<p>The river rose by two metres during the night, and the old bridge was closed.</p><p>Nobody was hurt, as the town had been warned in good time.</p>"
+TEXT = "The river rose by two metres during the night, and the old bridge was closed. Nobody was hurt, as the town had been warned in good time."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<html><head><title>T</title><meta charset=utf-8><body>{}</body></html>",
+        "<html><head><title>T</title></head><body><svg/>{}</body></html>",
+        "<html><body><select name=x><option>One<option>Two{}</body></html>",
+        "<html><body><head-bar></head-bar>{}</body></html>",
+        '<html><body><form action="/page.aspx">{}</form></body></html>',
+        '<html><body><nav><a href=1>Home</a></nav><section class="hero">{}</section></body></html>',
+        '<html><body><div class="product reviews">{}</div><footer>© 2024 Example</footer></body></html>',
+        '<html><body><div class="post tags">{}</div></body></html>',
+    ],
+)
+def test_main_text_of_odd_pages(page):
+    w = mainhtml.fitted()
+    assert mainhtml.main_text(page.format(ARTICLE), w).removeprefix("One ").removeprefix("Two ") == TEXT
+
+
+def test_main_text_keeps_out_what_stands_alone():
+    w = mainhtml.fitted()
+    assert mainhtml.main_text('<div class="cookie-notice">We use cookies to make this page better for you.</div>', w) == ""
+    assert mainhtml.main_text(PAGE.replace("First para", "X"), w).startswith("Title X")
+    deep = "<div>" * 20_000 + ARTICLE + "".join(f"<p>Sentence number {i} of the long and deep page.</p></div>" for i in range(3000))
+    assert mainhtml.main_text(deep, w).startswith(TEXT)
+
+
+def test_main_text_repeated_rows_and_clashing_columns(spark):
+    t = spark.createDataFrame([(1, "u", ARTICLE, 5)] * 3 + [(None, None, ARTICLE, 5)], "page_id long, url string, html string, n_chars int")
+    got = mainhtml.extracted(t).collect()
+    assert len(got) == 4 and {r["text"] for r in got} == {TEXT} and {r["n_chars"] for r in got} == {len(TEXT)}
+
+
 @pytest.mark.parametrize("seed", range(12))
 def test_minimum_cut_is_least(seed):
     r = np.random.default_rng(seed)
