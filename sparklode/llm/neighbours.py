@@ -12,8 +12,8 @@ abandons candidates that can't reach the floor. What is left is computed in doub
 vectors, and ranked; ties go to the smaller id.
 
 Defined results: vectors that are null or zero, or hold null or non-finite components, or whose length isn't the most common one, take no
-part; with fewer candidates than ``top`` all are returned; equal vectors are all candidates; repeated ids are candidates
-once each; an empty table gives an empty one; other columns are not read.
+part; with fewer candidates than ``top`` all are returned; equal vectors are all candidates; the rows of an id are one candidate, with
+the best of their scores, and one query, of their least vector; an empty table gives an empty one; other columns are not read.
 """
 
 from __future__ import annotations
@@ -137,10 +137,10 @@ def searched(vectors: DataFrame, queries: DataFrame | None = None, top: int = TO
 
     fit = F.size("v") == index.width
     rows, asked = rows.filter(fit), asked.filter(fit)
-    where = materialize(rows.mapInArrow(lambda it: deal(it, False), "vec_id long, list int, nth int").select("vec_id", "list").distinct(), "ann-lists")
+    where = materialize(rows.mapInArrow(lambda it: deal(it, False), "vec_id long, list int, nth int").select("vec_id", "list").groupBy("vec_id").agg(F.min("list").alias("list")), "ann-lists")
     blocks = F.broadcast(where.groupBy("list").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks")))  # one row a list
     filed = rows.join(where, "vec_id").join(blocks, "list").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
-    once = asked.dropDuplicates(["vec_id"])
+    once = asked.groupBy("vec_id").agg(F.min("v").alias("v"))
     probe = once.mapInArrow(lambda it: deal(it, True), "vec_id long, list int, nth int").join(blocks, "list").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     probe = probe.select("vec_id", "list", "nth", "block").join(once, "vec_id")
     filed, probe = materialize(filed.select("vec_id", "list", "block", "v"), "ann-index"), materialize(probe, "ann-probes")
@@ -152,9 +152,12 @@ def searched(vectors: DataFrame, queries: DataFrame | None = None, top: int = TO
         x, q = _matrix(left["v"], ix.width), _matrix(right["v"], ix.width)
         ids, own = left["vec_id"].to_numpy(), right["vec_id"].to_numpy()
         out = []
-        for i, at in scan(q @ ix.rotation, x @ ix.rotation, ids, own, right["floor"].to_numpy(), top):
+        # Rows of an id are one candidate, so its rows mustn't take the places of others.
+        most = top * int(np.unique(ids, return_counts=True)[1].max())
+        for i, at in scan(q @ ix.rotation, x @ ix.rotation, ids, own, right["floor"].to_numpy(), most):
             exact = (x[at] * q[i]).sum(axis=1)
-            order = np.lexsort((ids[at], -exact))[:top]
+            order = np.lexsort((ids[at], -exact))
+            order = order[np.sort(np.unique(ids[at][order], return_index=True)[1])[:top]]
             out.append((np.full(len(order), own[i]), ids[at][order], exact[order]))
         return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
 
@@ -165,6 +168,6 @@ def searched(vectors: DataFrame, queries: DataFrame | None = None, top: int = TO
     best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     floors = first.withColumn("k", best).filter(F.col("k") == top).select(F.col("query_id").alias("vec_id"), F.col("score").alias("floor"))
     rest = probe.filter("nth > 0").join(floors, "vec_id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
-    found = first.unionByName(through(rest))
+    found = first.unionByName(through(rest)).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= top).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -107,6 +107,19 @@ def test_neighbours(spark):
     assert neighbours.searched(t.filter("vec_id < 0")).count() == 0
 
 
+def test_neighbours_repeated_ids(spark):
+    r = np.random.default_rng(1)
+    x = r.normal(size=(300, 8))
+    rows = [(i, [float(v) for v in row]) for i, row in enumerate(x)] + [(7, [float(v) for v in x[7]])] * 40 + [(9, [float(v) for v in 3 * x[9]]), (20, [float(v) for v in x[20]])]
+    found = neighbours.searched(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).toPandas()
+    for q, g in found.groupby("query_id"):
+        score = x @ x[q]
+        score[9] = max(score[9], 3 * score[9])
+        score[q] = -np.inf
+        g = g.sort_values("rank")
+        assert len(g) == 20 and g.vec_id.is_unique and list(g.vec_id) == list(np.lexsort((np.arange(300), -score))[:20]), q
+
+
 def test_pipeline_stages(spark, data):
     import corpus_pipeline as c
 
