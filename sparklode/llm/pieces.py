@@ -1,6 +1,7 @@
 """Operator 1: SentencePiece encoding and decoding by a shared-prefix forward pass.
 
-A text is cut before each run of spaces into marked words (no piece reaches across such a cut). The distinct marked words of a batch
+A text is cut before each run of spaces into marked words, and around letters that the vocabulary has only by themselves (no piece
+reaches across such cuts). The distinct marked words of a batch
 are sorted, which lays them out as a trie in depth-first order: going from one word to the next, the forward states of their
 common prefix are kept and only the new letters are worked on. Each distinct word is walked once, however often it occurs.
 
@@ -30,8 +31,8 @@ from pyspark.sql import functions as F
 from sparklode.llm.textkernel import equal_ranges, ranges, slices, utf8, word_hashes
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Bytes of texts whose distinct words are one trie, and the words whose ids a task remembers from one trie to the next at most.
-CHUNK, KNOWN = 1 << 20, 150_000
+#: Bytes of texts whose distinct words are one trie, and the words whose ids a worker remembers from one trie to the next at most.
+CHUNK, KNOWN = 2 << 20, 200_000
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
@@ -83,6 +84,9 @@ class Vocabulary:
         self.longest = max(map(len, self.ids))
         self.bytes = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)) if k == BYTE}
         self.unknown = self.kinds.index(UNKNOWN)
+        #: Of each byte: whether it is a letter that stands in no piece but by itself (digits and line ends, as a rule).
+        inside = {c for p in self.ids if len(p) > 1 for c in p}
+        self.alone = np.array([b < 128 and b != 32 and chr(b) not in inside for b in range(256)])
         self.least = min(self.scores[i] for i in self.ids.values())
         self.surface = [bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else b" \xe2\x81\x87 " if k == UNKNOWN else p.replace(MARK, " ").encode() for p, k in zip(self.pieces, self.kinds, strict=True)]
 
@@ -97,12 +101,17 @@ class Encoder:
 
     def __init__(self, v: Vocabulary):
         self.v, self.pairs, self.self_made, self.known, self.older = v, {}, {}, {}, {}
-        # Lengths of the pieces that end in each two letters, longest first.
+        # Lengths of the pieces that end in each three letters, longest first; a piece of two is filed under all it may follow.
         lengths: dict[str, set[int]] = {}
         for p in v.ids:
-            if len(p) > 1:
-                lengths.setdefault(p[-2:], set()).add(len(p))
+            if len(p) > 2:
+                lengths.setdefault(p[-3:], set()).add(len(p))
+        twos = {p for p in v.ids if len(p) == 2}
+        for k in lengths:
+            if k[1:] in twos:
+                lengths[k].add(2)
         self.lengths = {k: tuple(sorted(n, reverse=True)) for k, n in lengths.items()}
+        self.twos, self.size = twos, [len(p) for p in v.pieces]
 
     def outside(self, letter: str) -> list[int]:
         """Ids of a letter that isn't in the vocabulary."""
@@ -137,10 +146,7 @@ class Encoder:
 
     def stands(self, a: str, b: str) -> bool:
         """Whether a and b side by side stay as they are."""
-        known = self.pairs.get((a, b))
-        if known is None:
-            known = self.pairs[a, b] = self.merged(a + b) == [a, b]
-        return known
+        return self.merged(a + b) == [a, b]
 
     def whole(self, p: str) -> bool:
         known = self.self_made.get(p)
@@ -165,58 +171,89 @@ class Encoder:
             known[w] = ids
         return [known[w] for w in words]
 
+    def ending(self, word: str, end: int) -> tuple[int, ...]:
+        """Lengths of the pieces of two letters or more that may end there, longest first."""
+        found = self.lengths.get(word[end - 3 : end]) if end > 2 else None
+        return found if found is not None else (2,) if end > 1 and word[end - 2 : end] in self.twos else ()
+
     def encode_sorted(self, words: list[str]) -> Iterator[list[int]]:
         """Ids of each word, in the order given; the words are sorted, so those with a common prefix are neighbours."""
-        ids, lengths, bpe = self.v.ids, self.lengths, self.v.bpe
-        scores, least = self.v.scores, self.v.least
-        last: list[str] = [""]  # of each prefix: the last piece
-        best: list[float] = [0.0]  # of each prefix: the score (unigram)
-        before = ""
-        pairs = self.pairs
+        return self._by_merges(words) if self.v.bpe else self._by_scores(words)
+
+    def _by_merges(self, words: list[str]) -> Iterator[list[int]]:
+        """The state of a prefix is the last piece of its encoding (-1: a letter outside the vocabulary)."""
+        ids, size, twos, pieces = self.v.ids, self.size, self.twos, self.v.pieces
+        pairs, longest_first = self.pairs, self.lengths.get
+        last, before = [-1], ""
         for word in words:
-            if bpe and word.startswith(MARK + MARK):
+            if word.startswith(MARK + MARK):
                 yield [k for p in self.merged(word) for k in ([ids[p]] if p in ids else self.outside(p))]
                 continue
             shared, most = 0, min(len(word), len(before))
             while shared < most and word[shared] == before[shared]:
                 shared += 1
-            del last[shared + 1 :], best[shared + 1 :]
+            del last[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
-                found, top = word[end - 1], -1e30
-                if not bpe and (k := ids.get(found)) is not None:
-                    top = best[end - 1] + scores[k]
-                for n in lengths.get(word[end - 2 : end], ()) if end > 1 else ():
-                    start = end - n
-                    if start < 0 or (k := ids.get(p := word[start:end])) is None:
+                found = -1
+                if end > 2 and (three := longest_first(word[end - 3 : end])) is not None:
+                    some = three
+                else:
+                    some = (2,) if end > 1 and word[end - 2 : end] in twos else ()
+                for n in some:
+                    if n > end or (k := ids.get(p := word[end - n : end])) is None:
                         continue
-                    if bpe:
-                        a = last[start]
-                        if start == 0 or a not in ids:
-                            good = self.whole(p)
-                        else:
-                            good = pairs.get((a, p))
-                            if good is None:
-                                good = self.stands(a, p)
-                        if good:
-                            found = p
-                            break
-                    elif (s := best[start] + scores[k]) > top:
+                    a = last[end - n]
+                    if a < 0:
+                        good = self.whole(p)
+                    else:
+                        good = pairs.get(a << 32 | k)
+                        if good is None:
+                            good = pairs[a << 32 | k] = self.stands(pieces[a], p)
+                    if good:
+                        found = k
+                        break
+                last.append(found if found >= 0 else ids.get(word[end - 1], -1))
+            before = word
+            out: list[int] = []
+            end = len(word)
+            while end:
+                k = last[end]
+                if k < 0:
+                    out.extend(reversed(self.outside(word[end - 1])))
+                    end -= 1
+                else:
+                    out.append(k)
+                    end -= size[k]
+            out.reverse()
+            yield out
+
+    def _by_scores(self, words: list[str]) -> Iterator[list[int]]:
+        """Viterbi: the state of a prefix is its best score, and the last piece that gives it."""
+        ids, scores, least = self.v.ids, self.v.scores, self.v.least
+        last: list[str] = [""]
+        best: list[float] = [0.0]
+        before = ""
+        for word in words:
+            shared, most = 0, min(len(word), len(before))
+            while shared < most and word[shared] == before[shared]:
+                shared += 1
+            del last[shared + 1 :], best[shared + 1 :]
+            for end in range(shared + 1, len(word) + 1):
+                found = word[end - 1]
+                k = ids.get(found)
+                top = best[end - 1] + (least - 10.0 if k is None else scores[k])
+                for n in self.ending(word, end):
+                    if n <= end and (k := ids.get(p := word[end - n : end])) is not None and ((s := best[end - n] + scores[k]) > top or found not in ids):
                         found, top = p, s
-                if not bpe and top == -1e30:
-                    top = best[end - 1] + least - 10.0
                 last.append(found)
                 best.append(top)
             before = word
             out: list[int] = []
             end = len(word)
             while end:
-                p = last[end]
-                k = ids.get(p)
-                if k is None:
-                    out.extend(reversed(self.outside(p)))
-                else:
-                    out.append(k)
-                end -= len(p)
+                k = ids.get(last[end])
+                out.extend(reversed(self.outside(last[end])) if k is None else [k])
+                end -= len(last[end])
             out.reverse()
             yield out
 
@@ -237,6 +274,10 @@ def encode_batch(column: pa.Array, encoder: Encoder) -> tuple[np.ndarray, np.nda
     first[1:] &= ~gap[:-1]
     bounds = off[:-1][np.diff(off) > 0]
     first[bounds] = True
+    # No piece reaches across a letter that stands alone, so texts are cut there as well.
+    alone = encoder.v.alone[raw]
+    first |= alone
+    first[1:] |= alone[:-1]
     start = np.flatnonzero(first)
     end = np.append(start[1:], len(raw)) if len(start) else start
     _, at, which = np.unique(word_hashes(raw, start, end), return_index=True, return_inverse=True)
@@ -277,7 +318,8 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary | None = None, id_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = held.value
-        encoder = Encoder(v)
+        # Kept with the vocabulary, so a worker's next task goes on with what this one has learnt of pairs.
+        encoder = v.__dict__.get("_encoder") or v.__dict__.setdefault("_encoder", Encoder(v))
         for b in batches:
             for lo, hi in slices(b.column(1), CHUNK):
                 part = b.slice(lo, hi - lo)
