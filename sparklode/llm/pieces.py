@@ -1,7 +1,7 @@
 """Operator 1: SentencePiece encoding and decoding by a shared-prefix forward pass.
 
-A text is cut before each run of spaces into marked words, and around letters that the vocabulary has only by themselves (no piece
-reaches across such cuts). The distinct marked words of a batch
+A text is cut before each run of spaces into marked words, around letters that the vocabulary has only by themselves, and between
+ASCII letters that stand next to each other in no piece (no piece reaches across such cuts). The distinct marked words of a batch
 are sorted, which lays them out as a trie in depth-first order: going from one word to the next, the forward states of their
 common prefix are kept and only the new letters are worked on. Each distinct word is walked once, however often it occurs.
 
@@ -84,9 +84,13 @@ class Vocabulary:
         self.longest = max(map(len, self.ids))
         self.bytes = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)) if k == BYTE}
         self.unknown = self.kinds.index(UNKNOWN)
-        #: Of each byte: whether it is a letter that stands in no piece but by itself (digits and line ends, as a rule).
-        inside = {c for p in self.ids if len(p) > 1 for c in p}
+        #: Of each byte: whether it is a letter that stands in no piece but by itself (digits and line ends, as a rule); and of each two
+        #: ASCII letters, as 128 * a + b: whether they stand next to each other in no piece. Nothing is merged across such places.
+        more = [p.replace(MARK, " ") for p in self.ids if len(p) > 1]
+        inside = {c for p in more for c in p}
         self.alone = np.array([b < 128 and b != 32 and chr(b) not in inside for b in range(256)])
+        self.apart = np.ones(1 << 14, bool)
+        self.apart[[ord(x) << 7 | ord(y) for p in more for x, y in zip(p, p[1:], strict=False) if x < "\x80" and y < "\x80"]] = False
         self.least = min(self.scores[i] for i in self.ids.values())
         self.surface = [bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else b" \xe2\x81\x87 " if k == UNKNOWN else p.replace(MARK, " ").encode() for p, k in zip(self.pieces, self.kinds, strict=True)]
 
@@ -278,6 +282,9 @@ def encode_batch(column: pa.Array, encoder: Encoder) -> tuple[np.ndarray, np.nda
     alone = encoder.v.alone[raw]
     first |= alone
     first[1:] |= alone[:-1]
+    ascii_ = raw < 128
+    two = ascii_[1:] & ascii_[:-1]
+    first[1:] |= two & encoder.v.apart[(raw[:-1].astype(np.int16) & 127) << 7 | raw[1:] & 127]
     start = np.flatnonzero(first)
     end = np.append(start[1:], len(raw)) if len(start) else start
     _, at, which = np.unique(word_hashes(raw, start, end), return_index=True, return_inverse=True)
