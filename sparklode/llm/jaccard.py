@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparklode.llm.bits import bit_table, maybe_in
-from sparklode.llm.store import Tables
+from sparklode.llm.store import in_batches, Tables
 from sparklode.llm.textkernel import U64, mix, shingles, slices, utf8
 
 #: Fragments of the global order in which partial overlaps are counted.
@@ -77,7 +77,7 @@ def counted(docs: DataFrame, n: int, text_col: str) -> Order:
         total = sum(np.frombuffer(x, np.uint32).astype(np.int64) for x in rows["counts"])
         return pd.DataFrame({"part": [rows["part"].iloc[0]], "counts": [total.tobytes()]})
 
-    sums = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "part int, counts binary").groupBy("part").applyInPandas(add, "part int, counts binary").toArrow()
+    sums = in_batches(docs).select(F.col(text_col).alias("text")).mapInArrow(run, "part int, counts binary").groupBy("part").applyInPandas(add, "part int, counts binary").toArrow()
     total = np.zeros((PARTS, COUNTERS // PARTS), np.int64)
     for part, x in zip(sums["part"].to_pylist(), sums["counts"].to_pylist(), strict=True):
         total[part] = np.frombuffer(x, np.int64)
@@ -133,7 +133,7 @@ def fingerprints(docs: DataFrame, n: int, t: Fraction, order: Order, id_col: str
                 ["doc_id", "n_shingles", "set_a", "set_b", "bits", "first"],
             )
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, bits array<long>, first array<long>")
+    return in_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, bits array<long>, first array<long>")
 
 
 def fragments(docs: DataFrame, wanted: DataFrame, n: int, order: Order, id_col: str, text_col: str) -> DataFrame:

@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparklode.llm.store import in_batches
+
 #: Elements whose content is no markup: they end at their end tag, or with the page.
 RAW = "script|style|noscript|template|textarea|title|iframe|xmp|noembed|noframes"
 TOKEN = re.compile(
@@ -369,4 +371,4 @@ def extracted(pages: DataFrame, weights: np.ndarray | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(text, pa.string()), pa.array(map(len, text), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     kind = pages.schema["page_id"].dataType.simpleString()
-    return pages.select("page_id", F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
+    return in_batches(pages).select("page_id", F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")

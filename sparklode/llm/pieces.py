@@ -28,11 +28,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparklode.llm.store import in_batches
 from sparklode.llm.textkernel import equal_ranges, ranges, slices, utf8, word_hashes
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Bytes of texts whose distinct words are one trie, and the words whose ids a worker remembers from one trie to the next at most.
-CHUNK, KNOWN = 2 << 20, 200_000
+CHUNK, KNOWN = 1 << 20, 160_000
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
@@ -343,4 +344,4 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary | None = None, id_col: str =
                 encoder.pairs.clear()
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids array<int>, round_trip boolean")
+    return in_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids array<int>, round_trip boolean")

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparklode.llm.store import in_batches
 from sparklode.llm.textkernel import utf8
 
 KINDS = ("email", "ip", "card", "phone")
@@ -362,7 +363,7 @@ def scanned(docs: DataFrame, field: Field | None = None, id_col: str = "doc_id",
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(base, pa.list_(kind)), pa.array(every, pa.list_(kind))], ["id", "base", "spans"])
 
     column = "array<struct<kind:string,start:int,end:int>>"
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, base {column}, spans {column}")
+    return in_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, base {column}, spans {column}")
 
 
 def digest(scan: DataFrame) -> DataFrame:

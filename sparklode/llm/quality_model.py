@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparklode.llm.store import in_batches
 from sparklode.llm.textkernel import U64, ascii_lower, mix, slices, utf8, word_hashes, words
 
 #: Most labelled rows that the fit reads, width of the hashed space, fewest documents of the sample a feature must be in, and how many
@@ -189,7 +190,7 @@ def scored(docs: DataFrame, model: Model, keep: float = KEEP, id_col: str = "doc
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(expected), pa.array(tail), pa.array(tail >= keep)], ["doc_id", "expected_grade", "tail_prob", "kept"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, expected_grade double, tail_prob double, kept boolean")
+    return in_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, expected_grade double, tail_prob double, kept boolean")
 
 
 def probabilities(column: pa.Array, m: Model) -> tuple[np.ndarray, np.ndarray]:
@@ -212,4 +213,4 @@ def selected(docs: DataFrame, model: Model, keep: float = KEEP, id_col: str = "d
             for lo, hi in slices(text, CHUNK):
                 yield b.slice(lo, hi - lo).filter(pa.array(probabilities(text.slice(lo, hi - lo), held.value)[0] >= keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_batches(docs).mapInArrow(run, docs.schema)

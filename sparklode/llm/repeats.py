@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparklode.llm.bits import bit_table, maybe_in
-from sparklode.llm.store import Tables
+from sparklode.llm.store import in_batches, Tables
 from sparklode.llm.textkernel import U64, Rolling, equal_ranges, ranges, slices, utf8
 
 LENGTH = 400
@@ -130,7 +130,7 @@ def runs(texts: DataFrame, length: int, gram: int) -> DataFrame:
                         ["doc_id", "text_id", "key", "at", "n", "bytes", "again"],
                     )
 
-    return texts.mapInArrow(run, "doc_id long, text_id long, key long, at int, n int, bytes binary, again boolean")
+    return in_batches(texts).mapInArrow(run, "doc_id long, text_id long, key long, at int, n int, bytes binary, again boolean")
 
 
 # ---------------------------------------------------------------- transforms and their merge

@@ -9,8 +9,10 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: While a table is written: its query's shuffle files go when it has ended, as nobody reads them again; and Python workers get few rows at once.
-WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
+#: While a table is written: its query's shuffle files go when it has ended, as nobody reads them again.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+#: Rows that a Python worker gets at once, where the session leaves Spark's number: ten thousand long texts fill an executor.
+BATCH, ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", ("10000", "1000")
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,6 +43,14 @@ def writing(spark: SparkSession) -> Iterator[None]:
                 spark.conf.set(k, v)
 
 
+def in_batches(df: DataFrame) -> DataFrame:
+    """The same table; from here on the session's Python workers get batches of bounded memory."""
+    conf = df.sparkSession.conf
+    if conf.get(BATCH) == ROWS[0]:
+        conf.set(BATCH, ROWS[1])
+    return df
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it again: its rows survive lost executors, and later reads prune columns."""
     return Tables(df.sparkSession).keep(df, label)
