@@ -26,6 +26,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from fractions import Fraction
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -39,6 +40,8 @@ from sparklode.llm.textkernel import U64, mix, shingles, slices, utf8
 
 #: Fragments of the global order in which partial overlaps are counted.
 FRAGMENTS = 8
+#: Passes in which n-grams are brought together and fragments are counted, each with a share of them, so that a fourth is on disk at once.
+PASSES = 4
 #: Counters of n-grams, whatever the size of the corpus, and the parts in which they are summed.
 COUNTERS, PARTS = 1 << 20, 64
 #: Bits of a document's parity bitmap, as longs.
@@ -180,12 +183,16 @@ def bits_allow(a: str, b: str, together: Column, t: Fraction) -> Column:
     return differ * (t.denominator + t.numerator) <= together * (t.denominator - t.numerator)
 
 
-def linked(pairs: DataFrame, parts: DataFrame, lead: DataFrame, t: Fraction) -> DataFrame:
-    """The pairs (a, b) that are similar enough: overlaps counted in each fragment apart, then summed for each pair."""
-    one = parts.select(F.col("rep").alias("a"), "fragment", F.col("grams").alias("ga"))
-    two = parts.select(F.col("rep").alias("b"), "fragment", F.col("grams").alias("gb"))
-    counts = pairs.select("a", "b").join(one, "a").join(two, ["b", "fragment"]).select("a", "b", "fragment", F.size(F.array_intersect("ga", "gb")).cast("long").alias("o"))
-    total = counts.groupBy("a", "b", "fragment").agg(F.max("o").alias("o")).groupBy("a", "b").agg(F.sum("o").alias("o"))  # a class' text may be there twice
+def linked(pairs: DataFrame, parts: DataFrame, lead: DataFrame, t: Fraction, tables: Tables) -> DataFrame:
+    """The pairs (a, b) that are similar enough: overlaps counted in each fragment apart, a few fragments a pass, then summed for each pair."""
+    counts = []
+    for k in range(PASSES):
+        few = parts.filter((F.col("fragment") >= k * FRAGMENTS // PASSES) & (F.col("fragment") < (k + 1) * FRAGMENTS // PASSES))
+        one = few.select(F.col("rep").alias("a"), "fragment", F.col("grams").alias("ga"))
+        two = few.select(F.col("rep").alias("b"), "fragment", F.col("grams").alias("gb"))
+        each = pairs.select("a", "b").join(one, "a").join(two, ["b", "fragment"]).select("a", "b", "fragment", F.size(F.array_intersect("ga", "gb")).cast("long").alias("o"))
+        counts.append(tables.keep(each.groupBy("a", "b", "fragment").agg(F.max("o").alias("o")), "jaccard-counts"))  # a class' text may be there twice
+    total = reduce(DataFrame.unionByName, counts).groupBy("a", "b").agg(F.sum("o").alias("o"))
     size = lambda v: lead.select(F.col("rep").alias(v), F.col("n").alias(f"n{v}"))
     return total.join(size("a"), "a").join(size("b"), "b").filter(enough(F.col("o"), F.col("na") + F.col("nb"), t)).select("a", "b")
 
@@ -231,14 +238,23 @@ def grouped(docs: DataFrame, n: int = 3, similarity: Fraction = Fraction(9, 10),
     prints = tables.keep(fingerprints(docs, n, t, order, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "jaccard-prints")
     member = tables.keep(classes(prints), "jaccard-class")
     same = member.filter("row = rep").select("rep")
-    lead = tables.keep(prints.join(same, prints["row"] == same["rep"]).select("rep", "doc_id", "set_a", F.col("n_shingles").alias("n"), "bits", "first"), "jaccard-lead")
+    leaders = prints.join(same, prints["row"] == same["rep"]).withColumnRenamed("n_shingles", "n")
+    lead = tables.keep(leaders.select("rep", "doc_id", "set_a", "n", "bits"), "jaccard-lead")
+    start = tables.keep(leaders.select("rep", "n", "first"), "jaccard-first")
+    empty = prints.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.col("row").alias("class_id"), F.lit(True).alias("leads"))
+    empty = tables.keep(empty, "jaccard-empty")
+    tables.drop(prints)
 
     # Classes that meet under an n-gram, and the one of them in which it comes first.
-    sig = lead.select("rep", "n", F.posexplode("first").alias("pos", "gram"))
-    met = tables.keep(sig.join(sig.groupBy("gram").agg(F.count("*").alias("met")).filter("met > 1").select("gram"), "gram"), "jaccard-met")
+    sig, met = start.select("rep", "n", F.posexplode("first").alias("pos", "gram")), []
+    for k in range(PASSES):
+        few = sig.filter(F.pmod("gram", F.lit(PASSES)) == k)
+        met.append(tables.keep(few.join(few.groupBy("gram").agg(F.count("*").alias("met")).filter("met > 1").select("gram"), "gram"), "jaccard-met"))
+    tables.drop(start)
+    shared, met = met, reduce(DataFrame.unionByName, met)
     heads = met.groupBy("gram").agg(F.min(F.struct("pos", "rep", "n")).alias("head"))
     bucket = tables.keep(met.join(heads, "gram"), "jaccard-buckets")
-    tables.drop(met)
+    tables.drop(*shared)
     star = bucket.filter((F.col("rep") != F.col("head.rep")) & may_link(F.col("n"), F.col("head.n"), F.col("pos"), F.col("head.pos"), t))
     star = star.select(F.least("rep", "head.rep").alias("a"), F.greatest("rep", "head.rep").alias("b")).distinct()
 
@@ -250,7 +266,7 @@ def grouped(docs: DataFrame, n: int = 3, similarity: Fraction = Fraction(9, 10),
     def compared(pairs: DataFrame) -> DataFrame:
         wanted = lead.join(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "rep").select("rep", "doc_id", "set_a")
         parts = tables.keep(fragments(docs, wanted, n, order, id_col, text_col), "jaccard-fragments")
-        links = tables.keep(linked(pairs, parts, lead, t), "jaccard-links")
+        links = tables.keep(linked(pairs, parts, lead, t, tables), "jaccard-links")
         tables.drop(parts)
         return links
 
@@ -279,7 +295,6 @@ def grouped(docs: DataFrame, n: int = 3, similarity: Fraction = Fraction(9, 10),
     of_group = of_class.join(comp, "rep").groupBy("k").agg(low("least"))
     of_class = comp.join(of_group, "k").select("rep", F.col("least.doc_id").alias("component_id"), F.col("least.row").alias("leader"))
     found = member.join(of_class, "rep").select("doc_id", "n_shingles", "component_id", F.col("rep").alias("class_id"), (F.col("row") == F.col("leader")).alias("leads"))
-    empty = prints.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.col("row").alias("class_id"), F.lit(True).alias("leads"))
     out = Tables(docs.sparkSession).keep(found.unionByName(empty), "jaccard-groups")
     tables.drop_all()
     return out
