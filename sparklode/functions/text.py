@@ -185,6 +185,23 @@ def ipv4_number(s: Column) -> Column:
     return F.when(good, total)
 
 
+def ip_key(s: Column) -> Column:
+    """Any address as text that orders like it within a family: 4 and 8 hexadecimal digits, or 6 and 32; NULL if it isn't one. Its zone is left out."""
+    plain = F.lower(F.substring_index(s, "%", 1))
+    four = ipv4_number(F.substring_index(plain, ":", -1))
+    # A dotted end stands for two groups.
+    tail = F.lpad(F.lower(F.hex(four)), 8, "0")
+    whole = F.when(plain.contains(":") & four.isNotNull(), F.concat(F.regexp_replace(plain, r"[^:]*$", ""), F.substring(tail, 1, 4), F.lit(":"), F.substring(tail, 5, 4))).otherwise(plain)
+    groups = lambda part: F.array_remove(F.split(F.coalesce(part, F.lit("")), ":"), "")
+    halves = F.split(whole, "::")
+    left, right = groups(F.get(halves, 0)), groups(F.get(halves, 1))
+    missing = 8 - F.size(left) - F.size(right)
+    shape = F.rlike(whole, F.lit("^(([0-9a-f]{1,4}:)*[0-9a-f]{1,4})?(::(([0-9a-f]{1,4}:)*[0-9a-f]{1,4})?)?$"))
+    good = shape & F.when(whole.contains("::"), missing >= 1).otherwise(missing == 0)
+    padded = F.transform(F.concat(left, F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), right), lambda g: F.lpad(g, 4, "0"))
+    return F.when(~plain.contains(":"), F.concat(F.lit("4"), F.lpad(F.lower(F.hex(ipv4_number(plain))), 8, "0"))).when(good, F.concat(F.lit("6"), F.array_join(padded, "")))
+
+
 def ip_struct(s: Column) -> Column:
     """(family, bytes) of any address, without its zone; ordered by bytes within a family. IPv6 has no built-in parser."""
     @F.pandas_udf("family int, bytes binary")

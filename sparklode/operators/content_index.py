@@ -102,17 +102,27 @@ def signature(names: DataFrame, block: int = 16, bits: int = 63) -> DataFrame:
     return n.groupBy("block").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64("tri"), F.lit(bits)).cast("int"))).alias("bits"))
 
 
-# Extensions by how worthwhile they are to index in the background.
-STRUCTURED = "pdf rtf rtfd doc docx odt xlsx xlsm pptx pptm pages numbers key html htm webarchive".split()
-PREFERRED = "txt md markdown csv tsv json xml yaml yml log swift py js ts java go rs c h cpp sh sql toml ini conf".split()
-BUILD_FOLDERS = "node_modules .git .build build DerivedData Pods vendor target dist".split()
-ARCHIVES = "zip tar gz tgz bz2 xz 7z rar jar".split()
+# Extensions and names by how worthwhile they are to index in the background.
+STRUCTURED = "doc docx key numbers odt pages pdf pptm pptx rtf rtfd webarchive xlsm xlsx".split()
+FOLDER_DOCUMENTS = "pages numbers key rtfd".split()
+PLAIN = (
+    "txt text md markdown rst adoc csv tsv log json jsonl yaml yml toml xml plist strings ini cfg conf config properties env sql graphql "
+    "html htm css scss sass less svg c cc cpp cxx h hh hpp m mm swift rs go py pyi rb php java kt kts scala js jsx mjs cjs ts tsx vue svelte "
+    "sh bash zsh fish ps1 bat cmd tex bib srt vtt ass ssa rtf"
+).split()
+COMMON_NAMES = "readme license licence copying notice authors changelog makefile dockerfile gemfile rakefile podfile".split()
+DEFERRED_FOLDERS = ".build .cache .gradle build caches deriveddata dist node_modules out target".split()
+ARCHIVE_ENDS = ".tar.gz .tar.bz2 .tar.xz .tgz .tbz .tbz2 .txz .zip .tar .gz .bz2 .xz".split()
 
 
 def tier(files: DataFrame, cap: int = 16 << 20) -> DataFrame:
-    """``tier``: structured, preferred (up to ``cap`` bytes), or NULL for archives, build folders and the rest."""
+    """``tier``: structured, preferred (up to ``cap`` bytes), or NULL for archives, what lies in build and cache folders, and the rest."""
     from sparklode.functions.paths import extension
 
-    ext, parts = extension(F.col("name")), F.split("path", "/")
-    skip = F.exists(parts, lambda c: c.isin(BUILD_FOLDERS)) | ext.isin(ARCHIVES)
-    return files.withColumn("tier", F.when(skip, None).when(ext.isin(STRUCTURED), "structured").when(ext.isin(PREFERRED) & (F.col("size") <= cap), "preferred"))
+    name, ext = F.lower("name"), F.lower(extension(F.col("name")))
+    deferred = F.exists(F.split(F.lower("path"), "/"), lambda c: c.isin(DEFERRED_FOLDERS))
+    for end in ARCHIVE_ENDS:
+        deferred = deferred | name.endswith(end)
+    structured = F.when(F.col("is_dir"), ext.isin(FOLDER_DOCUMENTS)).otherwise(ext.isin(STRUCTURED))
+    preferred = ~F.col("is_dir") & (ext.isin(PLAIN) | name.isin(COMMON_NAMES)) & (F.col("size") <= cap)
+    return files.withColumn("tier", F.when(deferred, None).when(structured, "structured").when(preferred, "preferred"))

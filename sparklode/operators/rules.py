@@ -1,7 +1,8 @@
 """Trigger rules over snapshots of a system's state: each criterion is true, false, or NULL where its signal is missing.
 
 ``criteria``: (trigger_id, ord, enabled, kind, op, number, number2, text, texts array, flag). ``snapshots``: (ts, idle_s, ssid, cpu, battery,
-adapter, displays, builtin_displays, audio, ips array, apps array, frontmost, dns array, volumes array, ...).
+adapter, displays, builtin_displays, audio, ips array, apps array, frontmost, dns array, volumes array, vpns array, bluetooth array, usb array, ...);
+a signal without a column is missing.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparklode.functions.text import ipv4_number
+from sparklode.functions.text import ip_key
 
 
 def compared(value: Column, op: Column, against: Column) -> Column:
@@ -28,46 +29,65 @@ def schedule(ts: Column, days: Column, start: Column, end: Column) -> Column:
     )
 
 
-def met() -> Column:
-    """The criterion of a row of snapshots joined with criteria."""
-    kind, number, op = F.col("kind"), F.col("number"), F.col("op")
-    among = lambda have: F.arrays_overlap(F.coalesce(have, F.array().cast("array<string>")), F.col("texts"))
+#: Signals of a snapshot.
+SIGNALS = dict.fromkeys(("idle_s", "cpu", "battery"), "double") | {"ssid": "string", "audio": "string", "adapter": "boolean", "displays": "int", "builtin_displays": "int"}
+SIGNALS |= dict.fromkeys(("ips", "apps", "frontmost", "dns", "volumes", "vpns", "bluetooth", "usb"), "array<string>")
+
+
+def met(c: Column) -> Column:
+    """Whether a snapshot meets a criterion (a struct); NULL where its signal is missing."""
+    kind, number, op, texts = c["kind"], c["number"], c["op"], c["texts"]
+    among = lambda have: F.arrays_overlap(F.coalesce(have, F.array().cast("array<string>")), texts)
     battery = F.when(F.col("battery").isNotNull(), compared(F.col("battery"), op, number))
-    both = F.when(F.col("text") == "and", battery & F.col("adapter")).otherwise(battery | F.col("adapter"))
-    screens = F.col("displays") - F.when(F.col("flag"), F.col("builtin_displays")).otherwise(0)
-    low, high = ipv4_number(F.get("texts", 0)), ipv4_number(F.get("texts", 1))
+    both = F.when(c["text"] == "and", battery & F.col("adapter")).otherwise(battery | F.col("adapter"))
+    screens = F.col("displays") - F.when(c["flag"], F.col("builtin_displays")).otherwise(0)
+    low, high = ip_key(F.get(texts, 0)), ip_key(F.get(texts, 1))
     return (
         F.when(kind == "idle", compared(F.col("idle_s") / 60, op, number))
-        .when(kind == "wifi", F.when(F.col("ssid").isNotNull(), F.array_contains("texts", F.col("ssid"))))
+        .when(kind == "wifi", F.when(F.col("ssid").isNotNull(), F.array_contains(texts, F.col("ssid"))))
         .when(kind == "cpu", compared(F.col("cpu"), op, number))
         .when(kind == "displays", compared(screens, op, number))
-        .when(kind == "battery", F.when(F.col("text").isNull(), battery).otherwise(both))
-        .when(kind == "power", F.col("adapter") == F.col("flag"))
-        .when(kind == "audio", F.when(F.col("audio").isNotNull(), F.array_contains("texts", F.col("audio"))))
+        .when(kind == "battery", F.when(c["text"].isNull(), battery).otherwise(both))
+        .when(kind == "power", F.col("adapter") == c["flag"])
+        .when(kind == "audio", F.when(F.col("audio").isNotNull(), F.array_contains(texts, F.col("audio"))))
         .when(kind == "app", among(F.col("apps")))
         .when(kind == "frontmost", among(F.col("frontmost")))
         .when(kind == "dns", among(F.col("dns")))
         .when(kind == "volume", among(F.col("volumes")))
-        .when(kind == "ip", F.exists(F.coalesce("ips", F.array().cast("array<string>")), lambda a: ipv4_number(a).between(low, high)))
-        .when(kind == "schedule", schedule(F.col("ts"), F.col("texts"), F.col("number"), F.col("number2")))
-        .when(kind == "date", F.date_format("ts", "yyyy-MM-dd") == F.col("text"))
+        .when(kind == "vpn", among(F.col("vpns")))
+        .when(kind == "bluetooth", among(F.col("bluetooth")))
+        .when(kind == "usb", among(F.col("usb")))
+        .when(kind == "ip", F.exists(F.coalesce("ips", F.array().cast("array<string>")), lambda a: ip_key(a).between(low, high)))
+        .when(kind == "schedule", schedule(F.col("ts"), texts, number, c["number2"]))
+        .when(kind == "date", F.date_format("ts", "yyyy-MM-dd") == c["text"])
     )
 
 
-def evaluated(snapshots: DataFrame, criteria: DataFrame) -> DataFrame:
-    """(ts, trigger_id, ord, matched, failed, unavailable): every snapshot against every enabled rule. Rules are a short list of settings."""
-    rules = criteria.filter("enabled")
-    rows = snapshots.crossJoin(F.broadcast(rules)).withColumn("_met", met())
-    return rows.groupBy("ts", "trigger_id", "ord").agg(
-        F.bool_and(F.coalesce("_met", F.lit(False))).alias("matched"),
-        F.array_join(F.array_sort(F.collect_set(F.when(~F.col("_met"), F.col("kind")))), ",").alias("failed"),
-        F.array_join(F.array_sort(F.collect_set(F.when(F.col("_met").isNull(), F.col("kind")))), ",").alias("unavailable"),
+def evaluated(snapshots: DataFrame, criteria: DataFrame, key: str = "ts") -> DataFrame:
+    """(key, trigger_id, ord, matched, failed, unavailable): every snapshot against every enabled rule; ``key`` names the snapshot.
+
+    The rules, a list of settings, are one row of arrays that goes to every task: no exchange of snapshots.
+    """
+    one = criteria.filter("enabled").groupBy("trigger_id", "ord").agg(F.collect_list(F.struct("kind", "op", "number", "number2", "text", "texts", "flag")).alias("criteria"))
+    rules = one.agg(F.array_sort(F.collect_list(F.struct("ord", "trigger_id", "criteria"))).alias("_rules"))
+    rows = snapshots.withColumns({c: F.lit(None).cast(kind) for c, kind in SIGNALS.items() if c not in snapshots.columns}).crossJoin(F.broadcast(rules))
+    each = lambda r: F.transform(r["criteria"], lambda c: F.struct(c["kind"].alias("kind"), met(c).alias("met")))
+    rows = rows.select(F.col(key), F.explode(F.transform("_rules", lambda r: F.struct(r["ord"].alias("ord"), r["trigger_id"].alias("trigger_id"), each(r).alias("found")))).alias("_r"))
+    found = F.col("_r.found")
+    kinds = lambda keep: F.array_join(F.array_sort(F.array_distinct(F.transform(F.filter(found, keep), lambda f: f["kind"]))), ",")
+    return rows.select(
+        key,
+        "_r.trigger_id",
+        "_r.ord",
+        F.forall(found, lambda f: F.coalesce(f["met"], F.lit(False))).alias("matched"),
+        kinds(lambda f: ~f["met"]).alias("failed"),
+        kinds(lambda f: f["met"].isNull()).alias("unavailable"),
     )
 
 
-def first_matching(results: DataFrame) -> DataFrame:
-    """(ts, trigger_id): the first rule in list order that matches each snapshot, NULL if none does."""
-    return results.groupBy("ts").agg(F.min_by(F.when(F.col("matched"), F.col("trigger_id")), F.when(F.col("matched"), F.col("ord"))).alias("trigger_id"))
+def first_matching(results: DataFrame, key: str = "ts") -> DataFrame:
+    """(key, trigger_id): the first rule in list order that matches each snapshot, NULL if none does."""
+    return results.groupBy(key).agg(F.min_by(F.when(F.col("matched"), F.col("trigger_id")), F.when(F.col("matched"), F.col("ord"))).alias("trigger_id"))
 
 
 def invalid(criteria: DataFrame) -> DataFrame:

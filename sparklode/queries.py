@@ -327,7 +327,7 @@ def event_log_keys(spark, sf_dir):
     return catalog.change_events(spark, sf_dir).select("event_id", F.array_join(text.event_keys(F.col("flags")), ",").alias("keys"))
 
 
-@query(f"WITH {EVENTS}, log AS (SELECT event_id, lower(concat_ws(' ', concat_ws(' ', {_KEYS}), path)) AS t FROM fs ORDER BY event_id DESC LIMIT 2000) SELECT event_id FROM log WHERE contains(t, 'renamed') AND contains(t, '/d1')")
+@query(f"WITH {EVENTS}, log AS (SELECT event_id, lower(concat_ws(' ', concat_ws(' ', {_KEYS}), path)) AS t FROM fs ORDER BY event_id DESC LIMIT 20000) SELECT event_id FROM log WHERE contains(t, 'renamed') AND contains(t, '/d1')")
 def event_log_filter(spark, sf_dir):
     return event_log.matching(catalog.change_events(spark, sf_dir), ["renamed", "/d1"]).select("event_id")
 
@@ -382,7 +382,7 @@ def recent_clips(spark, sf_dir):
     return clipboard.recent(catalog.clipboard(spark, sf_dir), 30).select("id")
 
 
-@query("""WITH k AS (SELECT conv_id || '-' || turn AS id, ';k' || (conv_id % 30) AS keyword FROM conversations WHERE turn = 0), t AS (SELECT event_id AS typed_id, 'say ;K' || user_id AS typed FROM events WHERE event_id % 3 = 0)
+@query("""WITH k AS (SELECT conv_id || '-' || turn AS id, ';k' || (conv_id % 30) AS keyword FROM conversations), t AS (SELECT event_id AS typed_id, 'say ;K' || user_id AS typed FROM events)
 SELECT typed_id, id, keyword FROM (SELECT typed_id, id, keyword, row_number() OVER (PARTITION BY typed_id ORDER BY length(keyword) DESC, keyword, id) AS n FROM t JOIN k ON ends_with(lower(typed), lower(keyword))) WHERE n = 1""")
 def snippet_suffix(spark, sf_dir):
     k = catalog.table(spark, sf_dir, "conversations").select(F.concat("conv_id", F.lit("-"), "turn").alias("id"), F.concat(F.lit(";k"), F.col("conv_id") % 30).alias("keyword"))
@@ -459,21 +459,17 @@ r AS (SELECT event_id, 'busy' AS trigger_id, 1 AS ord, coalesce(cpu_ok AND wifi_
 
 
 def _evaluated(spark, sf_dir):
-    snaps, criteria = _rules(spark, sf_dir)
-    key = snaps.select("ts", "event_id")
-    return rules.evaluated(snaps, criteria), key
+    return rules.evaluated(*_rules(spark, sf_dir), "event_id")
 
 
 @query(f"{_EVAL} SELECT event_id, trigger_id, matched, failed, unavailable FROM r")
 def trigger_eval(spark, sf_dir):
-    found, key = _evaluated(spark, sf_dir)
-    return found.join(key, "ts").select("event_id", "trigger_id", "matched", "failed", "unavailable")
+    return _evaluated(spark, sf_dir).select("event_id", "trigger_id", "matched", "failed", "unavailable")
 
 
 @query(f"{_EVAL} SELECT event_id, min_by(trigger_id, ord) FILTER (matched) AS trigger_id FROM r GROUP BY event_id")
 def first_trigger(spark, sf_dir):
-    found, key = _evaluated(spark, sf_dir)
-    return rules.first_matching(found).join(key, "ts").select("event_id", "trigger_id")
+    return rules.first_matching(_evaluated(spark, sf_dir), "event_id").select("event_id", "trigger_id")
 
 
 _SAMPLES = "samples AS (SELECT event_id, user_id, ts, sum(floor(value)::BIGINT) OVER w AS active, sum(event_id % 50) OVER w AS total FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"

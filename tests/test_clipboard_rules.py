@@ -42,7 +42,7 @@ def test_text_functions(spark):
     assert one(text.visible_title(F.lit("  first\tline\nsecond  "), False)) == "first\tline second"
     assert one(text.json_minified(F.lit('{"b":2,"a":1}'))) == '{"a":1,"b":2}' and one(text.json_minified(F.lit("{"))) is None
     assert one(text.json_pretty(F.lit('{"b":2,"a":1}'))) == '{\n  "a": 1,\n  "b": 2\n}'
-    assert one(text.quoted_lines(F.lit("a\nb"))) == "> a\n> b" and one(text.base64_decoded(F.lit("b3BlbmZpbmQ="))) == "openfind"
+    assert one(text.quoted_lines(F.lit("a\nb"))) == "> a\n> b" and one(text.base64_decoded(F.lit("c3VubGlnaHQ="))) == "sunlight"
     assert one(text.url_encoded(F.lit("a b/c?d=é"))) == "a%20b/c?d=%C3%A9" and one(text.url_decoded(F.lit("a%20b+c"))) == "a b+c"
     assert text.rendered("{date:yyyy-MM-dd} {time:HH:mm} {clipboard}/{{clipboard}} {uuid} A{cursor}BC {x}", datetime(2024, 1, 2, 3, 4), "clip", "U") == ("2024-01-02 03:04 clip/clip U ABC {x}", 30)
     assert one(text.colour(F.lit("#f00"))) == (1.0, 0.0, 0.0, 1.0) and one(text.colour(F.lit("#12"))) is None
@@ -66,6 +66,21 @@ def _eval(spark, crit, **snap):
     return {r["trigger_id"]: (r["matched"], r["failed"], r["unavailable"]) for r in found.collect()}, rules.first_matching(found).first()["trigger_id"]
 
 
+def test_addresses_in_order(spark):
+    key = lambda a: spark.range(1).select(text.ip_key(F.lit(a))).first()[0]
+    assert key("1.2.3.4") == "401020304" and key("FE80::5%en0") == "6fe80" + "0" * 27 + "5" and key("::") == "6" + "0" * 32
+    assert key("::ffff:1.2.3.4") == "6" + "0" * 20 + "ffff01020304" and key("1:2:3:4:5:6:7:8") == "6" + "".join(f"000{i}" for i in range(1, 9))
+    assert [key(a) for a in ("1.2.3", "1::2::3", "1:2:3", "12345::", "x", "1:2:3:4:5:6:7::8", "")] == [None] * 7
+
+
+def test_rules_by_snapshot_and_new_signals(spark):
+    crit = [(t, i, True, k, None, None, None, None, x, None) for i, (t, k, x) in enumerate([("v6", "ip", ["fe80::1", "fe80::9"]), ("vpn", "vpn", ["office"]), ("usb", "usb", ["key"])])]
+    snaps = spark.createDataFrame([(1, datetime(2024, 1, 1), ["fe80::5"], ["office"]), (2, datetime(2024, 1, 1), ["fe80::a", "10.0.0.1"], None)], "id long, ts timestamp, ips array<string>, vpns array<string>")
+    found = rules.evaluated(snaps, spark.createDataFrame(crit, CRIT), "id")
+    assert sorted((r["id"], r["trigger_id"], r["matched"]) for r in found.collect()) == [(1, "usb", False), (1, "v6", True), (1, "vpn", True), (2, "usb", False), (2, "v6", False), (2, "vpn", False)]
+    assert "Exchange hashpartitioning(id" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_rules(spark):
     wifi = {"texts": ["home"]}
     assert _eval(spark, [("a", 1, "wifi", wifi)])[0]["a"] == (False, "", "wifi")
