@@ -171,9 +171,10 @@ def between(positions: DataFrame, anchor: int, target: int) -> DataFrame:
     return rows.withColumn("pos", F.col("position") - low + 1 if anchor <= target else F.lit(high + 1) - F.col("position"))
 
 
-def joined(selection: DataFrame, separator: str = "\n") -> DataFrame:
-    """The texts of a selection (pos, text) as one."""
-    return selection.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), separator).alias("text"))
+def joined(selection: DataFrame, separator: str = "\n", by: tuple[str, ...] = ()) -> DataFrame:
+    """The texts of a selection (pos, text) as one; of several selections, if ``by`` names them."""
+    ordered = F.array_sort(F.collect_list(F.struct("pos", "text")))
+    return selection.groupBy(*by).agg(F.array_join(F.transform(ordered, lambda x: x["text"]), separator).alias("text"))
 
 
 def suffix_snippets(typed: DataFrame, snippets: DataFrame) -> DataFrame:

@@ -267,9 +267,9 @@ def body_dedup(spark, sf_dir):
 
 
 @query("""WITH owned AS (SELECT doc_id, strlen(text) AS b, min(doc_id) OVER (PARTITION BY text) AS owner FROM documents)
-SELECT count(*) AS documents, (SELECT count(DISTINCT text) FROM documents) AS bodies, count(*) FILTER (b > 0 AND b <= 20000 AND doc_id <> owner) AS shared FROM owned""")
+SELECT count(*) AS documents, (SELECT count(DISTINCT text) FROM documents) AS bodies, count(*) FILTER (b > 0 AND b <= 8388608 AND doc_id <> owner) AS shared FROM owned""")
 def index_diagnostics(spark, sf_dir):
-    return content_index.diagnostics(content_index.states(catalog.table(spark, sf_dir, "documents"), 20000))
+    return content_index.diagnostics(content_index.states(catalog.table(spark, sf_dir, "documents"), 8 << 20))
 
 
 @query("SELECT doc_id FROM documents WHERE contains(lower(text), 'worthless')")
@@ -405,8 +405,8 @@ def snippet_merge(spark, sf_dir):
 
 @query("""SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id""")
 def joined_selection(spark, sf_dir):
-    c = catalog.table(spark, sf_dir, "conversations")
-    return c.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\n").alias("text"))
+    c = catalog.table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("pos"), "text")
+    return clipboard.joined(c, by=("conv_id",))
 
 
 @query(r"""SELECT event_id, upper(event_type) AS up, '> ' || regexp_replace(event_type || chr(10) || props, '\n', chr(10) || '> ', 'g') AS quoted, to_base64(encode(props || repeat(event_type, 20))) AS b64, sha256(props) AS sha,

@@ -24,7 +24,7 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(
         F.col("doc_id").alias("node_id"), F.concat(F.lit("/corpus/"), "source", F.lit("/"), "lang", F.lit("/"), name).alias("path"), name.alias("name"), F.lit(False).alias("is_dir"),
         F.col("n_chars").alias("size"), _hours(F.col("doc_id")).alias("modified"), _hours(F.col("doc_id") - 24).alias("created"), (F.col("doc_id") % 11 == 0).alias("hidden"),
-        (F.col("doc_id") % 13 == 0).alias("in_package"), F.array(F.concat(F.lit("lang-"), "lang", F.lit("\n6")), F.concat(F.lit("src"), (F.col("doc_id") % 3).cast("string"))).alias("tags"), "text",
+        (F.col("doc_id") % 13 == 0).alias("in_package"), F.array(F.concat(F.lit("lang-"), "lang"), F.concat(F.lit("src"), (F.col("doc_id") % 3).cast("string"))).alias("tags"), "text",
     )
 
 
