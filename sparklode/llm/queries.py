@@ -8,7 +8,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparklode.llm import jaccard, mainhtml, mixing, neighbours, pieces, pii, quality_model, quality_rules, repeats, secrets
+from sparklode.llm import jaccard, mainhtml, mixing, neighbours, pieces, pii, prefix_trie, quality_model, quality_rules, repeats, secrets, sql_of_new, url_rules, vector_codes
 from sparklode.llm.store import table
 
 
@@ -53,6 +53,19 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scanned(table(spark, sf_dir, "documents")))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return url_rules.judged(pages, url_rules.labelled(pages, table(spark, sf_dir, "labels")))
+
+
+def op13_annular_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compressed(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_shared_prefix_pieces": op1_shared_prefix_pieces,
@@ -65,6 +78,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_jaccard_join": op8_jaccard_join,
         "op9_quality_rules": op9_quality_rules,
         "op10_secret_scan": op10_secret_scan,
+        "op11_prefix_trie": op11_prefix_trie,
+        "op12_url_rules": op12_url_rules,
+        "op13_annular_codes": op13_annular_codes,
     }
 
 
@@ -144,4 +160,4 @@ FROM split s LEFT JOIN sizes z USING (doc_id) JOIN (SELECT v, min(c) AS c FROM r
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_pareto_mix": _mix_sql(), "op8_jaccard_join": JACCARD_SQL.strip(), "op9_quality_rules": _rules_sql()}
+    return {"op5_pareto_mix": _mix_sql(), "op8_jaccard_join": JACCARD_SQL.strip(), "op9_quality_rules": _rules_sql()} | sql_of_new.SQL
