@@ -1,4 +1,4 @@
-"""Streams: change events kept in a snapshot, clipboard captures, rule switches, and session timers.
+"""Streams: change events and the work they ask for, clipboard captures, and rule switches. Sessions with deadlines are in ``sessions``, the live index in ``overlays``.
 
 Every stream writes idempotently per batch, so a batch that is tried again after a lost executor gives the same tables.
 """
@@ -22,13 +22,17 @@ def events(spark: SparkSession, landing: str, baseline: int = 0, most_files: int
     return rows.filter((F.col("event_id") == 0) | (F.col("event_id") > baseline))
 
 
-def batch_work(batch: DataFrame) -> DataFrame:
-    """(kind, path, event_id) a batch asks for: one a path, without paths below a subtree; kind rescan where events were lost."""
+def asked(batch: DataFrame) -> DataFrame:
+    """(kind, path, event_id): what each event makes necessary; kind rescan where events were lost."""
     flags = F.col("flags")
     rows = batch.filter(F.col("path").isNotNull() & ~text.synthetic_path(F.col("path"))).withColumn("path", paths.canonical(F.col("path")))
     lost = flags.bitwiseAND(F.lit(text.RESCAN)) != 0
     kind = F.when(lost, "rescan").otherwise(text.event_class(flags))
-    rows = rows.select(F.when(kind == "parent", "subtree").otherwise(kind).alias("kind"), F.when(kind == "parent", paths.parent(F.col("path"))).otherwise(F.col("path")).alias("path"), "event_id")
+    return rows.select(F.when(kind == "parent", "subtree").otherwise(kind).alias("kind"), F.when(kind == "parent", paths.parent(F.col("path"))).otherwise(F.col("path")).alias("path"), "event_id")
+
+
+def collapsed(rows: DataFrame) -> DataFrame:
+    """One row a path, the widest kind, without paths below a subtree."""
     level = F.when(F.col("kind") == "rescan", 3).when(F.col("kind") == "subtree", 2).when(F.col("kind") == "exact", 1).otherwise(0)
     one = rows.groupBy("path").agg(F.max_by("kind", level).alias("kind"), F.max("event_id").alias("event_id"))
     roots = tree.minimal_cover(one.filter("kind IN ('subtree', 'rescan')").select("path"))
@@ -36,6 +40,11 @@ def batch_work(batch: DataFrame) -> DataFrame:
     return one.join(below, "path", "left_anti").select("kind", "path", "event_id")
 
 
+def batch_work(batch: DataFrame) -> DataFrame:
+    """(kind, path, event_id) a batch asks for."""
+    return collapsed(asked(batch))
+
+
 def upserted(base: DataFrame, batch: DataFrame) -> DataFrame:
     """Exact changes (path, event_id, present, ...) on a base with event ids: the last writer of a path wins, and tombstones go."""
     columns = base.columns
@@ -56,27 +65,6 @@ def retries(failed: DataFrame, before: DataFrame) -> DataFrame:
     return rows.select("path", (F.coalesce("_t", F.lit(0)) + 1).alias("tries"), retry_at(F.coalesce("_t", F.lit(0))).alias("wait"))
 
 
-def maintained(stream: DataFrame, spark: SparkSession, table: str, checkpoint: str, look, trigger: dict | None = None) -> StreamingQuery:
-    """Keep the Parquet table ``table`` (one folder a version) current. ``look(paths)`` returns (path, ..., present, is_complete) as it is now.
-
-    A version is written whole and named by its batch, so a repeated batch writes the same version again. Paths that couldn't be looked at
-    keep their old rows and are carried in ``retry-<batch>``.
-    """
-
-    def apply(batch: DataFrame, number: int) -> None:
-        base = spark.read.parquet(f"{table}/v{number}")
-        work = batch_work(batch)
-        if number:
-            work = work.unionByName(spark.read.parquet(f"{table}/retry-{number}").select(F.lit("exact").alias("kind"), "path", F.lit(0).cast("long").alias("event_id")))
-        now = look(work.select("path")).join(work.groupBy("path").agg(F.max("event_id").alias("event_id")), "path")
-        done = now.filter("is_complete")
-        upserted(base, done).write.mode("overwrite").parquet(f"{table}/v{number + 1}")
-        earlier = spark.read.parquet(f"{table}/retry-{number}") if number else spark.createDataFrame([], "path string, tries int")
-        retries(now.filter("NOT is_complete"), earlier).write.mode("overwrite").parquet(f"{table}/retry-{number + 1}")
-
-    return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "700 milliseconds"})).start()
-
-
 def captured(stream: DataFrame, spark: SparkSession, table: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """Clipboard captures (id, ts, content, app) merged into a history: one row a content, counts added up, versions by batch."""
 

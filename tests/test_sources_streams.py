@@ -60,23 +60,6 @@ def test_batch_work(spark):
     assert got == {("subtree", "/a", 2), ("exact", "/b/f", 4), ("subtree", "/c", 5), ("exact", "/var/q", 8)}
 
 
-def test_maintained_stream(spark, tmp_path):
-    landing, table = str(tmp_path / "in"), str(tmp_path / "t")
-    spark.createDataFrame([("/k", 1, 0), ("/gone", 1, 0)], "path string, size long, event_id long").write.parquet(f"{table}/v0")
-    for i, rows in enumerate(([(0, "/old", 0x11000, None), (5, "/new", 0x11000, None), (6, "/gone", 0x11000, None)], [(9, "/new", 0x11000, None), (10, "/odd", 0x11000, None)])):
-        spark.createDataFrame(rows, changes.EVENT).coalesce(1).write.mode("append").parquet(landing) if i == 0 else spark.createDataFrame(rows, changes.EVENT).coalesce(1).write.mode("append").parquet(landing)
-
-    def look(paths):
-        return paths.selectExpr("path", "10L AS size", "path NOT IN ('/gone', '/old') AS present", "path != '/odd' AS is_complete")
-
-    q = changes.maintained(changes.events(spark, landing, 0, 1), spark, table, str(tmp_path / "c"), look, {"availableNow": True})
-    q.awaitTermination(120)
-    assert q.exception() is None
-    assert {(r["path"], r["size"]) for r in spark.read.parquet(f"{table}/v2").collect()} == {("/k", 1), ("/new", 10)}
-    left = {r["path"]: r["wait"] for r in spark.read.parquet(f"{table}/retry-2").collect()}
-    assert set(left) == {"/odd"} and left["/odd"] in (5, 10)
-
-
 def test_captured_stream_equals_batch(spark, tmp_path):
     rows = [(str(i), datetime(2024, 1, 1, 0, i), f"c{i % 3}", "app") for i in range(9)]
     src = spark.createDataFrame(rows, "id string, ts timestamp, content string, app string")
