@@ -9,7 +9,7 @@ from sparklode.functions import paths, text
 from sparklode.queries import EVENTS, query
 from sparklode.queries_columns import QUERIES, SQL
 from sparklode.sources import catalog, shared
-from sparklode.streaming import changes, overlays
+from sparklode.streaming import changes, overlays, sessions
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -94,3 +94,83 @@ SELECT path, indexed FROM f LEFT JOIN one USING (path) LEFT JOIN deep USING (fol
 def content_kept(spark, sf_dir):
     meta = catalog.change_events(spark, sf_dir).groupBy("path").agg(F.min("event_id").alias("indexed"))
     return overlays.content_kept(meta, changes.asked(_changes(spark, sf_dir)))
+
+
+# ---------------------------------------------------------------- sessions and captures
+
+def landed_in_turn(rows: DataFrame, by: str, files: int = 3) -> str:
+    """A folder with ``rows`` in a few files, one after the other in the order of a time."""
+    at = shared.fresh(rows.sparkSession, "landing")
+    seconds = F.col(by).cast("double")
+    low, high = rows.agg(F.min(seconds), F.max(seconds)).head()
+    step = ((high or 0) - (low or 0)) / files or 1.0
+    part = F.least(F.floor((seconds - F.lit(low or 0.0)) / step), F.lit(files - 1))
+    for k in range(files):
+        rows.filter(part == k).coalesce(1).write.mode("append").parquet(at)
+    return at
+
+
+_COMMANDS = """cmd AS (
+  SELECT user_id::VARCHAR AS owner, date_trunc('millisecond', ts) AS ts, event_id, CASE event_type WHEN 'signup' THEN 'start' WHEN 'purchase' THEN 'extend' WHEN 'error' THEN CASE WHEN event_id % 2 = 0 THEN 'end' ELSE 'enable' END ELSE 'match' END AS kind,
+         CASE WHEN event_type IN ('signup') THEN 'm' || event_id WHEN event_type IN ('view', 'click') AND event_id % 4 <> 0 THEN 'r' || (event_id % 3) END AS id,
+         CASE event_type WHEN 'signup' THEN CASE WHEN event_id % 5 <> 0 THEN 7200 * (1 + event_id % 40) END WHEN 'purchase' THEN 3600 END AS seconds FROM events),
+n AS (SELECT *, row_number() OVER (PARTITION BY owner ORDER BY ts, event_id) AS k FROM cmd),"""
+
+
+@query(f"""WITH RECURSIVE {_COMMANDS}
+fold AS (
+  SELECT owner, 0::BIGINT AS k, NULL::TIMESTAMP AS stamp, NULL::VARCHAR AS source, NULL::VARCHAR AS id, NULL::TIMESTAMP AS deadline, true AS rules, NULL::TIMESTAMP AS due, NULL::VARCHAR AS due_source, NULL::VARCHAR AS due_id,
+         NULL::VARCHAR AS action, NULL::VARCHAR AS a_source, NULL::VARCHAR AS a_id, NULL::VARCHAR AS reason FROM (SELECT DISTINCT owner FROM n)
+  UNION ALL
+  SELECT owner, k, stamp, CASE WHEN action IS NULL THEN s ELSE CASE WHEN action = 'end' THEN NULL WHEN kind = 'start' THEN 'manual' WHEN kind = 'match' THEN 'trigger' ELSE s END END,
+         CASE WHEN action IS NULL THEN i ELSE CASE WHEN action = 'end' THEN NULL WHEN kind IN ('start', 'match') THEN name ELSE i END END,
+         CASE WHEN action IS NULL THEN d WHEN kind = 'start' THEN stamp + to_seconds(seconds) WHEN kind = 'extend' THEN d + to_seconds(seconds) END,
+         CASE WHEN kind = 'enable' THEN true WHEN kind = 'end' AND s = 'trigger' THEN false ELSE rules END, due, due_source, due_id, action,
+         CASE WHEN action IS NULL THEN NULL WHEN kind = 'start' THEN 'manual' WHEN kind = 'match' AND action <> 'end' THEN 'trigger' ELSE s END,
+         CASE WHEN action IS NULL THEN NULL WHEN kind IN ('start', 'match') AND action <> 'end' THEN name ELSE i END,
+         CASE WHEN action = 'end' THEN CASE WHEN kind = 'end' THEN 'requested' ELSE 'condition' END END
+  FROM (
+    SELECT *, CASE kind WHEN 'start' THEN CASE WHEN s IS NULL THEN 'start' ELSE 'replace' END WHEN 'extend' THEN CASE WHEN d IS NOT NULL THEN 'extend' END WHEN 'end' THEN CASE WHEN s IS NOT NULL THEN 'end' END
+      WHEN 'match' THEN CASE WHEN s IS NULL THEN CASE WHEN w IS NOT NULL THEN 'start' END WHEN s = 'trigger' AND w IS DISTINCT FROM i THEN CASE WHEN w IS NULL THEN 'end' ELSE 'replace' END END END AS action
+    FROM (
+      SELECT f.owner, n.k, n.ts AS stamp, n.kind, n.id AS name, n.seconds, f.rules, CASE WHEN f.rules THEN n.id END AS w, coalesce(f.deadline <= n.ts, false) AS over,
+             CASE WHEN over THEN NULL ELSE f.source END AS s, CASE WHEN over THEN NULL ELSE f.id END AS i, CASE WHEN over THEN NULL ELSE f.deadline END AS d,
+             CASE WHEN over THEN f.deadline END AS due, CASE WHEN over THEN f.source END AS due_source, CASE WHEN over THEN f.id END AS due_id
+      FROM fold f JOIN n ON n.owner = f.owner AND n.k = f.k + 1))),
+last AS (SELECT max(ts) AS ts FROM cmd),
+open_ends AS (SELECT owner, deadline, source, id FROM fold WHERE (owner, k) IN (SELECT owner, max(k) FROM fold GROUP BY owner) AND deadline <= (SELECT ts FROM last))
+SELECT owner, stamp AS ts, action, a_source AS source, a_id AS id, reason FROM fold WHERE action IS NOT NULL
+UNION ALL SELECT owner, due, 'end', due_source, due_id, 'deadline' FROM fold WHERE due IS NOT NULL
+UNION ALL SELECT owner, deadline, 'end', source, id, 'deadline' FROM open_ends""")
+def session_stream(spark, sf_dir):
+    """Sessions by hand and by rules, with deadlines, extensions and ends, as a stream with timers."""
+    e = catalog.table(spark, sf_dir, "events")
+    kind, n = F.col("event_type"), F.col("event_id")
+    is_match = kind.isin("view", "click")
+    commands = e.select(
+        F.col("user_id").cast("string").alias("owner"), F.date_trunc("millisecond", F.col("ts").cast("timestamp")).alias("ts"), n.alias("seq"),
+        F.when(kind == "signup", "start").when(kind == "purchase", "extend").when(kind == "error", F.when(n % 2 == 0, "end").otherwise("enable")).otherwise("match").alias("kind"),
+        F.when(kind == "signup", F.concat(F.lit("m"), n)).when(is_match & (n % 4 != 0), F.concat(F.lit("r"), n % 3)).alias("id"),
+        F.when(kind == "signup", F.when(n % 5 != 0, 7200 * (1 + n % 40))).when(kind == "purchase", 3600).cast("double").alias("seconds"),
+    )
+    return _streamed(spark, commands, sessions.COMMAND, sessions.sessions, sessions.ACTION)
+
+
+def _streamed(spark: SparkSession, rows: DataFrame, schema: str, through, out: str) -> DataFrame:
+    """What a stateful stream has written once all of ``rows`` went through it."""
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(landed_in_turn(rows, "ts"))
+    table = shared.fresh(spark, "stream")
+    sessions.written(through(stream), table, shared.fresh(spark, "checkpoint"), {"availableNow": True}).awaitTermination()
+    return spark.read.schema(out).parquet(table)
+
+
+@query("""WITH c AS (SELECT sha256(props) AS content_hash, date_trunc('millisecond', ts) AS ts FROM events),
+g AS (SELECT *, coalesce(date_diff('millisecond', lag(ts) OVER w, ts) > 43200000, true) AS fresh FROM c WINDOW w AS (PARTITION BY content_hash ORDER BY ts)),
+r AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY content_hash ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM g),
+e AS (SELECT content_hash, min(ts) AS first_at, max(ts) AS last_at, count(*) AS copies FROM r GROUP BY content_hash, run)
+SELECT * FROM e WHERE last_at + INTERVAL 12 HOUR <= (SELECT max(ts) FROM c)""")
+def capture_expiry_stream(spark, sf_dir):
+    """Captures by content, each gone twelve hours after it was last copied."""
+    e = catalog.table(spark, sf_dir, "events")
+    captures = e.select(F.sha2("props", 256).alias("content_hash"), F.date_trunc("millisecond", F.col("ts").cast("timestamp")).alias("ts"))
+    return _streamed(spark, captures, "content_hash string, ts timestamp", lambda s: sessions.expired(s, 12 * 3_600_000, 64), sessions.ENTRY)
