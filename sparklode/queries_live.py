@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sparklode.functions import paths, text
 from sparklode.queries import EVENTS, query
 from sparklode.queries_columns import QUERIES, SQL
-from sparklode.sources import catalog, shared
+from sparklode.sources import catalog, shared, tree_source
 from sparklode.streaming import changes, overlays, sessions
 
 __all__ = ["QUERIES", "SQL"]
@@ -174,3 +174,39 @@ def capture_expiry_stream(spark, sf_dir):
     e = catalog.table(spark, sf_dir, "events")
     captures = e.select(F.sha2("props", 256).alias("content_hash"), F.date_trunc("millisecond", F.col("ts").cast("timestamp")).alias("ts"))
     return _streamed(spark, captures, "content_hash string, ts timestamp", lambda s: sessions.expired(s, 12 * 3_600_000, 64), sessions.ENTRY)
+
+
+# ---------------------------------------------------------------- folders and large files
+
+def _written(spark: SparkSession, sf_dir: str, value) -> str:
+    """Documents as text files in folders by source and language; the files' names are Spark's own."""
+    d = catalog.table(spark, sf_dir, "documents").select(value.alias("value"), F.coalesce("source", F.lit("none")).alias("source"), F.coalesce("lang", F.lit("none")).alias("lang"))
+    at = shared.fresh(spark, "tree")
+    d.repartition("source", "lang").write.partitionBy("source", "lang").text(at)
+    return at
+
+
+_FOLDERS = "SELECT 'source=' || coalesce(source, 'none') AS s, 'lang=' || coalesce(lang, 'none') AS l"
+
+
+@query(f"""WITH d AS ({_FOLDERS}, length(doc_id::VARCHAR) + 1 AS n FROM documents)
+SELECT s || '/' || l AS folder, 2 AS depth, sum(n)::BIGINT AS bytes FROM d GROUP BY ALL UNION ALL SELECT s, 1, sum(n)::BIGINT FROM d GROUP BY s""")
+def tree_scan(spark, sf_dir):
+    """Folder rows of a tree and the bytes of the text files below each."""
+    at = _written(spark, sf_dir, F.col("doc_id").cast("string"))
+    rows = tree_source.tree(spark, [at], 8)
+    root = F.lit(tree_source.local_path(at))
+    files = rows.filter("NOT is_dir AND NOT is_link AND name LIKE 'part-%'").select("size", F.explode(paths.ancestors(F.col("path"), False)).alias("path"))
+    sizes = files.groupBy("path").agg(F.sum("size").alias("bytes"))
+    folder = F.substring("path", F.length(root) + 2, F.length("path"))
+    inside = rows.filter(F.col("is_dir") & F.col("listed") & (F.col("path") != root)).select("path", folder.alias("folder"))
+    return inside.join(sizes, "path").select("folder", (F.size(F.split("folder", "/"))).alias("depth"), "bytes")
+
+
+@query(f"""WITH d AS ({_FOLDERS}, lower(text) AS t FROM documents WHERE text IS NOT NULL)
+SELECT s || '/' || l AS folder, sum((strlen(t) - strlen(replace(t, 'moron', ''))) // 5)::BIGINT AS n FROM d GROUP BY ALL HAVING n > 0""")
+def chunked_literal(spark, sf_dir):
+    """A literal in large files, read by pieces of 64 KiB."""
+    at = _written(spark, sf_dir, F.coalesce("text", F.lit("")))
+    found = tree_source.literal_hits(spark, at, "Moron", 1 << 16)
+    return found.groupBy(F.regexp_extract("path", "(source=[^/]+/lang=[^/]+)/", 1).alias("folder")).agg(F.sum("n").alias("n"))
