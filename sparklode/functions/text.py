@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ipaddress
 import json
 import re
+from collections.abc import Callable
 from datetime import datetime
 
 import pandas as pd
@@ -147,6 +149,40 @@ def rendered(template: str, now: datetime, clipboard: str = "", uuid: str = "")
     return "".join(parts) + template[last:], cursor
 
 
+_ANY = r"\{\{[^{}]+\}\}|\{[^{}]+\}"
+
+
+def rendered_rows(template: Column, now: Column, clipboard: Column, uuid: Column) -> Column:
+    """:func:`rendered` for a column of templates: (text, cursor); cursor is NULL without one."""
+
+    def dated(pattern: Column) -> Column:
+        for code in ("yyyy", "MM", "dd", "HH", "mm", "ss"):
+            pattern = F.replace(pattern, F.lit(code), F.date_format(now, code))
+        return pattern
+
+    def value(token: Column) -> Column:
+        name = F.trim(F.regexp_replace(token, r"^\{+|\}+$", ""))
+        key, argument = F.substring_index(name, ":", 1), F.when(F.contains(name, F.lit(":")), F.regexp_replace(name, "^[^:]*:", ""))
+        given = F.nullif(argument, F.lit(""))
+        return (
+            F.when(key == "date", dated(F.coalesce(given, F.lit("yyyy-MM-dd"))))
+            .when(key == "time", dated(F.coalesce(given, F.lit("HH:mm"))))
+            .when((key == "datetime") & given.isNull(), dated(F.lit("yyyy-MM-dd HH:mm")))
+            .when(name == "clipboard", F.coalesce(clipboard, F.lit("")))
+            .when(name == "uuid", F.coalesce(uuid, F.lit("")))
+            .when(name == "cursor", F.lit(""))
+            .otherwise(token)
+        )
+
+    found = F.regexp_extract_all(template, F.lit(_ANY), F.lit(0))
+    gaps = F.split(template, _ANY, -1)
+    parts = F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get(F.transform(found, value), i), F.lit(""))))
+    marks = F.transform(found, lambda t: F.trim(F.regexp_replace(t, r"^\{+|\}+$", "")) == "cursor")
+    last = F.array_max(F.transform(marks, lambda m, i: F.when(m, i)))
+    cursor = F.when(last.isNotNull(), F.length(F.array_join(F.slice(parts, F.lit(1), last + 1), "")))
+    return F.struct(F.array_join(parts, "").alias("text"), cursor.alias("cursor"))
+
+
 def word_count(s: Column) -> Column:
     return F.size(F.filter(F.split(s, r"\s+"), lambda w: w != ""))
 
@@ -185,21 +221,44 @@ def ipv4_number(s: Column) -> Column:
     return F.when(good, total)
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def ip_key(s: Column) -> Column:
     """Any address as text that orders like it within a family: 4 and 8 hexadecimal digits, or 6 and 32; NULL if it isn't one. Its zone is left out."""
-    plain = F.lower(F.substring_index(s, "%", 1))
-    four = ipv4_number(F.substring_index(plain, ":", -1))
-    # A dotted end stands for two groups.
-    tail = F.lpad(F.lower(F.hex(four)), 8, "0")
-    whole = F.when(plain.contains(":") & four.isNotNull(), F.concat(F.regexp_replace(plain, r"[^:]*$", ""), F.substring(tail, 1, 4), F.lit(":"), F.substring(tail, 5, 4))).otherwise(plain)
     groups = lambda part: F.array_remove(F.split(F.coalesce(part, F.lit("")), ":"), "")
-    halves = F.split(whole, "::")
-    left, right = groups(F.get(halves, 0)), groups(F.get(halves, 1))
-    missing = 8 - F.size(left) - F.size(right)
-    shape = F.rlike(whole, F.lit("^(([0-9a-f]{1,4}:)*[0-9a-f]{1,4})?(::(([0-9a-f]{1,4}:)*[0-9a-f]{1,4})?)?$"))
-    good = shape & F.when(whole.contains("::"), missing >= 1).otherwise(missing == 0)
-    padded = F.transform(F.concat(left, F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), right), lambda g: F.lpad(g, 4, "0"))
-    return F.when(~plain.contains(":"), F.concat(F.lit("4"), F.lpad(F.lower(F.hex(ipv4_number(plain))), 8, "0"))).when(good, F.concat(F.lit("6"), F.array_join(padded, "")))
+    digits = lambda number: F.lpad(F.lower(F.hex(number)), 8, "0")
+
+    def dotted_end(plain: Column) -> Column:
+        # A dotted end stands for two groups.
+        head = F.regexp_replace(plain, r"[^:]*$", "")
+        return bound(digits(ipv4_number(F.substring_index(plain, ":", -1))), lambda tail: F.when(tail.isNull(), plain).otherwise(F.concat(head, F.substring(tail, 1, 4), F.lit(":"), F.substring(tail, 5, 4))))
+
+    def six(whole: Column) -> Column:
+        halves = F.split(whole, "::")
+        shape = F.rlike(whole, F.lit("^(([0-9a-f]{1,4}:)*[0-9a-f]{1,4})?(::(([0-9a-f]{1,4}:)*[0-9a-f]{1,4})?)?$"))
+
+        def filled(sides: Column) -> Column:
+            missing = 8 - F.size(sides["l"]) - F.size(sides["r"])
+            good = shape & F.when(whole.contains("::"), missing >= 1).otherwise(missing == 0)
+            padded = F.transform(F.concat(sides["l"], F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), sides["r"]), lambda g: F.lpad(g, 4, "0"))
+            return F.when(good, F.concat(F.lit("6"), F.array_join(padded, "")))
+
+        return bound(F.struct(groups(F.get(halves, 0)).alias("l"), groups(F.get(halves, 1)).alias("r")), filled)
+
+    either = lambda plain: F.when(plain.contains(":"), bound(dotted_end(plain), six)).otherwise(F.concat(F.lit("4"), digits(ipv4_number(plain))))
+    return bound(F.lower(F.substring_index(s, "%", 1)), either)
+
+
+def ip_key_of(s: str | None) -> str | None:
+    """:func:`ip_key` of one address."""
+    try:
+        a = ipaddress.ip_address((s or "").split("%")[0])
+    except ValueError:
+        return None
+    return f"{a.version}{a.packed.hex()}"
 
 
 def ip_struct(s: Column) -> Column:

@@ -11,6 +11,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparklode.operators.ranks import numbered
+from sparklode.sources.shared import kept
+
 _FILTER = re.compile(r'(?i)(?:^|\s)(app|type|is|collection):(?:"([^"]{1,256})"|([^\s"]{1,256}))')
 # Words for kinds and states.
 KINDS = {
@@ -21,6 +24,7 @@ STATES = {"pinned": "pinned saved reusable 置顶 已保存 复用", "unpinned":
 _KIND_OF = {w: k for k, ws in KINDS.items() for w in ws.split()}
 _STATE_OF = {w: k for k, ws in STATES.items() for w in ws.split()}
 FUZZY_LIMIT, PATTERN_LIMIT, QUICK = 10_000, 512, 9
+# Keys that pinned rows may have.
 PIN_KEYS = "bcdefghijklmnoprstu"
 
 
@@ -130,7 +134,7 @@ def search(history: DataFrame, query: str, mode: str = "exact", pins_first: bool
             if mode == "fuzzy":
                 rows = rows.withColumn("score", fuzzy_score(searchable(), s.text))
                 sort = [*([] if pins_first is None else sort[:1]), F.col("score").desc(), F.col("created_at").desc(), F.upper("id")]
-    return rows.withColumn("position", F.row_number().over(Window.orderBy(*sort)))
+    return numbered(rows, sort, kept, "position")
 
 
 def merged(copies: DataFrame) -> DataFrame:
@@ -190,7 +194,12 @@ def suffix_snippets(typed: DataFrame, snippets: DataFrame) -> DataFrame:
 
 
 def snippet_merge(history: DataFrame, records: DataFrame) -> DataFrame:
-    """Import of records (id, title, preview, keyword, collection): pinned rows of the same id are updated, unpinned ones keep their place and the record gets a new id, others are added."""
+    """Import of records (id, title, preview, keyword, collection): pinned rows of the same id are updated, unpinned ones keep their place and the record gets a new id, others are added.
+
+    A new id is the old one with the first of "-2", "-3", ... that no row and no record has: the numbers taken are looked up by the part
+    of an id before them. Records whose keyword another one, or another pinned row, has as well are left out (see :func:`refused`).
+    """
+    records = records.join(refused(history, records).select("id"), "id", "left_anti")
     old = history.select("id", "pinned", "title", "preview", "keyword", "collection")
     new = records.select("id", *(F.col(c).alias(f"n_{c}") for c in ("title", "preview", "keyword", "collection")), F.lit(True).alias("_new"))
     both = old.join(new, "id", "full")
@@ -198,10 +207,56 @@ def snippet_merge(history: DataFrame, records: DataFrame) -> DataFrame:
     take = lambda c: F.when(update, F.col(f"n_{c}")).otherwise(F.col(c)).alias(c)
     kept = both.select("id", F.when(update, True).otherwise(F.col("pinned")).alias("pinned"), *(take(c) for c in ("title", "preview", "keyword", "collection")))
     clash = both.filter(F.coalesce("_new", F.lit(False)) & ~F.coalesce("pinned", F.lit(True)))
-    fresh = clash.select(F.concat("id", F.lit("-2")).alias("id"), F.lit(True).alias("pinned"), *(F.col(f"n_{c}").alias(c) for c in ("title", "preview", "keyword", "collection")))
+    stem, number = F.regexp_extract("id", "^(.*)-([1-9][0-9]{0,8})$", 1), F.regexp_extract("id", "^(.*)-([1-9][0-9]{0,8})$", 2)
+    taken = both.filter(number != "").select(stem.alias("_stem"), number.cast("int").alias("_k")).join(clash.select(F.col("id").alias("_stem")), "_stem", "left_semi").groupBy("_stem").agg(F.collect_set("_k").alias("_taken"))
+    # Of n numbers taken, one of the n + 1 from 2 on is free.
+    free = F.array_min(F.array_except(F.sequence(F.lit(2), F.size("_taken") + 2), "_taken"))
+    fresh = clash.join(taken, F.col("id") == F.col("_stem"), "left").select(
+        F.concat("id", F.lit("-"), F.coalesce(free, F.lit(2))).alias("id"), F.lit(True).alias("pinned"), *(F.col(f"n_{c}").alias(c) for c in ("title", "preview", "keyword", "collection"))
+    )
     return kept.unionByName(fresh)
 
 
+def refused(history: DataFrame, records: DataFrame) -> DataFrame:
+    """(id, keyword) of records whose keyword, in any case, another record has, or a pinned row with another id."""
+    word = lambda rows: rows.filter(F.col("keyword").isNotNull()).select("id", "keyword", F.lower("keyword").alias("_k"))
+    new, old = word(records), word(history.filter("pinned"))
+    uses = new.select("id", "_k").union(old.select("id", "_k")).distinct().groupBy("_k").count().filter("count > 1").select("_k")
+    return new.join(uses, "_k", "left_semi").select("id", "keyword")
+
+
+def collections(history: DataFrame) -> DataFrame:
+    """Names of collections, without regard to case in order."""
+    return history.filter(F.col("collection").isNotNull()).select("collection").distinct().orderBy(F.lower("collection"), "collection")
+
+
+def snippet_list(history: DataFrame) -> DataFrame:
+    """Pinned rows with ``position``: by collection and title, without regard to case; those without a collection first."""
+    low = lambda c: F.lower(F.coalesce(c, F.lit("")))
+    return numbered(history.filter("pinned"), [low("collection"), low("title"), F.col("id")], kept, "position")
+
+
+def storage_category(kind: Column) -> Column:
+    """What a type counts as where space is reported."""
+    has = lambda *parts: F.rlike(F.lower(kind), F.lit("|".join(parts)))
+    return F.when(has("image", "png", "tiff", "jpeg"), "image").when(has("file-url"), "file").when(has("rtf", "html"), "richText").when(has("text", "url", "string"), "text").otherwise("other")
+
+
+def plain_text(item: Column, ocr: Column | None = None) -> Column:
+    """Text of an entry's values (map<type, binary>): as UTF-8, as UTF-16, its address, or what was read in its image."""
+    utf8 = F.try_validate_utf8(item["public.utf8-plain-text"].cast("string"))
+    wide = F.decode(item["public.utf16-plain-text"], "UTF-16")
+    url = F.try_validate_utf8(item["public.url"].cast("string"))
+    return F.coalesce(utf8, wide, url, *([] if ocr is None else [ocr]))
+
+
+def stack_progress(items: Column, pasted: Column) -> Column:
+    """(remaining, pasted, ratio) of a stack of items to paste."""
+    n = F.size(items)
+    done = F.least(F.greatest(pasted, F.lit(0)), n)
+    return F.struct((n - done).alias("remaining"), done.alias("pasted"), F.when(n > 0, done / n).otherwise(F.lit(0.0)).alias("ratio"))
+
+
 def repeated_keywords(records: DataFrame) -> DataFrame:
     return records.filter(F.col("keyword").isNotNull()).groupBy(F.lower("keyword").alias("keyword")).agg(F.count("*").alias("n")).filter("n > 1")
 
@@ -215,7 +270,8 @@ def undone(current: DataFrame, removed: DataFrame) -> DataFrame:
     back = removed.join(current.select("id"), "id", "left_anti")
     added = current.filter(F.col("pos").isNull()).withColumn("_group", F.lit(0))
     rest = current.filter(F.col("pos").isNotNull()).unionByName(back).withColumn("_group", F.lit(1))
-    return added.unionByName(rest).withColumn("position", F.row_number().over(Window.orderBy("_group", "pos", F.desc("created_at"), "id"))).drop("_group")
+    order = [F.col("_group"), F.col("pos"), F.desc("created_at"), F.col("id")]
+    return numbered(added.unionByName(rest), order, kept, "position").drop("_group")
 
 
 def payload_bytes(history: DataFrame) -> DataFrame:

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FINGERPRINT = ["path", "size", "modified", "created", "extractor"]
@@ -25,21 +29,34 @@ def states(docs: DataFrame, largest: int) -> DataFrame:
     )
 
 
-def grams(text: Column) -> Column:
-    """The distinct trigrams of a lower-case text. Letters are cut apart once (the array binds them), so that the work grows with the text and not with its square."""
-    letters = F.array(F.split(F.lower(text), ""))
-    three = F.transform(letters, lambda x: F.transform(x, lambda c, i: F.concat(c, F.get(x, i + 1), F.get(x, i + 2))))[0]
-    return F.array_distinct(F.filter(three, lambda g: g.isNotNull() & (F.length(g) == 3)))
+def gram_codes(text: str) -> np.ndarray:
+    """The distinct trigrams of a text as numbers, 21 bits a letter."""
+    letters = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    return np.unique(letters[:-2] << 42 | letters[1:-1] << 21 | letters[2:])
 
 
-def postings(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(tri, id): the inverted index."""
-    return docs.select(F.col(id_col).alias("id"), F.explode(grams(F.col("text"))).alias("tri"))
+def postings(docs: DataFrame, id_col: str = "doc_id", wanted: list[int] | None = None) -> DataFrame:
+    """(tri, id): the inverted index of the lower-case texts, or its part for some trigrams.
 
+    Trigrams are cut in numpy: the same with array functions takes five times as long, as each letter is a string there.
+    """
+    keep = None if wanted is None else np.array(sorted(wanted), np.int64)
 
-def literal_grams(literal: str) -> list[str]:
-    low = literal.lower()
-    return list(dict.fromkeys(low[i : i + 3] for i in range(len(low) - 2)))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            codes = [gram_codes(t) if t else np.zeros(0, np.int64) for t in b.column(1).to_pylist()]
+            if keep is not None:
+                codes = [np.intersect1d(c, keep, assume_unique=True) for c in codes]
+            n = [len(c) for c in codes]
+            if sum(n):
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(codes)), b.column(0).take(pa.array(np.repeat(np.arange(len(n)), n)))], ["tri", "id"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(F.col(id_col).alias("id"), F.lower("text").alias("text")).mapInArrow(run, f"tri long, id {kind}")
+
+
+def literal_grams(literal: str) -> list[int]:
+    return gram_codes(literal.lower()).tolist()
 
 
 def candidates(index: DataFrame, literal: str) -> DataFrame:
@@ -50,8 +67,31 @@ def candidates(index: DataFrame, literal: str) -> DataFrame:
     return index.filter(F.col("tri").isin(wanted)).groupBy("id").agg(F.count("*").alias("n")).filter(F.col("n") == len(wanted)).select("id")
 
 
-def found(docs: DataFrame, index: DataFrame, literal: str) -> DataFrame:
-    """Documents with the literal: candidates of the index, then the text itself."""
+def store_postings(index: DataFrame, at: str, buckets: int = 64, spread: int = 4) -> None:
+    """Write postings in buckets of trigrams, sorted by trigram and id: Parquet keeps such ids as gaps, and its statistics skip the rest of
+    a bucket. A frequent trigram's ids are in ``spread`` files."""
+    dealt = index.withColumn("bucket", _bucket(F.col("tri"), buckets)).repartition(buckets * spread, "bucket", F.pmod(F.xxhash64("id"), F.lit(spread)))
+    dealt.sortWithinPartitions("bucket", "tri", "id").write.partitionBy("bucket").option("parquet.writer.version", "v2").option("parquet.block.size", 4 << 20).mode("overwrite").parquet(at)
+
+
+def _bucket(tri: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(tri), F.lit(buckets)).cast("int")
+
+
+def stored_postings(spark: SparkSession, at: str, literal: str, buckets: int = 64) -> DataFrame:
+    """The postings of a literal's trigrams: only their buckets are read."""
+    index = spark.read.parquet(at)
+    wanted = literal_grams(literal)
+    if not wanted:
+        return index.select("tri", "id")
+    numbers = spark.createDataFrame([(w,) for w in wanted], "tri long").select(_bucket(F.col("tri"), buckets)).distinct()
+    return index.filter(F.col("bucket").isin([r[0] for r in numbers.collect()]) & F.col("tri").isin(wanted)).select("tri", "id")
+
+
+def found(docs: DataFrame, index: DataFrame | None, literal: str) -> DataFrame:
+    """Documents with the literal: candidates of the index, then the text itself. Without an index the trigrams of the literal are looked for."""
+    if index is None:
+        index = postings(docs, wanted=literal_grams(literal) or None)
     return docs.join(candidates(index, literal), docs["doc_id"] == F.col("id"), "left_semi").filter(F.contains(F.lower("text"), F.lit(literal.lower())))
 
 
@@ -96,10 +136,41 @@ def name_postings(files: DataFrame) -> DataFrame:
     return files.groupBy("name").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("node_id")).alias("ids"))
 
 
-def signature(names: DataFrame, block: int = 16, bits: int = 63) -> DataFrame:
-    """(block, bits): OR of the hashed trigrams of each run of names; a name without all bits of a literal can't hold it."""
-    n = names.select(F.floor(F.col("node_id") / block).alias("block"), F.explode(grams(F.col("name"))).alias("tri"))
-    return n.groupBy("block").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64("tri"), F.lit(bits)).cast("int"))).alias("bits"))
+#: Names in a block, and longs of 64 bits in its signature.
+NAMES, LONGS = 16, 4
+
+
+def _bits(gram: Column) -> tuple[Column, Column]:
+    """(which long, its bit) of a gram."""
+    at = F.pmod(F.xxhash64(gram), F.lit(64 * LONGS)).cast("int")
+    return (at / 64).cast("int"), F.call_function("shiftleft", F.lit(1).cast("long"), at % 64)
+
+
+def signature(names: DataFrame, block: int = NAMES) -> DataFrame:
+    """(block, b0, b1, b2, b3): 256 bits of the hashed one-, two- and three-letter parts of each run of names, by node id. A block without all bits of a literal has no name with it."""
+    low = F.lower("name")
+    short = F.transform(F.sequence(F.lit(1), F.greatest(F.length(low), F.lit(1))), lambda i: F.array(F.substring(low, i, F.lit(1)), F.substring(low, i, F.lit(2)), F.substring(low, i, F.lit(3))))
+    n = names.select(F.floor(F.col("node_id") / block).alias("block"), F.explode(F.array_distinct(F.flatten(short))).alias("gram"))
+    which, bit = _bits(F.col("gram"))
+    return n.groupBy("block").agg(*(F.coalesce(F.bit_or(F.when(which == k, bit)), F.lit(0).cast("long")).alias(f"b{k}") for k in range(LONGS)))
+
+
+def blocks_with(signatures: DataFrame, literal: str) -> DataFrame:
+    """Blocks that may have a name with the literal, by one comparison of bits a long."""
+    low = literal.lower()
+    parts = {low[i : i + k] for k in (1, 2, 3) for i in range(len(low) - k + 1)}
+    keep = F.lit(True)
+    for gram in sorted(parts):
+        which, bit = _bits(F.lit(gram))
+        of = F.get(F.array(*(F.col(f"b{k}") for k in range(LONGS))), which)
+        keep = keep & (of.bitwiseAND(bit) != 0)
+    return signatures.filter(keep).select("block")
+
+
+def names_with(names: DataFrame, signatures: DataFrame, literal: str, block: int = NAMES) -> DataFrame:
+    """Names with a literal: only those of the blocks left are compared."""
+    may = blocks_with(signatures, literal).withColumnRenamed("block", "_block")
+    return names.join(may, F.floor(F.col("node_id") / block) == F.col("_block"), "left_semi").filter(F.contains(F.lower("name"), F.lit(literal.lower())))
 
 
 # Extensions and names by how worthwhile they are to index in the background.

@@ -66,8 +66,18 @@ class Pieces:
         return out.drop("_p", "_later", "_before", *(f"_g{k}" for k in range(len(self.group))), *(f"_{x}_{n}" for n in values for x in "cl"))
 
 
-def numbered(rows: DataFrame, order: list[Column], keep: Callable[[DataFrame], DataFrame], name: str = "rank") -> DataFrame:
-    """Rows with their number from 1 in a total order over all of them."""
+#: Rows that one task may sort.
+ONE_TASK = 50_000
+
+
+def numbered(rows: DataFrame, order: list[Column], keep: Callable[[DataFrame], DataFrame], name: str = "rank", one_task: int = ONE_TASK) -> DataFrame:
+    """Rows with their number from 1 in a total order over all of them.
+
+    The rows are written, so that what finds them runs once. More than ``one_task`` of them are dealt by ranges of the order; the numbers are the same.
+    """
+    rows = keep(rows)
+    if rows.count() <= one_task:  # from the files' footers
+        return rows.withColumn(name, F.row_number().over(Window.orderBy(*order)))
     dealt = keep(rows.repartitionByRange(*order).withColumn(PIECE, F.spark_partition_id()))
     counts = dict(dealt.groupBy(PIECE).count().collect())  # a number a piece
     start, starts = 0, []

@@ -7,10 +7,13 @@ a signal without a column is missing.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable, Mapping
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from sparklode.functions.text import ip_key
+from sparklode.functions.text import ip_key, ip_key_of
 
 
 def compared(value: Column, op: Column, against: Column) -> Column:
@@ -34,40 +37,78 @@ SIGNALS = dict.fromkeys(("idle_s", "cpu", "battery"), "double") | {"ssid": "stri
 SIGNALS |= dict.fromkeys(("ips", "apps", "frontmost", "dns", "volumes", "vpns", "bluetooth", "usb"), "array<string>")
 
 
-def met(c: Column) -> Column:
-    """Whether a snapshot meets a criterion (a struct); NULL where its signal is missing."""
-    kind, number, op, texts = c["kind"], c["number"], c["op"], c["texts"]
+def tests(c: Mapping[str, Column] | Column, ends: tuple[Column, Column] | None = None) -> dict[str, Callable[[], Column]]:
+    """By kind, whether a snapshot meets a criterion (a struct, or its settings by name); NULL where its signal is missing. ``ends``: keys of an address range, if known."""
+    number, op, texts = c["number"], c["op"], c["texts"]
     among = lambda have: F.arrays_overlap(F.coalesce(have, F.array().cast("array<string>")), texts)
-    battery = F.when(F.col("battery").isNotNull(), compared(F.col("battery"), op, number))
-    both = F.when(c["text"] == "and", battery & F.col("adapter")).otherwise(battery | F.col("adapter"))
-    screens = F.col("displays") - F.when(c["flag"], F.col("builtin_displays")).otherwise(0)
-    low, high = ip_key(F.get(texts, 0)), ip_key(F.get(texts, 1))
-    return (
-        F.when(kind == "idle", compared(F.col("idle_s") / 60, op, number))
-        .when(kind == "wifi", F.when(F.col("ssid").isNotNull(), F.array_contains(texts, F.col("ssid"))))
-        .when(kind == "cpu", compared(F.col("cpu"), op, number))
-        .when(kind == "displays", compared(screens, op, number))
-        .when(kind == "battery", F.when(c["text"].isNull(), battery).otherwise(both))
-        .when(kind == "power", F.col("adapter") == c["flag"])
-        .when(kind == "audio", F.when(F.col("audio").isNotNull(), F.array_contains(texts, F.col("audio"))))
-        .when(kind == "app", among(F.col("apps")))
-        .when(kind == "frontmost", among(F.col("frontmost")))
-        .when(kind == "dns", among(F.col("dns")))
-        .when(kind == "volume", among(F.col("volumes")))
-        .when(kind == "vpn", among(F.col("vpns")))
-        .when(kind == "bluetooth", among(F.col("bluetooth")))
-        .when(kind == "usb", among(F.col("usb")))
-        .when(kind == "ip", F.exists(F.coalesce("ips", F.array().cast("array<string>")), lambda a: ip_key(a).between(low, high)))
-        .when(kind == "schedule", schedule(F.col("ts"), texts, number, c["number2"]))
-        .when(kind == "date", F.date_format("ts", "yyyy-MM-dd") == c["text"])
-    )
+    one_of = lambda name: F.when(F.col(name).isNotNull(), F.array_contains(texts, F.col(name)))
+
+    def battery() -> Column:
+        level = F.when(F.col("battery").isNotNull(), compared(F.col("battery"), op, number))
+        both = F.when(c["text"] == "and", level & F.col("adapter")).otherwise(level | F.col("adapter"))
+        return F.when(c["text"].isNull(), level).otherwise(both)
+
+    def between() -> Column:
+        low, high = ends or (ip_key(F.get(texts, 0)), ip_key(F.get(texts, 1)))
+        return F.exists(F.transform(F.coalesce("ips", F.array().cast("array<string>")), ip_key), lambda k: k.between(low, high))
+
+    listed = {"app": "apps", "frontmost": "frontmost", "dns": "dns", "volume": "volumes", "vpn": "vpns", "bluetooth": "bluetooth", "usb": "usb"}
+    return {
+        "idle": lambda: compared(F.col("idle_s") / 60, op, number),
+        "wifi": lambda: one_of("ssid"),
+        "cpu": lambda: compared(F.col("cpu"), op, number),
+        "displays": lambda: compared(F.col("displays") - F.when(c["flag"], F.col("builtin_displays")).otherwise(0), op, number),
+        "battery": battery,
+        "power": lambda: F.col("adapter") == c["flag"],
+        "audio": lambda: one_of("audio"),
+        **{k: lambda name=name: among(F.col(name)) for k, name in listed.items()},
+        "ip": between,
+        "schedule": lambda: schedule(F.col("ts"), texts, number, c["number2"]),
+        "date": lambda: F.date_format("ts", "yyyy-MM-dd") == c["text"],
+    }
 
 
-def evaluated(snapshots: DataFrame, criteria: DataFrame, key: str = "ts") -> DataFrame:
+def met(c: Column) -> Column:
+    """Whether a snapshot meets a criterion whose kind is a value of its row."""
+    out = F.lit(None).cast("boolean")
+    for kind, test in tests(c).items():
+        out = F.when(c["kind"] == kind, test()).otherwise(out)
+    return out
+
+
+#: Criteria that are compiled to columns; a longer list of settings is looked through by each row.
+COMPILED = 200
+SETTINGS = {"op": "string", "number": "double", "number2": "double", "text": "string", "flag": "boolean"}
+
+
+def _compiled(rows: DataFrame, criteria: list[Row], key: str) -> DataFrame:
+    """Each rule as columns: the one test that each criterion is, with its settings as literals."""
+    rules: dict[tuple[int, str], dict[str, list[Column]]] = {}
+    for c in criteria:
+        settings = {k: F.lit(c[k]).cast(kind) for k, kind in SETTINGS.items()} | {"texts": F.array(*map(F.lit, c["texts"] or [])).cast("array<string>")}
+        ends = tuple(F.lit(ip_key_of(t)).cast("string") for t in [*(c["texts"] or []), None, None][:2])
+        test = tests(settings, ends).get(c["kind"], lambda: F.lit(None).cast("boolean"))
+        rules.setdefault((c["ord"], c["trigger_id"]), {}).setdefault(c["kind"], []).append(test())
+    out = []
+    for (place, name), kinds in sorted(rules.items()):
+        listed = lambda odd, kinds=kinds: F.concat_ws(",", *(F.when(reduce(Column.__or__, map(odd, kinds[k])), k) for k in sorted(kinds)))
+        every = reduce(Column.__and__, (F.coalesce(m, F.lit(False)) for ms in kinds.values() for m in ms))
+        out.append(F.struct(F.lit(name).alias("trigger_id"), F.lit(place).alias("ord"), every.alias("matched"), listed(lambda m: F.coalesce(~m, F.lit(False))).alias("failed"), listed(lambda m: m.isNull()).alias("unavailable")))
+    if not out:
+        return rows.select(key, F.lit("").alias("trigger_id"), F.lit(0).alias("ord"), F.lit(False).alias("matched"), F.lit("").alias("failed"), F.lit("").alias("unavailable")).limit(0)
+    return rows.select(key, F.explode(F.array(*out)).alias("_r")).select(key, "_r.*")
+
+
+def evaluated(snapshots: DataFrame, criteria: DataFrame, key: str = "ts", compiled: int = COMPILED) -> DataFrame:
     """(key, trigger_id, ord, matched, failed, unavailable): every snapshot against every enabled rule; ``key`` names the snapshot.
 
-    The rules, a list of settings, are one row of arrays that goes to every task: no exchange of snapshots.
+    The rules are a list of settings: a short one is compiled into the projection, a longer one is one row of arrays that goes to every
+    task. Either way snapshots aren't exchanged, and the results are the same.
     """
+    some = criteria.filter("enabled").limit(compiled + 1).collect()
+    if len(some) <= compiled:
+        known = snapshots.withColumns({c: F.lit(None).cast(kind) for c, kind in SIGNALS.items() if c not in snapshots.columns})
+        return _compiled(known, some, key)
     one = criteria.filter("enabled").groupBy("trigger_id", "ord").agg(F.collect_list(F.struct("kind", "op", "number", "number2", "text", "texts", "flag")).alias("criteria"))
     rules = one.agg(F.array_sort(F.collect_list(F.struct("ord", "trigger_id", "criteria"))).alias("_rules"))
     rows = snapshots.withColumns({c: F.lit(None).cast(kind) for c, kind in SIGNALS.items() if c not in snapshots.columns}).crossJoin(F.broadcast(rules))

@@ -6,12 +6,17 @@ One query is one plan: filters reach the scan, ranking is a top-k where a limit
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from sparklode.functions.paths import CONTENT_FOLDERS, depth, extension
+from sparklode.operators.ranks import numbered
 from sparklode.plans import query as q
 from sparklode.plans.compile import Options, compiled, previews, score, visible
+from sparklode.sources.shared import kept
 
 #: Rows above which only the head of a broad search is put in order of relevance.
 BROAD, HEAD = 100_000, 2_000
@@ -71,10 +76,10 @@ def ranked(rows: DataFrame, usage: DataFrame | None = None, by_score: bool = Tru
         rows = rows.withColumn("open_count", F.lit(None).cast("long")).withColumn("last_opened", F.lit(None).cast("timestamp"))
     last = [depth(F.col("path")), F.col("node_id")] if by_score else [depth(F.col("path")), F.col("path"), F.col("node_id")]
     order = ([F.col("score")] if by_score else []) + [F.col("open_count").desc_nulls_last(), F.col("last_opened").desc_nulls_last(), *last]
-    if limit is not None:
-        rows = rows.orderBy(*order).limit(limit + offset)
-    # After a limit this window is over a page; without one the caller has asked for a total order of all rows.
-    rows = rows.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+    if limit is None:
+        rows = numbered(rows, order, kept)
+    else:  # a window over a page
+        rows = rows.orderBy(*order).limit(limit + offset).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
     return rows.filter(F.col("rank") > offset) if offset else rows
 
 
@@ -97,13 +102,55 @@ def search(files: DataFrame, text: str, o: Options | None = None, usage: DataFra
 
 def broad_head(rows: DataFrame, head: int = HEAD, broad: int = BROAD, usage: DataFrame | None = None) -> DataFrame:
     """For broad searches: the best ``head`` rows by relevance, the rest in order of node id; up to ``broad`` rows all by relevance."""
-    total = rows.agg(F.count("*").alias("_total"))
-    best = ranked(rows, usage, True, head).select("node_id", F.col("rank").alias("_best"))
-    out = rows.join(best, "node_id", "left").crossJoin(F.broadcast(total))  # one row
-    small = ranked(rows, usage).select("node_id", F.col("rank").alias("_full"))
-    out = out.join(small, "node_id")
-    tail = F.row_number().over(Window.orderBy(F.col("_best").asc_nulls_last(), "node_id"))
-    return out.withColumn("rank", F.when(F.col("_total") > broad, tail).otherwise(F.col("_full"))).drop("_best", "_full", "_total")
+    rows = kept(rows)
+    if rows.count() <= broad:
+        return ranked(rows, usage)
+    best = kept(ranked(rows, usage, True, head))
+    rest = rows.join(best.select("node_id"), "node_id", "left_anti")
+    tail = numbered(rest, [F.col("node_id")], kept).withColumn("rank", F.col("rank") + best.count())
+    return best.unionByName(tail, allowMissingColumns=True)
+
+
+def refilled(rows: DataFrame, order: list[str], there: Callable[[DataFrame], DataFrame], limit: int, after: Row | None = None) -> tuple[DataFrame, Row | None]:
+    """(a page of ``limit`` rows that are still there, the place it ends at, for the page after it).
+
+    ``order``: ascending columns without NULL, the last unique. ``there`` gives those of a few rows that are still there. Rows are taken
+    in portions of a page from the last place on, until the page is full or the rows end; nothing is looked at beyond that.
+    """
+    page, n = None, 0
+    while True:
+        portion = kept((rows if after is None else rows.filter(_beyond(order, after))).orderBy(*order).limit(limit))
+        taken = portion.count()
+        alive = kept(there(portion).orderBy(*order).limit(limit - n))
+        n += alive.count()
+        page = alive if page is None else page.unionByName(alive)
+        last = alive if n == limit else portion
+        after = last.select(*order).orderBy(*(F.desc(c) for c in order)).head() or after
+        if n == limit or taken < limit:
+            return page, after
+
+
+def _beyond(order: list[str], after: Row) -> Column:
+    out = F.lit(False)
+    for c in reversed(order):
+        out = (F.col(c) > F.lit(after[c])) | (F.col(c) == F.lit(after[c])) & out
+    return out
+
+
+#: Columns that results may be sorted by.
+SORTS = {"name": F.lower, "location": lambda c: F.lower(c), "size": lambda c: c, "modified": lambda c: c, "created": lambda c: c}
+
+
+def sorted_by(rows: DataFrame, by: str, descending: bool = False) -> DataFrame:
+    """Results with ``position`` in the order of a column a user chose: name or location without regard to case, size, modified or created; then by node id."""
+    key = SORTS[by](F.col({"location": "path"}.get(by, by)))
+    return numbered(rows, [key.desc_nulls_last() if descending else key.asc_nulls_last(), F.col("node_id")], kept, "position")
+
+
+def line_of_all(text: Column, needles: list[str]) -> Column:
+    """The first line that holds all of several literals without regard to case, trimmed; NULL if none does."""
+    every = lambda line: reduce(Column.__and__, (F.contains(F.lower(line), F.lit(n.lower())) for n in needles), F.lit(True))
+    return F.trim(F.get(F.filter(F.split(text, "\r\n|\n|\r"), every), 0))
 
 
 def score_histogram(rows: DataFrame) -> DataFrame:

@@ -83,18 +83,18 @@ def snapshot(base: DataFrame, subtrees: DataFrame, subtree_rows: DataFrame, exac
     holes = subtrees.select("root", F.explode("preserved").alias("hole"))
 
     def owners(rows: DataFrame) -> DataFrame:
-        """(path, owner): the nearest root above each path that doesn't preserve it."""
-        at = covered_by(rows.select("path").distinct(), roots)
-        kept = covered_by(rows.select("path").distinct(), holes.select(F.col("hole").alias("path")).distinct()).withColumnRenamed("root", "hole").join(holes, "hole").select("path", "root")
+        """(path, owner): the nearest root above each path that doesn't preserve it. Only paths below a root are joined to holes."""
+        at = covered_by(rows.select("path"), roots).distinct()
+        kept = covered_by(at.select("path", F.col("root").alias("_at")), holes.select(F.col("hole").alias("path")).distinct()).withColumnRenamed("root", "hole")
+        kept = kept.join(holes.withColumnRenamed("root", "_at"), ["hole", "_at"]).select("path", F.col("_at").alias("root"))
         return at.join(kept, ["path", "root"], "left_anti").groupBy("path").agg(F.max_by("root", F.octet_length("root")).alias("owner"))
 
     done = exact.filter("is_complete")
     old = base.join(owners(base), "path", "left_anti").join(done.select("path"), "path", "left_anti").select(columns)
     mine = subtree_rows.join(owners(subtree_rows), "path").filter("root = owner").join(done.select("path"), "path", "left_anti").select(columns)
     new = done.filter("present").select(columns)
-    first = F.row_number().over(Window.partitionBy("path").orderBy("_from", "node_id"))
-    every = old.withColumn("_from", F.lit(2)).unionByName(mine.withColumn("_from", F.lit(1))).unionByName(new.withColumn("_from", F.lit(0)))
-    return every.withColumn("_n", first).filter("_n = 1").select(columns)
+    # These three have no path in common. What was found may name a path twice; a base has each path once.
+    return old.unionByName(first_by_path(mine)).unionByName(first_by_path(new)).select(columns)
 
 
 def invalidated(rows: DataFrame, root: str) -> DataFrame:

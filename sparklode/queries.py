@@ -275,7 +275,7 @@ def index_diagnostics(spark, sf_dir):
 @query("SELECT doc_id FROM documents WHERE contains(lower(text), 'worthless')")
 def trigram_candidates(spark, sf_dir):
     d = catalog.table(spark, sf_dir, "documents").select("doc_id", "text")
-    return content_index.found(d, content_index.postings(d), "worthless").select("doc_id")
+    return content_index.found(d, None, "worthless").select("doc_id")
 
 
 _META = f"{FILES}, meta AS (SELECT path, size + CASE WHEN node_id % 9 = 0 THEN 1 ELSE 0 END AS size, modified, created, 1 AS extractor, (node_id % 3)::INT AS state, node_id % 200 AS content_id FROM files WHERE node_id % 4 <> 0)"

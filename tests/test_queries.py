@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from sparklode.queries_live import QUERIES, SQL
+from sparklode.queries_more import QUERIES, SQL
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
