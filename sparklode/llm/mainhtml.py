@@ -7,12 +7,16 @@ maximum flow parts the graph at least cost; what stays with the source is the ma
 
 Blocks whose own costs outweigh all their edges are labelled first (that is exact, whatever the others get), which leaves small graphs.
 
-The classifier is fitted on a small labelled table made by rule (:func:`labelled_table`).
+A mark is what an element's name, class, id or role says it is: a menu, a footer, an advert, an article. It holds for the blocks inside
+until an article or main element begins, and it holds the less the more of the page's running text lies in the element: what holds
+nearly all of it is no box beside the text, whatever it is called. Names of boxes that stand anywhere (a hero, a banner, tags) give way
+sooner. An element that is named as both content and box is content; a header inside an article holds its title.
+
+The classifier is fitted on blocks of whole pages that are made by rule (:func:`made_page`) and cut up as all pages are.
 
 Defined results: null, empty and tag-only pages give an empty text; a page cut off inside a tag, a comment or a script ends
 there; unclosed and stray tags are closed or dropped; pages without any block of content give an empty text; repeated rows give equal
-rows; where nothing is left, marks of elements around half of the page's letters or more are set aside and it is labelled anew; an
-empty table gives an empty one; only the id, the address and the markup are read.
+rows; an empty table gives an empty one; only the id, the address and the markup are read.
 """
 
 from __future__ import annotations
@@ -23,6 +27,7 @@ import re
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -48,10 +53,12 @@ CLOSES |= dict.fromkeys("address article aside blockquote div dl fieldset footer
 TAG_MARK = {"svg": "hidden", "math": "hidden", "object": "hidden", "select": "form", "head": "hidden", "nav": "menu", "menu": "menu", "header": "header", "footer": "footer", "aside": "aside", "form": "form", "button": "form", "label": "form", "fieldset": "form", "dialog": "notice", "article": "article", "main": "main"}
 MARKS = {
     "menu": "nav navbar navigation menu breadcrumb breadcrumbs pager pagination toc tabs skip",
-    "header": "header masthead topbar logo branding hero banner",
+    "header": "header masthead topbar logo branding",
     "footer": "footer copyright colophon legal contentinfo bottom",
-    "aside": "sidebar aside widget rail related recommended recommendations share sharing social newsletter subscribe trending popular complementary tags promo",
-    "notice": "cookie cookies consent gdpr notice notices alert popup modal overlay paywall disclaimer warning",
+    "aside": "sidebar aside widget rail related recommended recommendations newsletter subscribe trending popular complementary",
+    "box": "hero banner tags promo social share sharing",
+    "consent": "cookie cookies consent gdpr",
+    "notice": "notice notices alert popup modal overlay paywall disclaimer warning",
     "form": "form search login signup signin register",
     "ad": "ad ads adv advert adverts advertisement advertising adsense adsbygoogle sponsor sponsored sponsors doubleclick dfp",
     "comment": "comment comments disqus reply replies discussion respond reviews commentlist",
@@ -59,12 +66,15 @@ MARKS = {
     "article": "article articlebody",
 }
 WORD_MARK = {w: k for k, ws in MARKS.items() for w in ws.split()}
-NAMES = ("article", "main", "menu", "header", "footer", "aside", "notice", "form", "ad", "comment", "hidden", "linked", "short", "long", "sentence", "heading", "item")
+NAMES = ("article", "main", "menu", "header", "footer", "aside", "box", "consent", "notice", "form", "ad", "comment", "hidden", "linked", "short", "long", "sentence", "heading", "item")
 FOLLOW, SIBLING = 0.6, 0.4
-#: Steps in the tree from which elements are equally far apart.
-FAR = 64
-#: Marks that a class, an id or a form may give to an element around the whole page, where they say little.
-SOFT = frozenset(("menu", "header", "footer", "aside", "form", "comment"))
+#: Marks that hold whatever lies in the element; the others by its share of the running text: full up to the first, none from the second.
+FIRM = frozenset(("hidden", "ad", "consent"))
+SHARE = {"box": (0.2, 0.5)}
+USUAL = (0.8, 0.98)
+CONTENT = frozenset(("article", "main"))
+#: Elements that are text themselves: inside an article their classes say how they look.
+TEXTUAL = frozenset("blockquote p pre figure figcaption h1 h2 h3 h4 h5 h6".split())
 
 
 @dataclass
@@ -73,14 +83,15 @@ class Element:
     parent: Element | None
     depth: int
     own: frozenset[str]
-    marks: frozenset[str]  # with those of the elements around it
     last: int = -1  # number of the last block right below
-    letters: int = 0
+    prose: int = 0  # letters of running text inside
+    marks: dict[str, float] = field(default_factory=dict)  # with those of the elements around it
 
 
 @dataclass
 class Block:
     owner: Element
+    low: int  # depth of the deepest element around this block and the one before
     text: list[str] = field(default_factory=list)
     linked: int = 0
 
@@ -93,24 +104,23 @@ def _marks(name: str, attributes: str) -> set[str]:
             if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
                 out.add("hidden")
             elif key in ("class", "id", "role"):
-                for w in re.split(r"[^a-z0-9]+", value):
-                    if w in WORD_MARK and not (name in ("article", "main") and WORD_MARK[w] not in ("ad", "comment")):
-                        out.add(WORD_MARK[w])
-    return out
+                out |= {WORD_MARK[w] for w in re.split(r"[^a-z0-9]+", value) if w in WORD_MARK}
+    # Named as content as well: what else it is called is how it looks. Comments and adverts are often named after what they are on.
+    return out & (CONTENT | FIRM | {"comment"}) if out & CONTENT else out
 
 
 def blocks(page: str) -> tuple[list[Block], list[Element]]:
     """The text blocks of a page, in order, and its elements, each after the one around it."""
-    root = Element("", None, 0, frozenset(), frozenset())
-    here, out, block, link = root, [], None, 0
+    root = Element("", None, 0, frozenset())
+    here, out, block, link, low = root, [], None, 0, 0
     every = [root]
 
     def text(s: str) -> None:
-        nonlocal block
+        nonlocal block, low
         if block is None:
             if not s or s.isspace():
                 return
-            block = Block(here)
+            block, low = Block(here, min(low, here.depth)), here.depth
             out.append(block)
         block.text.append(s)
         if link:
@@ -139,6 +149,7 @@ def blocks(page: str) -> tuple[list[Block], list[Element]]:
                     here = here.parent
                 link -= here.name == "a"
                 here = here.parent
+                low = min(low, here.depth)
             continue
         if here.name == "head" and name not in HEAD or here.name in ("select", "optgroup", "option") and name in BLOCK and name not in ("option", "hr"):
             # A head, or a list to choose from, that was not closed.
@@ -154,6 +165,7 @@ def blocks(page: str) -> tuple[list[Block], list[Element]]:
                     link -= here.name == "a"
                     here = here.parent
                 here = here.parent
+        low = min(low, here.depth)
         if name in VOID or (m[4] or "").endswith("/"):
             continue
         own = _marks(name, m[4]) - ({"header"} if name == "h1" else set())
@@ -161,7 +173,7 @@ def blocks(page: str) -> tuple[list[Block], list[Element]]:
             own.add("heading")
         elif name == "li":
             own.add("item")
-        here = Element(name, here, here.depth + 1, frozenset(own), here.marks | own)
+        here = Element(name, here, here.depth + 1, frozenset(own))
         every.append(here)
         link += name == "a"
     if at < len(page):
@@ -169,71 +181,137 @@ def blocks(page: str) -> tuple[list[Block], list[Element]]:
     return out, every
 
 
-def set_aside(found: list[Block], every: list[Element]) -> bool:
-    """Take the marks in SOFT from the elements that hold half of the page's letters or more; whether there were any."""
-    total = 0
-    for b in found:
-        n = sum(map(len, b.text))
-        b.owner.letters += n
-        total += n
-    some = False
+def clean(b: Block) -> str:
+    return " ".join(html.unescape("".join(b.text)).split())
+
+
+def running(b: Block, text: str) -> bool:
+    """Whether a block is running text: long or a sentence, and not mostly links."""
+    return b.linked * 2 <= sum(map(len, b.text)) and (len(text) > 120 or len(text) >= 8 and text.endswith(SENTENCE))
+
+
+def weigh(found: list[Block], texts: list[str], every: list[Element]) -> None:
+    """Marks of every element: its own by their share, over those around it."""
+    for b, t in zip(found, texts, strict=True):
+        if running(b, t):
+            b.owner.prose += len(t)
     for e in reversed(every[1:]):
-        e.parent.letters += e.letters
+        e.parent.prose += e.prose
+    total = max(1, every[0].prose)
     for e in every[1:]:
-        if 2 * e.letters >= total and e.own & SOFT:
-            e.own, some = e.own - SOFT, True
-        e.marks = e.parent.marks | e.own
-    return some
+        inside = any(e.parent.marks.get(k) for k in CONTENT)
+        if e.own & CONTENT:
+            e.marks = {k: v for k, v in e.parent.marks.items() if k in CONTENT or k in FIRM or k == "comment"}
+        else:
+            e.marks = e.parent.marks
+        gone = {"header"} if inside and e.name == "header" else set()
+        if inside and e.name in TEXTUAL:
+            gone = set(MARKS) - CONTENT - FIRM - {"comment"}
+        own = {k: _strength(k, e.prose / total) for k in e.own - gone}
+        if own:
+            e.marks = e.marks | {k: max(v, e.marks.get(k, 0.0)) for k, v in own.items()}
 
 
-def clean(b: Block) -> str:
-    return " ".join(html.unescape("".join(b.text)).split())
+def _strength(mark: str, share: float) -> float:
+    if mark in CONTENT or mark in FIRM or mark in ("heading", "item"):
+        return 1.0
+    full, none = SHARE.get(mark, USUAL)
+    return min(1.0, max(0.0, (none - share) / (none - full)))
+
+
+SENTENCE = (".", "!", "?", "。", ":", "…")
 
 
-def marks(b: Block, text: str) -> list[str]:
-    out = list(b.owner.marks)
+def marks(b: Block, text: str) -> dict[str, float]:
+    out = dict(b.owner.marks)
     if b.linked * 2 > sum(map(len, b.text)):
-        out.append("linked")
+        out["linked"] = 1.0
     if len(text) < 25:
-        out.append("short")
+        out["short"] = 1.0
     if len(text) > 120:
-        out.append("long")
-    if text.endswith((".", "!", "?", "。", ":", "…")):
-        out.append("sentence")
+        out["long"] = 1.0
+    if text.endswith(SENTENCE):
+        out["sentence"] = 1.0
     return out
 
 
-def labelled_table(rows: int = 3000, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
-    """(marks, is content): blocks as pages have them, by rule from ``seed``; what marks boilerplate does so inside an article as well."""
+VOCABULARY = [a + b + c for a in ("", "ta", "mo", "ri", "sen") for b in ("ka", "lo", "ne", "bu", "dri") for c in ("", "r", "sti", "en")]
+
+
+def made_page(r: np.random.Generator) -> tuple[str, list[bool]]:
+    """(markup, is content of each block): a page made by rule, its article in one of many kinds of elements among boxes of all kinds."""
+    pick = lambda *of: of[int(r.integers(len(of)))]
+    words = lambda low, high: " ".join(VOCABULARY[k] for k in r.integers(0, len(VOCABULARY), int(r.integers(low, high))))
+    label: list[bool] = []
+
+    def block(text: str, content: bool, tag: str = "p") -> str:
+        label.append(content)
+        return f"<{tag}>{text}</{tag}>"
+
+    def prose(n: int, content: bool) -> str:
+        bare = 0.25 if content else 0.0  # verses, tables and lists of an article end as they like
+        return "".join(block(words(*pick((4, 12), (12, 60), (40, 120))) + ("" if r.random() < bare else pick(".", ".", "!", "?")), content) for _ in range(n))
+
+    def links(n: int) -> str:
+        return "<ul>" + "".join(block(f"<a href=x>{words(1, 4)}</a>", False, "li") for _ in range(n)) + "</ul>"
+
+    def box() -> str:
+        kind = pick(*(k for k in MARKS if k not in CONTENT))
+        name = pick(*MARKS[kind].split())
+        opened = {"menu": "nav", "header": "header", "footer": "footer", "aside": "aside", "form": "form"}
+        start, end = (f"<{opened[kind]}>", f"</{opened[kind]}>") if kind in opened and r.random() < 0.4 else (f'<div class="{pick("", "x ", "site-")}{name}">', "</div>")
+        inside = pick("links", "line", "prose") if kind in ("menu", "header", "footer", "box", "form") else pick("line", "prose", "prose", "links")
+        if r.random() < 0.1:
+            start = f"<div {pick('hidden', 'style=display:none', 'aria-hidden=true')}>"
+            end = "</div>"
+        head = block(words(1, 4), False, pick("h1", "h2", "h3")) if r.random() < 0.4 else ""
+        body = links(int(r.integers(2, 9))) if inside == "links" else block(words(2, 9), False) if inside == "line" else prose(int(r.integers(1, 6 if kind == "comment" else 3)), False)
+        return start + head + body + end
+
+    def boxes(low: int, high: int) -> str:
+        return "".join(box() for _ in range(int(r.integers(low, high))))
+
+    def article() -> str:
+        head = block(words(3, 10), True, "h1")
+        out = f"<header>{head}</header>" if r.random() < 0.2 else head
+        for _ in range(int(r.integers(1, 6))):
+            out += prose(int(r.integers(1, 4)), True)
+            what = r.random()
+            if what < 0.15:
+                out += block(words(2, 6), True, "h2")
+            elif what < 0.3:
+                out += "<ul>" + "".join(block(words(2, 12), True, "li") for _ in range(int(r.integers(2, 5)))) + "</ul>"
+            elif what < 0.4:
+                out += f'<blockquote class="{pick("quote", "social", "share")}">{words(8, 20)}.</blockquote>'
+                label.append(True)
+            elif what < 0.6:
+                out += box()
+        return out
+
+    page = boxes(1, 4)
+    start, end = pick(
+        ("<article>", "</article>"), ("<main>", "</main>"), ("<main><article>", "</article></main>"), ('<div class="content">', "</div>"), ('<div id="post">', "</div>"), ('<section class="hero">', "</section>"),
+        ('<div class="banner-post content">', "</div>"), ('<article><div class="tags story">', "</div></article>"), ('<main><section class="hero">', "</section></main>"), ("<div>", "</div>"), ("<form>", "</form>"), ("", ""),
+    )
+    page += start + article() + end + boxes(1, 4)
+    return f"<html><head><title>t</title></head><body>{page}</body></html>", label
+
+
+def labelled_table(pages: int = 300, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
+    """(marks, is content) of the blocks of made pages."""
     r = np.random.default_rng(seed)
-    x, y = np.zeros((rows, len(NAMES))), np.zeros(rows)
-    put = lambda i, name, p: x.__setitem__((i, NAMES.index(name)), float(r.random() < p))
-    bad = NAMES[2:11]
-    for i in range(rows):
-        content = i % 2 == 0
-        y[i] = content
-        put(i, "article", 0.8 if content else 0.08)
-        put(i, "main", 0.5 if content else 0.1)
-        put(i, "long", 0.5 if content else 0.1)
-        put(i, "sentence", 0.85 if content else 0.15)
-        put(i, "short", 0.25 if content else 0.4)
-        put(i, "linked", 0.02 if content else 0.4)
-        put(i, "heading", 0.1 if content else 0.05)
-        put(i, "item", 0.1 if content else 0.3)
-        if not content:
-            which = (i // 2) % (len(bad) + 1)
-            if which < len(bad):
-                x[i, NAMES.index(bad[which])] = 1
-                put(i, "article", 0.6)
-                put(i, "main", 0.6)
-                put(i, "sentence", 0.6)
-            else:
-                x[i, :2] = 0
-        elif not (x[i, 0] or x[i, 1]):
-            x[i, NAMES.index("sentence")], x[i, NAMES.index("short")] = 1, 0
-    return x, y
-
-
+    x, y = [], []
+    for _ in range(pages):
+        page, label = made_page(r)
+        found, texts, _ = seen(page)
+        for b, t in zip(found, texts, strict=True):
+            m = marks(b, t)
+            x.append([m.get(n, 0.0) for n in NAMES])
+        y += label
+    return np.array(x), np.array(y, dtype=float)
+
+
+@lru_cache
 def fitted(steps: int = 600, rate: float = 0.1, ridge: float = 1e-4) -> np.ndarray:
     """Weights of NAMES and the bias."""
     x, y = labelled_table()
@@ -247,22 +325,11 @@ def fitted(steps: int = 600, rate: float = 0.1, ridge: float = 1e-4) -> np.ndarr
     return w
 
 
-def distance(a: Element, b: Element) -> int:
-    n = 0
-    while a is not b and n < FAR:
-        if a.depth >= b.depth:
-            a = a.parent
-        else:
-            b = b.parent
-        n += 1
-    return n
-
-
 def edges(found: list[Block]) -> dict[tuple[int, int], float]:
     """Smoothness: neighbours in the page, and neighbours under one parent or one of its parents."""
     out: dict[tuple[int, int], float] = {}
     for i in range(1, len(found)):
-        out[i - 1, i] = FOLLOW / (1 + distance(found[i - 1].owner, found[i].owner))
+        out[i - 1, i] = FOLLOW / (1 + found[i - 1].owner.depth + found[i].owner.depth - 2 * found[i].low)  # steps in the tree
     for b in found:
         e = b.owner.parent
         for _ in range(2):
@@ -339,26 +406,29 @@ def _max_flow(nodes: list[int], gain: list[float], near: list[dict[int, float]])
             left[j][i] = left[j].get(i, 0.0) + least
 
 
+def seen(page: str) -> tuple[list[Block], list[str], list[Element]]:
+    """(blocks with a text, their texts, elements), with marks weighed."""
+    blocks_of, elements = blocks(page)
+    found, texts, low = [], [], math.inf
+    for b in blocks_of:
+        low = min(low, b.low)
+        if t := clean(b):
+            b.low = low
+            found.append(b)
+            texts.append(t)
+            low = math.inf
+    weigh(found, texts, elements)
+    return found, texts, elements
+
+
 def main_text(page: str | None, weights: np.ndarray) -> str:
     if not page:
         return ""
     index = {n: float(w) for n, w in zip(NAMES, weights, strict=False)}
     bias = float(weights[-1])
-    every, elements = blocks(page)
-    found, texts = [], []
-    for b in every:
-        t = clean(b)
-        if t:
-            found.append(b)
-            texts.append(t)
-
-    def kept() -> str:
-        gain = [max(-12.0, min(12.0, bias + sum(index[m] for m in marks(b, t)))) for b, t in zip(found, texts, strict=True)]
-        return " ".join(t for t, k in zip(texts, minimum_cut(gain, edges(found)), strict=True) if k)
-
-    out = kept()
-    # A mark around all of the page may have outweighed it.
-    return out if out or not found or not set_aside(found, elements) else kept()
+    found, texts, _ = seen(page)
+    gain = [max(-12.0, min(12.0, bias + sum(index[m] * v for m, v in marks(b, t).items()))) for b, t in zip(found, texts, strict=True)]
+    return " ".join(t for t, k in zip(texts, minimum_cut(gain, edges(found)), strict=True) if k)
 
 
 def extracted(pages: DataFrame, weights: np.ndarray | None = None) -> DataFrame:

@@ -56,6 +56,48 @@ def test_main_text_of_odd_pages(page):
     assert mainhtml.main_text(page.format(ARTICLE), w).removeprefix("One ").removeprefix("Two ") == TEXT
 
 
+TITLE, BEFORE, THANKS = "A flood in the town", "One more thing was said before all of that.", "<p>Great article, I liked it very much indeed, thanks to you all for it.</p>" * 5
+
+
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        ('<h1>A flood in the town</h1><section class="hero">{}</section>', f"{TITLE} {TEXT}"),
+        ('<div class="banner-post content">{}</div><p>Ok then.</p>', f"{TEXT} Ok then."),
+        ('<article><div class="tags story">{}</div></article>', TEXT),
+        ('<main><section class="hero">{}</section></main>', TEXT),
+        ('<div id="content"><blockquote class="social">{}</blockquote></div>', TEXT),
+        ("<article><header><h1>A flood in the town</h1></header>{}</article>", f"{TITLE} {TEXT}"),
+        (f'<article><p>{BEFORE}</p><div class="tags story">{{}}</div></article>', f"{BEFORE} {TEXT}"),
+        (f'<article><p>{BEFORE}</p><section class="hero">{{}}</section></article>', f"{BEFORE} {TEXT}"),
+        (f'<article><p>{BEFORE}</p><blockquote class="social">{{}}</blockquote></article>', f"{BEFORE} {TEXT}"),
+        (f'<article>{{}}<section id="comments"><h2>Comments</h2>{THANKS}</section></article>', TEXT),
+        (f'<div>{{}}</div><div class="comments">{THANKS}</div>', TEXT),
+        (f'<div>{{}}</div><div style="display: none">{THANKS}</div><div class="related"><h3>More</h3><ul><li><a href=1>One</a></li></ul></div>', TEXT),
+    ],
+)
+def test_main_text_by_nearest_marks_and_share(page, want):
+    assert mainhtml.main_text(page.format(ARTICLE), mainhtml.fitted()) == want
+
+
+def test_main_text_of_held_out_pages():
+    """Blocks of pages that weren't made for the fit; and without the cut some of them get another label."""
+    r, w = np.random.default_rng(99), mainhtml.fitted()
+    right = wrong = missed = changed = 0
+    for _ in range(150):
+        page, label = mainhtml.made_page(r)
+        found, texts, _ = mainhtml.seen(page)
+        assert len(found) == len(label)
+        weight = dict(zip(mainhtml.NAMES, w, strict=False))
+        gain = [float(w[-1]) + sum(weight[k] * v for k, v in mainhtml.marks(b, t).items()) for b, t in zip(found, texts, strict=True)]
+        kept = mainhtml.minimum_cut(gain, mainhtml.edges(found))
+        right += sum(k and x for k, x in zip(kept, label, strict=True))
+        wrong += sum(k and not x for k, x in zip(kept, label, strict=True))
+        missed += sum(x and not k for k, x in zip(kept, label, strict=True))
+        changed += sum(k != (g > 0) for k, g in zip(kept, gain, strict=True))
+    assert right / (right + wrong) > 0.95 and right / (right + missed) > 0.95 and changed > 0
+
+
 def test_main_text_keeps_out_what_stands_alone():
     w = mainhtml.fitted()
     assert mainhtml.main_text('<div class="cookie-notice">We use cookies to make this page better for you.</div>', w) == ""
