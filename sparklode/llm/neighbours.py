@@ -23,17 +23,16 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparklode.llm.store import materialize
+from sparklode.llm.store import in_batches, materialize
 
 SAMPLE = 20_000
 TOP = 20
-#: Rows of a list in one task.
-BLOCK = 4096
+#: Rows of a list in one block, which a task holds, and queries that go by it in one task.
+BLOCK, QUERIES = 4096, 1 << 20
 SIGMAS = 4.0
 STEPS = 4
 #: Share of the lists that a query probes, and the fewest.
@@ -83,10 +82,6 @@ def fitted(rows: DataFrame, seed: int = 3, rounds: int = 12) -> Index | None:
     return Index(rotation, c, min(lists, max(PROBE_LEAST, math.ceil(PROBE_SHARE * lists))), width)
 
 
-def _matrix(column, width: int) -> np.ndarray:
-    return np.stack(column.to_numpy()) if len(column) else np.zeros((0, width))
-
-
 def scan(q: np.ndarray, x: np.ndarray, ids: np.ndarray, own: np.ndarray, floor: np.ndarray, top: int) -> Iterator[tuple[int, np.ndarray]]:
     """For each rotated query (row of q): positions of the candidates of a block that the tests leave."""
     width = q.shape[1]
@@ -113,6 +108,31 @@ def scan(q: np.ndarray, x: np.ndarray, ids: np.ndarray, own: np.ndarray, floor:
         yield i, alive
 
 
+def _block(rows: list[tuple[np.ndarray, np.ndarray]], ix: Index) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(ids, vectors, rotated vectors, most different vectors of an id); equal rows of an id are one."""
+    ids, v = (np.concatenate(x) for x in zip(*rows, strict=True))
+    _, again, n = np.unique(ids, return_inverse=True, return_counts=True)
+    if (several := np.flatnonzero(n[again] > 1)).size:
+        _, first = np.unique(np.column_stack([ids[several].astype(np.int64).view(np.float64), v[several]]).view(np.dtype((np.void, 8 * (ix.width + 1)))), return_index=True)
+        keep = np.sort(np.concatenate([np.flatnonzero(n[again] == 1), several[first]]))
+        ids, v = ids[keep], v[keep]
+        n = np.unique(ids, return_counts=True)[1]
+    return ids, v, v @ ix.rotation, int(n.max())
+
+
+def _nearest(block: tuple[np.ndarray, np.ndarray, np.ndarray, int], own: np.ndarray, q: np.ndarray, floor: np.ndarray, top: int, ix: Index) -> pa.RecordBatch:
+    """The nearest of a block for each query, as rows (query_id, vec_id, score)."""
+    ids, x, turned, most = block
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    # Different rows of an id are one candidate, so they mustn't take the places of others.
+    for i, at in scan(q @ ix.rotation, turned, ids, own, floor, top * most):
+        exact = (x[at] * q[i]).sum(axis=1)
+        order = np.lexsort((ids[at], -exact))
+        order = order[np.sort(np.unique(ids[at][order], return_index=True)[1])[:top]]
+        out.append((np.full(len(order), own[i]), ids[at][order], exact[order]))
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["query_id", "vec_id", "score"])
+
+
 def searched(vectors: DataFrame, queries: DataFrame | None = None, top: int = TOP, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the nearest found for each query, nearest first. ``queries`` has the same columns."""
     spark = vectors.sparkSession
@@ -141,28 +161,37 @@ def searched(vectors: DataFrame, queries: DataFrame | None = None, top: int = TO
     blocks = F.broadcast(where.groupBy("list").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks")))  # one row a list
     filed = rows.join(where, "vec_id").join(blocks, "list").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
     once = asked.groupBy("vec_id").agg(F.min("v").alias("v"))
-    probe = once.mapInArrow(lambda it: deal(it, True), "vec_id long, list int, nth int").join(blocks, "list").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    probe = probe.select("vec_id", "list", "nth", "block").join(once, "vec_id")
-    filed, probe = materialize(filed.select("vec_id", "list", "block", "v"), "ann-index"), materialize(probe, "ann-probes")
-
-    def find(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        ix = held.value
-        if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
-        x, q = _matrix(left["v"], ix.width), _matrix(right["v"], ix.width)
-        ids, own = left["vec_id"].to_numpy(), right["vec_id"].to_numpy()
-        out = []
-        # Rows of an id are one candidate, so its rows mustn't take the places of others.
-        most = top * int(np.unique(ids, return_counts=True)[1].max())
-        for i, at in scan(q @ ix.rotation, x @ ix.rotation, ids, own, right["floor"].to_numpy(), most):
-            exact = (x[at] * q[i]).sum(axis=1)
-            order = np.lexsort((ids[at], -exact))
-            order = order[np.sort(np.unique(ids[at][order], return_index=True)[1])[:top]]
-            out.append((np.full(len(order), own[i]), ids[at][order], exact[order]))
-        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
+    probes = materialize(once.mapInArrow(lambda it: deal(it, True), "vec_id long, list int, nth int"), "ann-probed")
+    # The queries of a list are dealt as well: a task meets a block of a list with a block of the queries that probe it.
+    turns = F.broadcast(probes.groupBy("list").agg(F.ceil(F.count("*") / F.lit(QUERIES)).cast("int").alias("turns")))  # one row a list
+    probe = probes.join(turns, "list").withColumn("turn", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.col("turns")).cast("int")).join(blocks, "list")
+    probe = probe.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("vec_id", "list", "nth", "block", "turn").join(once, "vec_id")
+    filed = filed.join(turns, "list").withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)))
+    filed, probe = materialize(filed.select("vec_id", "list", "block", "turn", "v"), "ann-index"), materialize(probe, "ann-probes")
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows by (list, block, turn), the candidates of each before its queries: a block is held, the queries go by."""
+        ix, key, held_rows, block = held.value, None, [], None
+        for b in batches:
+            keys = np.stack([b.column(i).to_numpy() for i in range(4)], axis=1)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+            ids, v = b.column(4).to_numpy(), b.column(5).flatten().to_numpy(zero_copy_only=False).reshape(-1, ix.width)
+            floor = b.column(6).to_numpy(zero_copy_only=False)
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                if tuple(keys[lo, :3]) != key:
+                    key, held_rows, block = tuple(keys[lo, :3]), [], None
+                if keys[lo, 3] == 0:
+                    held_rows.append((ids[lo:hi], v[lo:hi]))
+                elif held_rows:
+                    block = block or _block(held_rows, ix)
+                    yield _nearest(block, ids[lo:hi], v[lo:hi], floor[lo:hi], top, ix)
 
     def through(some: DataFrame) -> DataFrame:
-        return filed.groupBy("list", "block").cogroup(some.groupBy("list", "block")).applyInPandas(find, "query_id long, vec_id long, score double")
+        place = ["list", "block", "turn"]
+        left = filed.select(*place, F.lit(0).alias("tag"), "vec_id", "v", F.lit(0.0).alias("floor"))
+        rows = left.unionByName(some.select(*place, F.lit(1).alias("tag"), "vec_id", "v", "floor"))
+        rows = in_batches(rows).repartition(*place).sortWithinPartitions(*place, "tag")
+        return rows.mapInArrow(find, "query_id long, vec_id long, score double")
 
     first = materialize(through(probe.filter("nth = 0").withColumn("floor", F.lit(float("-inf")))), "ann-first")
     best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
