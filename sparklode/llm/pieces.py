@@ -34,6 +34,8 @@ from sparklode.llm.textkernel import equal_ranges, ranges, slices, utf8, word_ha
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Bytes of texts whose distinct words are one trie, and the words whose ids a worker remembers from one trie to the next at most.
 CHUNK, KNOWN = 2 << 20, 200_000
+#: Bytes of these words at most, but for those of one trie.
+KNOWN_BYTES = 8 << 20
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
@@ -105,7 +107,7 @@ class Encoder:
     """Encodes sorted marked words; keeps what it has learnt of pairs of pieces."""
 
     def __init__(self, v: Vocabulary):
-        self.v, self.pairs, self.self_made, self.known, self.older = v, {}, {}, {}, {}
+        self.v, self.pairs, self.self_made, self.known, self.older, self.bytes = v, {}, {}, {}, {}, 0
         # Lengths of the pieces that end in each three letters, longest first; a piece of two is filed under all it may follow.
         lengths: dict[str, set[int]] = {}
         for p in v.ids:
@@ -161,19 +163,21 @@ class Encoder:
 
     def encode_words(self, words: list[bytes]) -> list[list[int]]:
         """Ids of each of distinct words with spaces for marks. Words met before are remembered; the new ones are one trie."""
-        if len(self.known) > KNOWN // 2:  # what isn't met again for long is forgotten, and walked again: the result is the same
-            self.older, self.known = self.known, {}
+        if len(self.known) > KNOWN // 2 or self.bytes > KNOWN_BYTES // 2:  # what isn't met again for long is forgotten, and walked again: the result is the same
+            self.older, self.known, self.bytes = self.known, {}, 0
         known, older = self.known, self.older
         new = []
         for w in words:
             if w not in known:
                 if (ids := older.get(w)) is not None:
                     known[w] = ids
+                    self.bytes += len(w)
                 else:
                     new.append((w.decode().replace(" ", MARK), w))
         new.sort()
         for (_, w), ids in zip(new, self.encode_sorted([m for m, _ in new]), strict=True):
             known[w] = ids
+            self.bytes += len(w)
         return [known[w] for w in words]
 
     def ending(self, word: str, end: int) -> tuple[int, ...]:
