@@ -144,6 +144,26 @@ def test_secrets_keys_of_any_length(spark):
     assert secrets.redacted(docs(spark, [long])).first()["text"].endswith("[SECRET] tail") and secrets.redacted(docs(spark, ["x"]).filter("doc_id < 0")).count() == 0
 
 
+ADDED = {
+    "john at example dot com": "john at example dot com", "mail john.smith AT example DOT org now": "john.smith AT example DOT org", "tel 030/1234567 please": "030/1234567",
+    "call +1 (826) 555-4081 190.137.2.44 and": "+1 (826) 555-4081", "card 4539 1488 0343 6467 77 ok": "4539 1488 0343 6467", "x (at) y dot com": "x (at) y dot com",
+}
+
+
+def test_the_field_adds_what_patterns_drop(data):
+    field = pii.usual()
+    for text, span in ADDED.items():
+        assert span in [text[a:b] for a, b, _ in pii.found_spans([text], field)[0]] and span not in [text[a:b] for a, b, _ in pii.base_spans(text)]
+    for text in ("reach me at the dot office", "at home 5 dot 6", "on 2024-01-02 at 10:30", "version 3.10.2 of 12", "4539 1488 0343 6468 77"):
+        assert pii.found_spans([text], field)[0] == sorted(pii.base_spans(text))
+    # In the driver's documents patterns drop numbers that stand before others; without the field they are lost.
+    import pyarrow.parquet as pq
+
+    texts = [t for t in pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"])["text"].to_pylist() if t and any(c.isdigit() for c in t)]
+    more = [(t, a, b) for t, spans in zip(texts, pii.found_spans(texts, field), strict=True) for a, b, _ in set(spans) - set(pii.base_spans(t))]
+    assert more and all(sum(c.isdigit() for c in t[a:b]) in range(9, 20) for t, a, b in more)
+
+
 def test_pii_against_patterns_and_held_out(spark):
     email = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
     ip = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
