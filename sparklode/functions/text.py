@@ -183,6 +183,22 @@ def rendered_rows(template: Column, now: Column, clipboard: Column, uuid: Column
     return F.struct(F.array_join(parts, "").alias("text"), cursor.alias("cursor"))
 
 
+def normalized_strings(values: Column, count: int = 128, length: int = 512) -> Column:
+    """Settings as a sorted set: trimmed, without empty, long or odd ones, and no more than ``count``."""
+    trimmed = F.transform(values, lambda v: F.regexp_replace(v, r"^\s+|\s+$", ""))
+    good = F.filter(trimmed, lambda v: (v != "") & (F.length(v) <= length) & ~F.rlike(v, F.lit(r"[\p{Cc}\p{Cf}]")))
+    return F.slice(F.array_sort(F.array_distinct(good)), 1, count)
+
+
+def subset(a: Column, b: Column) -> Column:
+    return F.size(F.array_except(a, b)) == 0
+
+
+def search_memory(size: Column, budget: int) -> Column:
+    """Bytes to allow for the search of a text of so many: three times its size, a MiB at least, within the budget."""
+    return F.least(F.lit(budget).cast("long"), F.greatest(F.lit(1 << 20).cast("long"), 3 * size))
+
+
 def word_count(s: Column) -> Column:
     return F.size(F.filter(F.split(s, r"\s+"), lambda w: w != ""))
 

@@ -131,8 +131,38 @@ def first_matching(results: DataFrame, key: str = "ts") -> DataFrame:
     return results.groupBy(key).agg(F.min_by(F.when(F.col("matched"), F.col("trigger_id")), F.when(F.col("matched"), F.col("ord"))).alias("trigger_id"))
 
 
+LISTED = ("wifi", "audio", "app", "frontmost", "dns", "volume", "vpn", "bluetooth", "usb")
+
+
+def valid_identifier(value: Column, most: Column | int = 1024) -> Column:
+    """Something is left when blanks around it go, it has no control or format characters, and it isn't too long in UTF-8."""
+    t = F.regexp_replace(value, r"^\s+|\s+$", "")
+    return F.coalesce((t != "") & (F.octet_length(t) <= most) & ~F.rlike(t, F.lit(r"[\p{Cc}\p{Cf}]")), F.lit(False))
+
+
+def valid_criterion() -> Column:
+    """Whether a criterion (kind, op, number, number2, text, texts, flag) may be stored."""
+    kind, n, texts = F.col("kind"), F.col("number"), F.coalesce("texts", F.array().cast("array<string>"))
+    finite = n.isNotNull() & ~F.isnan(n) & (F.abs(n) < float("inf"))
+    listed = (F.size(texts) > 0) & F.forall(texts, lambda t: valid_identifier(t, F.when(kind == "wifi", 32).otherwise(1024)))
+    days = (F.size(texts) > 0) & F.forall(texts, lambda t: t.isin(*"1234567"))
+    ends = F.transform(F.slice(texts, 1, 2), ip_key)
+    low, high = F.get(ends, 0), F.get(ends, 1)
+    out = (
+        F.when(kind == "idle", finite & (n > 0))
+        .when(kind == "cpu", finite & n.between(0, 100))
+        .when(kind == "displays", finite & (n >= 0))
+        .when(kind == "battery", (n.isNotNull() | F.col("flag").isNotNull()) & (n.isNull() | finite & n.between(0, 100)))
+        .when(kind == "power", F.col("flag").isNotNull())
+        .when(kind == "schedule", days & n.between(0, 1439) & F.col("number2").between(0, 1439))
+        .when(kind == "ip", (F.left(low, F.lit(1)) == F.left(high, F.lit(1))) & (low <= high))
+        .when(kind == "date", F.try_to_date("text", "yyyy-MM-dd").isNotNull())
+        .when(kind.isin(*LISTED), listed)
+    )
+    return F.coalesce(out, F.lit(False))
+
+
 def invalid(criteria: DataFrame) -> DataFrame:
-    """Rules that can't be stored: a kind twice, a number out of bounds, a list with an empty or long entry."""
+    """Rules that can't be stored: a kind twice, or a criterion that isn't valid."""
     twice = criteria.groupBy("trigger_id", "kind").count().filter("count > 1").select("trigger_id")
-    odd = criteria.filter(F.exists("texts", lambda t: (F.trim(t) == "") | (F.octet_length(t) > 1024)) | (F.col("kind").isin("cpu", "battery") & ~F.col("number").between(0, 100)) | (F.col("kind") == "schedule") & ~F.col("number").between(0, 1439))
-    return twice.union(odd.select("trigger_id")).distinct()
+    return twice.union(criteria.filter(~valid_criterion()).select("trigger_id")).distinct()

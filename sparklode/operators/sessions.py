@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,18 +70,27 @@ def flips(states: DataFrame, key: str = "owner") -> DataFrame:
     return states.withColumn("_before", F.lag("state").over(w)).filter(F.col("_before").isNull() | (F.col("_before") != F.col("state"))).drop("_before")
 
 
+def screen_locks(ticks: DataFrame, threshold: float, key: str = "owner") -> DataFrame:
+    """(key, ts, event_id, idle_s, locked) -> the ticks at which the screen is to be locked: the first in an idle period whose idle time reaches the threshold.
+
+    A period ends with a tick at which the screen isn't locked and the idle time is below the threshold.
+    """
+    w = Window.partitionBy(key).orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    long = F.col("idle_s") >= threshold
+    rows = ticks.withColumn("_period", F.sum((~F.col("locked") & ~long).cast("int")).over(w)).filter(long)
+    first = F.row_number().over(Window.partitionBy(key, "_period").orderBy("ts", "event_id"))
+    return rows.withColumn("_n", first).filter("_n = 1").drop("_period", "_n")
+
+
 def repaired_pins(history: DataFrame, keys: str) -> DataFrame:
-    """Pin keys made unique: of equal keys the first keeps it, others get the next free one; the pinned rows are at most as many as the keys."""
-
-    def fix(pdf: pd.DataFrame) -> pd.DataFrame:
-        used, out = set(), []
-        pdf = pdf.sort_values(["created_at", "id"])
-        for k in pdf["pin_key"]:
-            out.append(k if k in keys and k not in used else None)
-            used.add(out[-1])
-        free = [k for k in keys if k not in used]
-        pdf["pin_key"] = [k or (free.pop(0) if free else None) for k in out]
-        return pdf
-
-    pinned = history.filter("pinned").select("id", "created_at", "pin_key").orderBy("created_at", "id").limit(1000)
-    return pinned.groupBy(F.lit(1)).applyInPandas(fix, pinned.schema)
+    """(id, created_at, pin_key) of pinned rows with their keys made unique: of equal keys the first row keeps it, rows without one get the
+    free keys in order, and there are no more keys than letters in ``keys``: rows beyond have none."""
+    pinned = history.filter("pinned").select("id", "created_at", "pin_key")
+    known = F.col("pin_key").isin(list(keys))
+    keeps = pinned.filter(known).groupBy("pin_key").agg(F.min_by("id", F.struct("created_at", "id")).alias("_id")).select("_id", F.col("pin_key").alias("_key"))  # a row a key
+    free = [k for k in keys if k not in {r["_key"] for r in keeps.collect()}]
+    rows = pinned.join(F.broadcast(keeps), F.col("id") == F.col("_id"), "left").drop("_id", "pin_key")
+    # The first rows without a key meet the free keys by rank; both are at most as many as there are keys.
+    ids = [r["id"] for r in rows.filter("_key IS NULL").orderBy("created_at", "id").limit(len(free)).select("id").collect()]
+    given = history.sparkSession.createDataFrame(list(zip(ids, free, strict=False)), "id string, _given string")
+    return rows.join(F.broadcast(given), "id", "left").select("id", "created_at", F.coalesce("_key", "_given").alias("pin_key"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparklode.functions import text
-from sparklode.operators import clipboard, content_index, event_log, search, tree
+from sparklode.operators import clipboard, content_index, event_log, rules, search, sessions, tree, usage
 from sparklode.plans import query as q
 from sparklode.plans.compile import Options, compiled
 from sparklode.queries import CLIPS, DEPTH, EVENTS, FILES, NOW, PARTS, VISIBLE, _search, query
@@ -263,3 +263,78 @@ def pinyin_names(spark, sf_dir):
     c = _table(spark, sf_dir, "conversations").filter("turn % 3 = 0")
     rows = c.select("conv_id", "turn", name.alias("name"), F.concat(F.lit("/r/"), name).alias("path"), *(F.lit(False).alias(x) for x in ("is_dir", "hidden", "in_package")))
     return search.name_matches(rows, "bg", Options(now=NOW)).select("conv_id", "turn")
+
+
+# ---------------------------------------------------------------- rules, settings, upkeep
+
+_ODD_RULES = """kinds AS (SELECT event_id, event_id % 9 AS k, CASE WHEN value < 12 THEN value ELSE value * 10 END AS n, user_id % 4 AS u, event_type AS t FROM events)"""
+
+
+@query(f"""WITH {_ODD_RULES} SELECT event_id AS trigger_id FROM kinds WHERE CASE k WHEN 0 THEN NOT n > 0 WHEN 1 THEN NOT n BETWEEN 0 AND 100 WHEN 2 THEN u = 0 WHEN 3 THEN u = 0 OR u = 1
+ WHEN 4 THEN u = 0 OR n > 1439 WHEN 5 THEN u IN (0, 1) WHEN 6 THEN u = 0 WHEN 7 THEN u = 0 ELSE true END""")
+def invalid_rules(spark, sf_dir):
+    """Rules of one criterion each: thresholds, identifiers with blanks and control characters, weekdays, ranges of two families, a kind twice."""
+    e = _table(spark, sf_dir, "events").withColumns({"k": F.col("event_id") % 9, "n": F.when(F.col("value") < 12, F.col("value")).otherwise(F.col("value") * 10), "u": F.col("user_id") % 4})
+    kinds = ("idle", "cpu", "wifi", "app", "schedule", "ip", "power", "displays", "unknown")
+    array = lambda *values: F.array(*(v if not isinstance(v, str) else F.lit(v) for v in values))
+    texts = (
+        F.when(F.col("k") == 2, F.when(F.col("u") == 0, array("x" * 33)).otherwise(array("net", "x" * 32)))
+        .when(F.col("k") == 3, F.when(F.col("u") == 0, array(" \t ")).when(F.col("u") == 1, array("a\u0007b")).otherwise(array("com.example")))
+        .when(F.col("k") == 4, F.when(F.col("u") == 0, array("8")).otherwise(array("1", "7")))
+        .when(F.col("k") == 5, F.when(F.col("u") == 0, array("10.0.0.1", "::1")).when(F.col("u") == 1, array("10.0.0.9", "10.0.0.1")).otherwise(array("10.0.0.1", "10.0.0.1")))
+    )
+    rows = e.select(
+        F.col("event_id").alias("trigger_id"), F.get(F.array(*map(F.lit, kinds)), F.col("k").cast("int")).alias("kind"), F.lit("=").alias("op"),
+        F.when(F.col("k") == 7, F.when(F.col("u") == 0, -1.0).otherwise(0.0)).otherwise(F.col("n")).alias("number"), F.lit(60.0).alias("number2"), F.lit(None).cast("string").alias("text"), texts.alias("texts"),
+        F.when((F.col("k") != 6) | (F.col("u") != 0), F.lit(True)).alias("flag"),
+    )
+    return rules.invalid(rows)
+
+
+@query(f"""WITH {EVENTS} SELECT event_id // 50 AS batch, CASE WHEN bool_or(flags = 256 + 131072 AND event_id % 3 = 0) THEN 'quiet' WHEN bool_or(contains(path[strrpos(path, '/') + 1:], '9') OR (flags <> 6 AND contains('n' || event_id, '9'))) THEN 'immediate' ELSE 'none' END AS refresh FROM fs GROUP BY 1""".replace("path[strrpos(path, '/') + 1:]", "regexp_extract(path, '[^/]*$')"))
+def live_refreshes(spark, sf_dir):
+    """Which batches of changes a live search for a plain word must react to."""
+    e = catalog.change_events(spark, sf_dir)
+    observed = e.select(
+        F.floor(F.col("event_id") / 50).alias("batch"), "path", F.when(F.col("flags") != 6, F.concat(F.lit("n"), "event_id")).alias("name"),
+        ((F.col("flags") == 256 + 131072) & (F.col("event_id") % 3 == 0)).alias("subtree"),
+    )
+    return changes.refreshes(observed, " 9 ", Options(now=NOW))
+
+
+@query("""WITH t AS (SELECT event_id, user_id, ts, value * 10 AS idle_s, event_type = 'error' AS locked FROM events),
+p AS (SELECT *, sum((NOT locked AND idle_s < 100)::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS period FROM t)
+SELECT event_id FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id, period ORDER BY ts, event_id) AS n FROM p WHERE idle_s >= 100) WHERE n = 1""")
+def screen_locks(spark, sf_dir):
+    e = _table(spark, sf_dir, "events").select("event_id", "user_id", "ts", (F.col("value") * 10).alias("idle_s"), (F.col("event_type") == "error").alias("locked"))
+    return sessions.screen_locks(e, 100, "user_id").select("event_id")
+
+
+@query(f"""WITH {CLIPS}, p AS (SELECT id, created_at, CASE WHEN conv_key % 3 = 0 THEN substr('bcdxyz', (conv_key % 6 + 1)::INT, 1) END AS pin_key FROM (SELECT id, created_at, split_part(id, '-', 1)::INT AS conv_key, pinned FROM clips) WHERE pinned),
+k AS (SELECT *, row_number() OVER (PARTITION BY pin_key ORDER BY created_at, id) AS n FROM p WHERE contains('bcdefghijklmnoprstu', pin_key)),
+kept AS (SELECT id, pin_key FROM k WHERE n = 1), free AS (SELECT key, row_number() OVER (ORDER BY place) AS r FROM (SELECT unnest(string_split('bcdefghijklmnoprstu', '')) AS key, unnest(range(19)) AS place) WHERE key NOT IN (SELECT pin_key FROM kept)),
+rest AS (SELECT id, row_number() OVER (ORDER BY created_at, id) AS r FROM p WHERE id NOT IN (SELECT id FROM kept))
+SELECT p.id, coalesce(kept.pin_key, free.key) AS pin_key FROM p LEFT JOIN kept USING (id) LEFT JOIN rest USING (id) LEFT JOIN free ON free.r = rest.r""")
+def pins_repaired(spark, sf_dir):
+    conv = F.split_part("id", F.lit("-"), F.lit(1)).cast("int")
+    key = F.when(conv % 3 == 0, F.substring(F.lit("bcdxyz"), (conv % 6 + 1).cast("int"), F.lit(1)))
+    h = catalog.clipboard(spark, sf_dir).select("id", "created_at", "pinned").withColumn("pin_key", key)
+    return sessions.repaired_pins(h, clipboard.PIN_KEYS).select("id", "pin_key")
+
+
+@query("SELECT user_id::VARCHAR AS path, count(*) AS open_count, epoch_us(max(ts)) AS last_us FROM events GROUP BY 1")
+def usage_store(spark, sf_dir):
+    """The usage history, written and read again."""
+    e = _table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("path"), F.col("ts").cast("timestamp").alias("ts"))
+    at = shared.fresh(spark, "usage")
+    tables.save_usage(usage.tallied(e), at)
+    return tables.load_usage(spark, at).select("path", "open_count", F.unix_micros("last_opened").alias("last_us"))
+
+
+@query("""SELECT conv_id, turn, array_to_string(list_sort(list_distinct(list_filter(list_transform(string_split(left(text, 400), '.'), lambda v: regexp_replace(v, '^\\s+|\\s+$', '', 'g')), lambda v: v <> '' AND length(v) <= 60 AND NOT regexp_matches(v, '[\\p{Cc}\\p{Cf}]'))))[1:4], '|') AS names,
+ len(list_filter(string_split(role, 's'), lambda x: NOT list_contains(['u', 'er', 'a', '', 'i', 'tant'], x))) = 0 AS known, least(2000000, greatest(1048576, 3 * strlen(text) * 1000))::BIGINT AS bytes FROM conversations""")
+def settings_normalized(spark, sf_dir):
+    c = _table(spark, sf_dir, "conversations")
+    names = text.normalized_strings(F.split(F.left("text", F.lit(400)), r"\."), 4, 60)
+    known = text.subset(F.split("role", "s"), F.array(*map(F.lit, ("u", "er", "a", "", "i", "tant"))))
+    return c.select("conv_id", "turn", F.array_join(names, "|").alias("names"), known.alias("known"), text.search_memory(F.octet_length("text") * F.lit(1000).cast("long"), 2_000_000).alias("bytes"))

@@ -37,7 +37,7 @@ EXTRACTORS: dict[str, Callable[[bytes, int], str | None]] = {}
 
 
 def decoded(data: bytes) -> str | None:
-    """Text of plain bytes: by its mark if there are NULs (else binary), then UTF-8, CP1252, Latin-1."""
+    """Text of plain bytes: by its mark if there are NULs (else binary), then UTF-8, CP1252, Latin-1, which takes any bytes: nothing is left for a further code."""
     if b"\0" in data[:SNIFF]:
         for mark, code in ((b"\xff\xfe\0\0", "utf-32"), (b"\0\0\xfe\xff", "utf-32"), (b"\xff\xfe", "utf-16"), (b"\xfe\xff", "utf-16")):
             if data.startswith(mark):

@@ -42,6 +42,15 @@ def export_snippets(history: DataFrame) -> DataFrame:
     return history.filter("pinned").agg(F.array_sort(F.collect_list(one)).alias("snippets")).select(F.to_json(F.struct("snippets", F.lit(1).alias("version"))).alias("json"))
 
 
+def save_usage(usage: DataFrame, path: str) -> None:
+    """(path, open_count, last_opened): the last opened first, then by path; a bounded list (see ``usage.kept``)."""
+    usage.orderBy(F.desc("last_opened"), "path").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load_usage(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
 def encrypted(history: DataFrame, key: str) -> DataFrame:
     """(id, payload): the row as JSON under AES-GCM; ``key`` has 16, 24 or 32 characters."""
     row = F.to_json(F.struct(*[c for c in history.columns if c != "id"]))

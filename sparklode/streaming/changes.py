@@ -12,6 +12,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from sparklode.functions import paths, text
 from sparklode.operators import tree
+from sparklode.plans import query as q
+from sparklode.plans.compile import Options, term
 
 EVENT = "event_id long, path string, flags int, received_at timestamp"
 
@@ -95,6 +97,17 @@ def switches(matches: DataFrame) -> DataFrame:
     return matches.groupBy("owner").applyInPandasWithState(step, "owner string, ts timestamp, action string, trigger_id string", "trigger_id string", "append", "NoTimeout")
 
 
-def refresh_needed(changes: DataFrame, predicate) -> bool:
-    """Whether a batch of changed names touches a live query."""
-    return not changes.filter(predicate).isEmpty()
+def refreshes(observed: DataFrame, text_: str, o: Options | None = None) -> DataFrame:
+    """(batch, refresh) of batches of changes (batch, path, name, subtree): none, immediate or quiet (after a quiet period).
+
+    ``name`` is what is there now, NULL if it is gone. A single plain word on names is tested on the names before and after; any other
+    query, and a batch with a subtree, waits for a quiet period.
+    """
+    o = o or Options()
+    node = q.parse(text_.strip())
+    plain = isinstance(node, q.Term) and o.target == "name" and o.mode == "substring" and "/" not in text_ and not any(c.isspace() for c in text_.strip())
+    if not plain:
+        return observed.groupBy("batch").agg(F.lit("quiet").alias("refresh"))
+    hit = lambda c: F.coalesce(term(node, c, o, o.pinyin), F.lit(False))
+    old, new = paths.name(F.col("path")), F.col("name")
+    return observed.groupBy("batch").agg(F.when(F.bool_or("subtree"), "quiet").when(F.bool_or(hit(old) | hit(new)), "immediate").otherwise("none").alias("refresh"))

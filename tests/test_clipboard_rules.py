@@ -127,3 +127,14 @@ def test_snippet_suffix_takes_all_typed_texts(spark, data):
             _, k, i = min(hits)
             want.add((e["event_id"], i, k))
     assert {tuple(r) for r in queries.QUERIES["snippet_suffix"](spark, data).select("typed_id", "id", "keyword").collect()} == want
+
+
+def test_initials_of_common_characters(spark):
+    from pyspark.sql import functions as F
+
+    from sparklode.functions.pinyin import initials, table
+
+    assert len(table()[0]) == len(set(table()[0])) == 3755
+    words = {"报告": "bg", "总结": "zj", "预算表": "ysb", "啊座": "az", "项目A": "xma", "한": "한"}
+    rows = spark.createDataFrame([(w,) for w in words], "w string").select("w", initials(F.col("w")).alias("i"))
+    assert {r["w"]: r["i"] for r in rows.collect()} == words
