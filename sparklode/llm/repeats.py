@@ -12,13 +12,14 @@ A passage is a string of :data:`LENGTH` bytes; every byte of a passage that star
     suffix-sorted once, which gives its Burrows-Wheeler transform.
 4.  *Merge.* The transforms are merged by iterative interleave refinement: an interleaving of the shards, right for the first h
     symbols of all suffixes, is made right for h + 1 by one stable distribution by the transforms' symbols. The round in which two
-    neighbours part is their common prefix. Suffixes aren't sorted again. Starts whose phrases are not in a repeated interval are
-    dropped.
-5.  *Bytes.* The phrases of a repeated interval leave some bytes at both ends of a passage open: an exact check of the passages follows,
-    byte by byte, so the result has the accuracy of single bytes.
+    neighbours part is their common prefix. Suffixes aren't sorted again. A passage's whole phrases are repeated where they lie in an
+    interval of the merged order whose common prefix is as long as they are many: starts outside such intervals are dropped, and those
+    of one interval meet.
+5.  *Bytes.* Before and after its whole phrases a passage has some bytes left: starts of an interval are told apart by them. An exact
+    comparison follows, byte by byte.
 
-A task holds whole keys, some megabytes at a time. A key of more than :data:`HOT` different byte strings would not fit: its starts are
-dealt out one by one, by a 128-bit digest of each passage, and counted in Spark.
+A task holds whole keys, some megabytes at a time. A key of more than :data:`HOT` different byte strings, or :data:`HOT_BYTES` bytes of them,
+would not fit: its starts are dealt out one by one, by a 128-bit digest of each passage, and counted in Spark.
 
 Defined results: null and empty texts have no bytes; texts shorter than a passage lose nothing; matches don't cross documents; every row is
 a document of its own, so repeated rows are copies of one another, and an id with two texts has a row for each; rows without an id take
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 
 from sparklode.llm.bits import bit_table, maybe_in
 from sparklode.llm.store import in_batches, Tables
-from sparklode.llm.textkernel import U64, Rolling, equal_ranges, ranges, slices, utf8
+from sparklode.llm.textkernel import U64, Rolling, equal_ranges, mix, ranges, slices, utf8
 
 LENGTH = 400
 GRAM = 96
@@ -47,7 +48,7 @@ CHUNK = 1 << 20
 CUT, EACH = 16, 32
 SHARDS = 4
 #: Different byte strings of a key that one task takes at most.
-HOT = 8192
+HOT, HOT_BYTES = 8192, 32 << 20
 
 
 def digest_of(data: bytes | memoryview) -> bytes:
@@ -233,20 +234,30 @@ def repeated_starts(raw: np.ndarray, off: np.ndarray, count: np.ndarray, shard:
                 orders.append(own[order])
                 transforms.append(bwt)
         place, common = interleaved(transforms, depth)
-        deep = np.zeros(len(symbol), np.int64)
-        deep[np.concatenate(orders)[place]] = np.maximum(common[:-1], common[1:])
+        suffix = np.concatenate(orders)[place]
+        deep, rank = np.zeros(len(symbol), np.int64), np.zeros(len(symbol), np.int64)
+        deep[suffix], rank[suffix] = np.maximum(common[:-1], common[1:]), np.arange(len(suffix))
         some = np.flatnonzero(~candidate)
         candidate[some] = deep[head[some]] >= inside[some]
-    start, piece = start[candidate], piece[candidate]
-    found = twice_there(raw, start, length)
+    start, piece, head, inside = start[candidate], piece[candidate], head[candidate], inside[candidate]
+    # Equal passages: one repeated interval of whole phrases, and equal bytes before and after these.
+    roll, key = Rolling(raw), np.zeros(len(start), U64)
+    short = np.flatnonzero(inside <= 0)
+    key[short] = roll.spans(start[short], start[short] + length)
+    for d in np.unique(inside[inside > 0]).tolist():
+        mine = np.flatnonzero(inside == d)
+        interval = np.cumsum(common[:-1] < d)[rank[head[mine]]].astype(U64)
+        left, right = roll.spans(start[mine], cuts[head[mine]]), roll.spans(cuts[head[mine] + d], start[mine] + length)
+        key[mine] = mix(mix(mix(interval * U64(2) + U64(1)) + left) + right * U64(3) + U64(d))
+    found = twice_there(raw, start, length, key)
     return start[found], piece[found]
 
 
-def twice_there(raw: np.ndarray, start: np.ndarray, length: int) -> np.ndarray:
-    """Which of the starts, in order, have a passage that another of them has as well: brought together by a hash, compared byte by byte."""
+def twice_there(raw: np.ndarray, start: np.ndarray, length: int, key: np.ndarray | None = None) -> np.ndarray:
+    """Which of the starts, in order, have a passage that another of them has as well: those of one ``key`` (a hash of the passage, if none is given), compared byte by byte."""
     if not len(start):
         return np.zeros(0, np.int64)
-    h = Rolling(raw).spans(start, start + length)
+    h = Rolling(raw).spans(start, start + length) if key is None else key
     order = np.argsort(h, kind="stable")
     same = h[order][1:] == h[order][:-1]
     # Each start's partner: the one before it with its hash, or the one after for the first.
@@ -325,11 +336,11 @@ def ranges_to_remove(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -
     every = tables.keep(runs(texts, length, gram), "repeat-runs")
     kinds = every.groupBy("key", "bytes").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "text_id", "at", "n", "again")).alias("one"))
     kinds = tables.keep(kinds, "repeat-kinds")
-    keys = kinds.groupBy("key").agg(F.count("*").alias("different"), F.sum("copies").alias("total"), F.max("one.again").alias("again")).filter((F.col("total") > 1) | F.col("again"))
-    live = tables.keep(kinds.join(keys.drop("again"), "key").select("key", "bytes", "copies", "different", "one.*"), "repeat-live")
+    keys = kinds.groupBy("key").agg(F.count("*").alias("different"), F.sum("copies").alias("total"), F.max("one.again").alias("again"), F.sum(F.col("one.n") + length).alias("size")).filter((F.col("total") > 1) | F.col("again"))
+    live = tables.keep(kinds.join(keys.drop("again"), "key").select("key", "bytes", "copies", "different", "size", "one.*"), "repeat-live")
     tables.drop(kinds)
     whole = live.filter("copies > 1").select("key", "bytes", F.lit(0).alias("from"), F.col("n").alias("to"))
-    ask = live.filter("different > 1 OR again").select("doc_id", "text_id", "key", "bytes", "at", "n", (F.col("different") > HOT).alias("hot"))
+    ask = live.filter("different > 1 OR again").select("doc_id", "text_id", "key", "bytes", "at", "n", ((F.col("different") > HOT) | (F.col("size") > HOT_BYTES)).alias("hot"))
     wanted = bit_table(ask.select("doc_id"))
     lists = ask.groupBy(F.col("doc_id").alias("_d"), F.col("text_id").alias("_t")).agg(F.collect_list(F.struct("key", "bytes", "at", "n", "hot")).alias("runs"))
 

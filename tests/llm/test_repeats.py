@@ -58,10 +58,11 @@ def alike_in_part(seed, n=1200):
     return out
 
 
-@pytest.mark.parametrize("hot", [8192, 3])
-def test_texts_alike_in_part(spark, monkeypatch, hot):
+@pytest.mark.parametrize("hot,size", [(8192, 32 << 20), (3, 32 << 20), (8192, 5000)])
+def test_texts_alike_in_part(spark, monkeypatch, hot, size):
     monkeypatch.setattr(R, "HOT", hot)
-    assert sum(w[0] for w in _compare(spark, alike_in_part(4, 1200 if hot > 3 else 150))) > 10_000
+    monkeypatch.setattr(R, "HOT_BYTES", size)
+    assert sum(w[0] for w in _compare(spark, alike_in_part(4, 1200 if hot > 3 and size > 5000 else 150))) > 10_000
 
 
 @pytest.mark.parametrize("seed", range(8))
@@ -77,6 +78,17 @@ def test_repeated_starts_are_all_found(seed):
     assert sorted(zip(got.tolist(), piece.tolist(), strict=True)) == sorted(x for v in seen.values() if len(v) > 1 for x in v)
 
 
+def test_the_merged_transforms_decide(monkeypatch):
+    """Without common prefixes between the merged suffixes only passages without a whole phrase are found."""
+    texts = alike_in_part(3, 40)
+    raw, off = np.frombuffer(b"".join(texts), np.uint8), np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+    ask = (raw, off, np.maximum(np.diff(off) - 399, 0), np.arange(len(texts)) % 4)
+    whole = len(R.repeated_starts(*ask)[0])
+    plain = R.interleaved
+    monkeypatch.setattr(R, "interleaved", lambda t, d: (lambda p, c: (p, np.minimum(c, 0)))(*plain(t, d)))
+    assert len(R.repeated_starts(*ask)[0]) < whole / 2
+
+
 def test_passages_with_one_hash():
     """Texts that collide modulo 2**64 in every base aren't taken for copies."""
     one = "".join("ab"[bin(i).count("1") & 1] for i in range(2048)).encode()
