@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+from py4j.protocol import Py4JError, Py4JNetworkError
 from pyspark.sql import DataFrame, SparkSession
 
+#: Tables that results may still be read from, also those of an operator that failed; they go when the program ends.
+_LEFT: dict[str, SparkSession] = {}
 #: While a table is written: its query's shuffle files go when it has ended, as nobody reads them again.
 WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 #: Rows that a Python worker gets at once, where the session leaves Spark's number: ten thousand long texts fill an executor.
@@ -64,6 +68,7 @@ class Tables:
 
     def keep(self, df: DataFrame, label: str) -> DataFrame:
         path = f"{shared_dir(self.spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+        _LEFT[path] = self.spark
         with writing(self.spark):
             df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
@@ -72,15 +77,28 @@ class Tables:
 
     def drop(self, *tables: DataFrame) -> None:
         """Delete these tables; no DataFrame made from them may be run after this."""
-        jvm = self.spark._jvm
         for t in tables:
             _, path = self.paths.pop(id(t))
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            _delete(self.spark, path)
+            _LEFT.pop(path, None)
 
     def drop_all(self) -> None:
         self.drop(*(t for t, _ in list(self.paths.values())))
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@atexit.register
+def _delete_left() -> None:
+    for path, spark in _LEFT.items():
+        try:
+            _delete(spark, path)
+        except (Py4JError, Py4JNetworkError, AttributeError, OSError):  # the session has ended before
+            return
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
