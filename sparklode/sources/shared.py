@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError, Py4JNetworkError
 from pyspark.sql import DataFrame, SparkSession
 
+#: Tables that results may still be read from; they go when the program ends.
+_LEFT: dict[str, SparkSession] = {}
+
 
 def folder(spark: SparkSession) -> str:
     """As the session names it in ``spark.checkpoint.dir``; a folder of this machine only where all runs in one process."""
@@ -20,8 +25,10 @@ def folder(spark: SparkSession) -> str:
 
 
 def fresh(spark: SparkSession, label: str) -> str:
-    """The path of a new folder there."""
-    return f"{folder(spark)}/{label}-{uuid.uuid4().hex}"
+    """The path of a new folder there, which is deleted when the program ends."""
+    at = f"{folder(spark)}/{label}-{uuid.uuid4().hex}"
+    _LEFT[at] = spark
+    return at
 
 
 def kept(rows: DataFrame, label: str = "kept") -> DataFrame:
@@ -36,6 +43,15 @@ def delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+@atexit.register
+def _delete_left() -> None:
+    for at, spark in _LEFT.items():
+        try:
+            delete(spark, at)
+        except (Py4JError, Py4JNetworkError, AttributeError, OSError):  # the session has ended before
+            return
+
+
 def names(spark: SparkSession, path: str) -> list[str]:
     """Names in a folder; none if it isn't there."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
