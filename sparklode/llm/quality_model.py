@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparklode.llm.store import in_batches
+from sparklode.llm.store import Tables, in_batches
 from sparklode.llm.textkernel import U64, ascii_lower, mix, slices, utf8, word_hashes, words
 
 #: Most labelled rows that the fit reads, width of the hashed space, fewest documents of the sample a feature must be in, and how many
@@ -118,7 +118,7 @@ def sample_rows(docs: DataFrame, labels: DataFrame, bound: int, id_col: str, tex
 
 
 def fitted(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", steps: int = 500, rate: float = 0.2, ridge: float = 1e-5, lasso: float = 3e-4) -> Model:
-    """Fit on the driver, from features that executors made of at most ``bound`` labelled rows."""
+    """Fit on the driver, from the telling features of at most ``bound`` labelled rows; features are made, counted and chosen by executors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -127,33 +127,51 @@ def fitted(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE, id_col: str
                 ids, off = features(part.column(1))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(ids.astype(np.int32))), part.column(2)], ["doc_id", "ids", "grade"])
 
-    rows = sample_rows(docs, labels, bound, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>, grade int").toArrow().sort_by("doc_id")
-    y = rows["grade"].to_numpy()
-    if len(np.unique(y)) < 2:
+    tables = Tables(docs.sparkSession)
+    made = tables.keep(sample_rows(docs, labels, bound, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>, grade int"), "quality-sample")
+    of = {r["grade"]: r["count"] for r in made.groupBy("grade").count().collect()}  # three rows
+    if len(of) < 2:
+        tables.drop_all()
         return Model(np.zeros(0, np.int64), np.zeros(0), np.array([-30.0, -30.0]), True)
-    lists = rows["ids"].combine_chunks()
+    used = np.array(sorted(r["id"] for r in telling(made, of).collect()), np.int64)
+
+    def screened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            off, ids = b.column(1).offsets.to_numpy().astype(np.int64), b.column(1).values.to_numpy()
+            at = np.searchsorted(used, ids)
+            keep = used[np.minimum(at, max(len(used) - 1, 0))] == ids if len(used) else np.zeros(len(ids), bool)
+            total = np.concatenate(([0], np.cumsum(keep)))
+            own = np.flatnonzero(keep[off[0] : off[-1]]) + off[0]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array((total[off] - total[off[0]]).astype(np.int32)), pa.array(at[own].astype(np.int32))), b.column(2)], ["doc_id", "at", "grade"])
+
+    # What the driver gets: the telling features of each row of the sample, by number.
+    rows = made.mapInArrow(screened, "doc_id long, at array<int>, grade int").toArrow().sort_by("doc_id")
+    tables.drop_all()
+    y = rows["grade"].to_numpy()
+    lists = rows["at"].combine_chunks()
     at, off = lists.values.to_numpy(), lists.offsets.to_numpy().astype(np.int64)
     at = at[off[0] : off[-1]]
-    off = off - off[0]
-    owner = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(off))
-    del rows, lists
-    known, at = np.unique(at, return_inverse=True)
-    at = at.astype(np.int32)
-    have = np.bincount(at)
-    telling = np.zeros(len(known), bool)
-    n = np.bincount(y, minlength=GRADES)
-    by = [np.bincount(at[(y == g)[owner]], minlength=len(known)) for g in range(GRADES)]
+    owner = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(off - off[0]))
+    return Model(*_descent(y, owner, at, used, steps, rate, ridge, lasso))
+
+
+def telling(made: DataFrame, of: dict[int, int]) -> DataFrame:
+    """(id) of features in enough rows of the sample (ids, grade) whose share differs between the grades of some pair in SIDES; counted in Spark."""
+    count = made.select(F.explode("ids").alias("id"), "grade").groupBy("id").agg(*(F.count_if(F.col("grade") == g).alias(f"n{g}") for g in range(GRADES)))
+    differs = F.lit(False)
     for below, above in SIDES:
-        n_down, n_up = n[list(below)].sum(), n[list(above)].sum()
+        n_down, n_up = (float(sum(of.get(g, 0) for g in side)) for side in (below, above))
         if n_down and n_up:
-            down, up = sum(by[g] for g in below), sum(by[g] for g in above)
+            down, up = (sum((F.col(f"n{g}") for g in side[1:]), F.col(f"n{side[0]}")) for side in (below, above))
             share = (down + up) / (n_down + n_up)
-            spread = np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n_up + 1 / n_down))
-            telling |= np.abs(up / n_up - down / n_down) >= LEAST_ERRORS * spread
-    telling &= have >= LEAST_DOCS
-    used, number = known[telling], np.cumsum(telling) - 1
-    keep = telling[at]
-    owner, at = owner[keep], number[at[keep]]
+            spread = F.sqrt(F.greatest(share * (1 - share), F.lit(1e-12)) * (1 / n_up + 1 / n_down))
+            differs = differs | (F.abs(up / n_up - down / n_down) >= LEAST_ERRORS * spread)
+    have = sum((F.col(f"n{g}") for g in range(1, GRADES)), F.col("n0"))
+    return count.filter(differs & (have >= LEAST_DOCS)).select("id")
+
+
+def _descent(y: np.ndarray, owner: np.ndarray, at: np.ndarray, used: np.ndarray, steps: int, rate: float, ridge: float, lasso: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(features with a weight, their weights, thresholds) of the most likely model: feature ``at[k]`` is in row ``owner[k]``."""
     w, low, gap = np.zeros(len(used)), -1.0, np.log(0.5)
     m, v = np.zeros(len(used) + 2), np.zeros(len(used) + 2)
     share = np.bincount(y, minlength=GRADES) / len(y)
@@ -174,7 +192,7 @@ def fitted(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE, id_col: str
         move = pace * (m / (1 - 0.9**step))
         w, low, gap = w + move[:-2], low + move[-2], gap + move[-1]
         w = np.sign(w) * np.maximum(np.abs(w) - lasso * pace[:-2], 0)
-    return Model(used[w != 0].astype(np.int64), w[w != 0], np.array([low, low + np.exp(gap)]))
+    return used[w != 0].astype(np.int64), w[w != 0], np.array([low, low + np.exp(gap)])
 
 
 def scored(docs: DataFrame, model: Model, keep: float = KEEP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
