@@ -67,10 +67,10 @@ def candidates(index: DataFrame, literal: str) -> DataFrame:
     return index.filter(F.col("tri").isin(wanted)).groupBy("id").agg(F.count("*").alias("n")).filter(F.col("n") == len(wanted)).select("id")
 
 
-def store_postings(index: DataFrame, at: str, buckets: int = 64, spread: int = 4) -> None:
+def store_postings(index: DataFrame, at: str, buckets: int = 64, spread: int = 64) -> None:
     """Write postings in buckets of trigrams, sorted by trigram and id: Parquet keeps such ids as gaps, and its statistics skip the rest of
-    a bucket. A frequent trigram's ids are in ``spread`` files."""
-    dealt = index.withColumn("bucket", _bucket(F.col("tri"), buckets)).repartition(buckets * spread, "bucket", F.pmod(F.xxhash64("id"), F.lit(spread)))
+    a bucket. A bucket, and with it a frequent trigram, is dealt to ``spread`` keys by the ids; small ones are put together again by Spark."""
+    dealt = index.withColumn("bucket", _bucket(F.col("tri"), buckets)).repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(spread)))
     dealt.sortWithinPartitions("bucket", "tri", "id").write.partitionBy("bucket").option("parquet.writer.version", "v2").option("parquet.block.size", 4 << 20).mode("overwrite").parquet(at)
 
 

@@ -182,7 +182,8 @@ def _written(spark: SparkSession, sf_dir: str, value) -> str:
     """Documents as text files in folders by source and language; the files' names are Spark's own."""
     d = catalog.table(spark, sf_dir, "documents").select(value.alias("value"), F.coalesce("source", F.lit("none")).alias("source"), F.coalesce("lang", F.lit("none")).alias("lang"))
     at = shared.fresh(spark, "tree")
-    d.repartition("source", "lang").write.partitionBy("source", "lang").text(at)
+    # A frequent source is dealt to several files.
+    d.repartition("source", "lang", F.pmod(F.xxhash64("value"), F.lit(16))).write.partitionBy("source", "lang").text(at)
     return at
 
 

@@ -81,7 +81,7 @@ def stored_postings_search(spark, sf_dir):
     """Postings are stored once and serve several literals; each reads the buckets of its trigrams."""
     d = _table(spark, sf_dir, "documents").select("doc_id", "text")
     at = shared.fresh(spark, "postings")
-    content_index.store_postings(content_index.postings(d), at, 16, 2)
+    content_index.store_postings(content_index.postings(d), at, 16)
     out = None
     for word in ("worthless", "moron", "token="):
         hits = content_index.found(d, content_index.stored_postings(spark, at, word, 16), word).select("doc_id", F.lit(word).alias("word"))
