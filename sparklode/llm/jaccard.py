@@ -44,7 +44,7 @@ PASSES = 4
 #: Counters of n-grams, whatever the size of the corpus, and the parts in which they are summed.
 COUNTERS, PARTS = 1 << 20, 64
 #: Groups that the counts of all tasks are summed in, a part of the counters each, before these are summed.
-LANES = 64
+LANES = 8
 #: Bits of a document's parity bitmap, as longs.
 LONGS = 8
 #: Rows of a class that meet in one task before its members are counted are dealt to so many keys.
@@ -75,21 +75,27 @@ def counted(docs: DataFrame, n: int, text_col: str) -> Order:
                 h, _ = shingles(*utf8(b.column(0).slice(lo, hi - lo)), n)
                 total += np.bincount((h & U64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
         if total.any():
-            yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([x.astype(np.int64).tobytes() for x in total.reshape(PARTS, -1)], pa.binary())], ["part", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([x.tobytes() for x in total.reshape(PARTS, -1)], pa.binary())], ["part", "counts"])
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def added(batches: Iterator[pa.RecordBatch], kind: type) -> Iterator[pa.RecordBatch]:
         # A group is read as it comes, some rows at a time: its memory doesn't grow with the number of tasks before.
         total, part = None, 0
         for b in batches:
             part = b.column("part")[0].as_py()
             for x in b.column("counts"):
-                here = np.frombuffer(x.as_py(), np.int64)
-                total = here.copy() if total is None else total + here
+                here = np.frombuffer(x.as_py(), kind)
+                total = here.astype(np.int64) if total is None else total + here
         yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["part", "counts"])
 
+    def of_tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return added(batches, np.uint32)
+
+    def of_lanes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return added(batches, np.int64)
+
     each = in_batches(docs).select(F.col(text_col).alias("text")).mapInArrow(run, "part int, counts binary")
-    some = each.groupBy("part", F.pmod(F.spark_partition_id(), F.lit(LANES)).alias("lane")).applyInArrow(add, "part int, counts binary")
-    sums = some.groupBy("part").applyInArrow(add, "part int, counts binary").toArrow()
+    some = each.groupBy("part", F.pmod(F.spark_partition_id(), F.lit(LANES)).alias("lane")).applyInArrow(of_tasks, "part int, counts binary")
+    sums = some.groupBy("part").applyInArrow(of_lanes, "part int, counts binary").toArrow()
     total = np.zeros((PARTS, COUNTERS // PARTS), np.int64)
     for part, x in zip(sums["part"].to_pylist(), sums["counts"].to_pylist(), strict=True):
         total[part] = np.frombuffer(x, np.int64)
