@@ -6,8 +6,10 @@ A history has id, created_at, first_copied_at, preview, kind, pinned, pin_key, t
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -257,6 +259,25 @@ def stack_progress(items: Column, pasted: Column) -> Column:
     return F.struct((n - done).alias("remaining"), done.alias("pasted"), F.when(n > 0, done / n).otherwise(F.lit(0.0)).alias("ratio"))
 
 
+def recognised(history: DataFrame, read: Callable[[bytes], str | None], revision: int, patterns: tuple[str, ...] = ()) -> DataFrame:
+    """History (id, image binary, ocr, ocr_revision, ...) with the text of images that no reader of this revision has seen; ``read`` is a
+    plug-in that executors call. Rows whose new text holds an ignored pattern are deleted."""
+    todo = F.col("image").isNotNull() & ~F.coalesce(F.col("ocr_revision") >= revision, F.lit(False))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([read(x) for x in b.column(1).to_pylist()], pa.string())], ["_id", "_text"])
+
+    kind = history.schema["id"].dataType.simpleString()
+    texts = history.filter(todo).select("id", "image").mapInArrow(run, f"_id {kind}, _text string")
+    rows = history.join(texts, history["id"] == texts["_id"], "left")
+    fresh = F.col("_id").isNotNull()
+    rows = rows.withColumns({"ocr": F.when(fresh, F.col("_text")).otherwise(F.col("ocr")), "ocr_revision": F.when(fresh, F.lit(revision)).otherwise(F.col("ocr_revision"))})
+    for p in patterns:
+        rows = rows.filter(~(fresh & F.coalesce(F.rlike("ocr", F.lit(p)), F.lit(False))))
+    return rows.select(history.columns)
+
+
 def repeated_keywords(records: DataFrame) -> DataFrame:
     return records.filter(F.col("keyword").isNotNull()).groupBy(F.lower("keyword").alias("keyword")).agg(F.count("*").alias("n")).filter("n > 1")
 

@@ -6,8 +6,9 @@ One query is one plan: filters reach the scan, ranking is a top-k where a limit
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
+from itertools import islice
 
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
@@ -141,6 +142,17 @@ def _beyond(order: list[str], after: Row) -> Column:
 SORTS = {"name": F.lower, "location": lambda c: F.lower(c), "size": lambda c: c, "modified": lambda c: c, "created": lambda c: c}
 
 
+#: Results that are handed out together.
+NAME_BATCH, CONTENT_BATCH = 16_384, 64
+
+
+def batches(results: DataFrame, size: int = NAME_BATCH) -> Iterator[list[Row]]:
+    """Results in batches, a partition at a time: the caller may stop whenever it has enough."""
+    some = results.toLocalIterator(prefetchPartitions=True)
+    while part := list(islice(some, size)):
+        yield part
+
+
 def sorted_by(rows: DataFrame, by: str, descending: bool = False) -> DataFrame:
     """Results with ``position`` in the order of a column a user chose: name or location without regard to case, size, modified or created; then by node id."""
     key = SORTS[by](F.col({"location": "path"}.get(by, by)))

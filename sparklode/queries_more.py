@@ -147,6 +147,33 @@ def history_difference(spark, sf_dir):
     return up.select("id", F.lit("upsert").alias("change")).unionByName(gone.select("id", F.lit("delete").alias("change")))
 
 
+@query(f"WITH {CLIPS} SELECT id, preview || CASE WHEN kind = 'url' THEN '*' ELSE '' END AS preview, kind FROM clips WHERE kind <> 'image'")
+def history_store(spark, sf_dir):
+    """A history saved, changed, saved again and loaded."""
+    h = catalog.clipboard(spark, sf_dir).select("id", "preview", "kind")
+    store = tables.EncryptedStore(spark, shared.fresh(spark, "history"), "0123456789abcdef", "preview string, kind string")
+    store.save(h)
+    store.save(h.filter("kind != 'image'").withColumn("preview", F.when(F.col("kind") == "url", F.concat("preview", F.lit("*"))).otherwise(F.col("preview"))))
+    return store.load()
+
+
+def _capitals(image: bytes) -> str:
+    return image.decode().translate({k: k - 32 for k in range(97, 123)})
+
+
+@query("""WITH c AS (SELECT conv_id || '-' || turn AS id, turn, translate(role || ' ' || conv_id, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') AS seen FROM conversations)
+SELECT id, CASE turn % 3 WHEN 0 THEN seen WHEN 1 THEN 'old' END AS ocr, CASE turn % 3 WHEN 0 THEN 2 WHEN 1 THEN 2 END::INT AS ocr_revision FROM c WHERE NOT (turn % 3 = 0 AND regexp_matches(seen, 'USER 1'))""")
+def images_recognised(spark, sf_dir):
+    """Images read by a plug-in; some were read before, and a pattern deletes what it finds."""
+    c = _table(spark, sf_dir, "conversations")
+    third = F.col("turn") % 3
+    rows = c.select(
+        F.concat("conv_id", F.lit("-"), "turn").alias("id"), F.when(third != 2, F.encode(F.concat("role", F.lit(" "), "conv_id"), "UTF-8")).alias("image"),
+        F.when(third == 1, "old").alias("ocr"), F.when(third == 1, 2).cast("int").alias("ocr_revision"),
+    )
+    return clipboard.recognised(rows, _capitals, 2, ("USER 1",)).select("id", "ocr", "ocr_revision")
+
+
 # ---------------------------------------------------------------- clipboard and texts
 
 @query(f"WITH {CLIPS} SELECT id FROM clips WHERE pinned OR created_at < epoch(timestamp '2024-01-01 02:00:00')")

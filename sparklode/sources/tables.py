@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from typing import Protocol
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparklode.sources import shared
+
 SNAPSHOT_VERSION = 1
 SNIPPETS = "version int, snippets array<struct<id:string,title:string,text:string,keyword:string,collection:string>>"
 
@@ -69,6 +73,49 @@ def changed_rows(old: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
     return upserts, old.select("id").join(new.select("id"), "id", "left_anti")
 
 
+class HistoryStore(Protocol):
+    """Where a history is kept between sessions."""
+
+    def load(self) -> DataFrame: ...
+
+    def save(self, history: DataFrame) -> None: ...
+
+    def remove(self) -> None: ...
+
+
+class EncryptedStore:
+    """A history (id, ...) as encrypted rows in two folders by turns, so that a save which breaks off leaves the last one whole.
+
+    A save writes only rows that changed anew; the others are carried as they are.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, key: str, schema: str):
+        self.spark, self.path, self.key, self.schema = spark, path.rstrip("/"), key, schema
+
+    def _turn(self) -> int:
+        return max((int(n) for n in shared.names(self.spark, self.path) if "_SUCCESS" in shared.names(self.spark, f"{self.path}/{n}")), default=-1)
+
+    def load(self) -> DataFrame:
+        turn = self._turn()
+        rows = self.spark.read.parquet(f"{self.path}/{turn}") if turn >= 0 else self.spark.createDataFrame([], "id string, payload binary")
+        return decrypted(rows, self.key, self.schema)
+
+    def save(self, history: DataFrame) -> None:
+        turn = self._turn()
+        old = self.load()
+        up, gone = changed_rows(old, history.select(old.columns))
+        new = encrypted(up, self.key)
+        if turn >= 0:
+            kept = self.spark.read.parquet(f"{self.path}/{turn}").join(up.select("id").union(gone), "id", "left_anti")
+            new = new.unionByName(kept)
+        new.write.mode("overwrite").parquet(f"{self.path}/{turn + 1}")
+        if turn >= 0:
+            shared.delete(self.spark, f"{self.path}/{turn}")
+
+    def remove(self) -> None:
+        shared.delete(self.spark, self.path)
+
+
 def printed(results: DataFrame) -> DataFrame:
     """Lines of the command line: a path, and its preview below."""
     line = F.when(F.col("preview").isNull(), F.col("path")).otherwise(F.concat("path", F.lit("\n    ↳ "), "preview"))
