@@ -210,10 +210,16 @@ class LiveIndex:
         return gen
 
     def _forget(self, number: int, before: dict[str, int]) -> None:
-        """Delete logs that neither the base before this batch nor the history needs."""
-        if (old := min(before["log_from"], number - HISTORY) - 1) >= 0:
-            for name in ("work", "roots", "holes", "rows", "retry"):
-                shared.delete(self.spark, f"{self.at}/{name}/batch={old}")
+        """Delete what neither this state, nor the one before (if this batch is tried again), nor the history needs."""
+        gens = {before["gen"], self.state()["gen"]}
+        used = {g for gen in gens for *_, g in self.manifest(gen)}
+        first = min(before["log_from"], number - HISTORY)
+        needed = {"base": lambda n: n in used, "manifest": lambda n: n in gens, "state": lambda n: n >= number - 1}
+        needed |= dict.fromkeys(("work", "roots", "holes", "rows"), lambda n: n >= first) | {"retry": lambda n: n >= number - 1}
+        for name, keep in needed.items():
+            for found in shared.names(self.spark, f"{self.at}/{name}"):
+                if "=" in found and not keep(int(found.split("=")[1])):
+                    shared.delete(self.spark, f"{self.at}/{name}/{found}")
 
     def maintain(self, stream: DataFrame, checkpoint: str, look: Look, trigger: dict | None = None, **most: int) -> StreamingQuery:
         """Keep the index current from a stream of change events."""

@@ -98,6 +98,7 @@ def test_compaction_writes_only_what_the_log_reaches(live):
     assert after == before and index.state()["gen"] == 2 and index.state()["log_from"] == 2
     second = {m[0]: m[2] for m in index.manifest(2)}
     assert set(second) == set(first) and 1 <= sum(g == 2 for g in second.values()) <= 2 and any(g == 0 for g in second.values())
+    assert {n for n in shared.names(index.spark, f"{index.at}/base")} == {"gen=0", "gen=2"} and shared.names(index.spark, f"{index.at}/manifest") == ["v=0", "v=2"]
     disk.files = {}
     assert batch(("/d", FOLDER)) == {p: s for p, s in after.items() if not p.startswith("/d/")}
     # The same batch again gives the same.
