@@ -4,6 +4,8 @@ import tarfile
 import zipfile
 from datetime import datetime
 
+from pyspark.sql import functions as F
+
 from sparklode.sources import extract, tables
 from sparklode.streaming import changes
 
@@ -78,3 +80,10 @@ def test_switches_stream(spark, tmp_path):
     q.awaitTermination(120)
     assert q.exception() is None
     assert [r["action"] for r in spark.read.parquet(str(tmp_path / "out")).orderBy("ts").collect()] == ["start", "end", "start", "switch", "end"]
+
+
+def test_long_journals_are_read_whole(spark, tmp_path):
+    rows = spark.range(500_001).select(F.col("id").alias("event_id"), F.lit("exact").alias("kind"), F.lit("/a").alias("path"))
+    tables.append_journal(rows, str(tmp_path / "j"), 7)
+    assert tables.load_journal(spark, str(tmp_path / "j"), 7).count() == 500_001
+    assert tables.load_journal(spark, str(tmp_path / "j"), 7, 500_000).count() == 0
