@@ -113,7 +113,7 @@ def overlapping(rows: DataFrame, paths: list[str]) -> DataFrame:
 
 def first_by_path(rows: DataFrame) -> DataFrame:
     """One row a path, that with the smallest node id."""
-    n = F.row_number().over(Window.partitionBy("path").orderBy("node_id"))
+    n = F.row_number().over(Window.partitionBy("path").orderBy(F.asc_nulls_last("node_id")))
     return rows.withColumn("_n", n).filter("_n = 1").drop("_n")
 
 

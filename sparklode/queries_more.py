@@ -97,15 +97,16 @@ def signature_search(spark, sf_dir):
 
 @query(f"WITH {EVENTS} SELECT path, min(event_id) AS node_id FROM fs GROUP BY path")
 def partial_snapshot_stream(spark, sf_dir):
-    """What a build has written so far, published as it goes: each path once."""
+    """What a build writes, published as it goes, and what waited when it has ended: each path once."""
     at = shared.fresh(spark, "landing")
     rows = catalog.change_events(spark, sf_dir).select("path", F.col("event_id").alias("node_id"))
-    step = (rows.agg(F.max("node_id")).head()[0] or 0) // 3 + 1
+    step = max((rows.agg(F.max("node_id")).head()[0] or 0) // 3 + 1, 1)
+    third = F.coalesce(F.greatest(F.least(F.floor(F.col("node_id") / step), F.lit(2)), F.lit(0)), F.lit(2))
+    table, checkpoint = shared.fresh(spark, "partial"), shared.fresh(spark, "checkpoint")
     for k in range(3):
-        rows.filter(F.floor(F.col("node_id") / step) == k).coalesce(1).write.mode("append").parquet(at)
-    table = shared.fresh(spark, "partial")
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(at)
-    building.published(stream, table, shared.fresh(spark, "checkpoint"), {"availableNow": True}).awaitTermination()
+        rows.filter(third == k).write.mode("append").parquet(at)
+        building.published(spark.readStream.schema(rows.schema).parquet(at), table, checkpoint, {"availableNow": True}).awaitTermination()
+    building.ended(spark, table, rows.schema.simpleString())
     return building.snapshot(spark, table, rows.schema.simpleString()).select("path", "node_id")
 
 

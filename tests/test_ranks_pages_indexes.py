@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from sparklode.functions import text
 from sparklode.operators import clipboard, content_index, ranks, rules, search
-from sparklode.sources import shared
+from sparklode.queries_more import QUERIES
+from sparklode.sources import catalog, shared
 from sparklode.streaming import building
 
 
@@ -128,3 +129,21 @@ def test_small_columns(spark):
     assert of(clipboard.plain_text(bad)) == "u:v" and of(clipboard.plain_text(F.create_map(F.lit("z"), F.lit(b"z")), F.lit("seen"))) == "seen"
     assert tuple(of(clipboard.stack_progress(F.array(), F.lit(3)))) == (0, 0, 0.0)
     assert of(search.line_of_all(F.lit("one two\r\n two THREE one \nx"), ["three", "ONE"])) == "two THREE one"
+
+
+def test_partial_results_are_whole_when_the_build_ends(spark, monkeypatch):
+    at, table = shared.fresh(spark, "built"), shared.fresh(spark, "partial")
+    for k in range(4):
+        spark.createDataFrame([(f"/{i}" if i != 2 else None, 10 * k + i) for i in range(k, k + 3)], "path string, node_id long").coalesce(1).write.mode("append").parquet(at)
+    stream = spark.readStream.schema("path string, node_id long").option("maxFilesPerTrigger", 1).parquet(at)
+    building.published(stream, table, shared.fresh(spark, "checkpoint"), {"availableNow": True}, most=4).awaitTermination(120)
+    schema = "struct<path:string,node_id:bigint>"
+    assert building.snapshot(spark, table, schema).count() == 4
+    for _ in range(2):
+        building.ended(spark, table, schema)
+        rows = building.snapshot(spark, table, schema).collect()
+        assert sorted((r["path"] or "", r["node_id"]) for r in rows) == [("", 2), ("/0", 0), ("/1", 1), ("/3", 13), ("/4", 24), ("/5", 35)]
+    monkeypatch.setattr(building.published, "__defaults__", (None, 1))
+    got = QUERIES["partial_snapshot_stream"](spark, "/root/testdata/sf0.001")
+    want = catalog.change_events(spark, "/root/testdata/sf0.001").groupBy("path").agg(F.min("event_id").alias("node_id"))
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
