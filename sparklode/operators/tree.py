@@ -16,6 +16,13 @@ def assembled(nodes: DataFrame) -> DataFrame:
     return nodes.withColumn("_q", parent(F.col("path"))).join(up, F.col("_q") == F.col("_p"), "left").withColumn("parent_id", F.coalesce("parent_id", F.lit(-1))).drop("_p", "_q")
 
 
+def parents_counted(nodes: DataFrame) -> DataFrame:
+    """(node_id, path) -> (node_id, parents): how many rows have the path of its parent. Rows of equal paths are counted before they are joined, so that many of them cost no more than one."""
+    up = nodes.groupBy(F.col("path").alias("_p")).agg(F.count("node_id").alias("_n"))
+    rows = nodes.select("node_id", parent(F.col("path")).alias("_q")).groupBy("node_id", "_q").agg(F.count("*").alias("_times"))
+    return rows.join(up, F.col("_q") == F.col("_p"), "left").groupBy("node_id").agg(F.sum(F.coalesce("_n", F.lit(0)) * F.col("_times")).alias("parents"))
+
+
 def resolved(nodes: DataFrame, levels: int = LEVELS) -> DataFrame:
     """(node_id, parent_id, name) -> (node_id, path, depth), walking down from roots (parent_id -1, whose name is a path)."""
     spark = nodes.sparkSession

@@ -52,3 +52,15 @@ def test_contiguous_changes(spark):
     revs = spark.createDataFrame([(2, "/a"), (3, "/b"), (5, "/c")], "rev long, path string")
     assert tree.contiguous_changes(revs, 1).count() == 0
     assert tree.contiguous_changes(revs.filter(F.col("rev") < 4), 1).count() == 2
+
+
+def test_parents_of_equal_paths_are_counted(spark):
+    """A folder that is there many times, with many entries in it: 20 000 rows a side make no 400 million pairs."""
+    n = 20_000
+    nodes = spark.range(n).select("id", F.lit("/a").alias("path")).union(spark.range(n).select(F.col("id") + n, F.concat(F.lit("/a/"), "id"))).toDF("node_id", "path")
+    nodes = nodes.union(spark.createDataFrame([(5, "/a/x"), (None, "/a"), (None, None), (7, "/b/y"), (8, "/a/x/z")], "node_id long, path string"))
+    counts = tree.parents_counted(nodes)
+    assert "NestedLoop" not in counts._jdf.queryExecution().toString()
+    got = {r["node_id"]: r["parents"] for r in counts.collect()}
+    assert len(got) == 2 * n + 1
+    assert got[5] == n and got[7] == 0 and got[8] == 1 and got[None] == 0 and got[0] == 0 and got[n] == n and sum(got.values()) == n * (n + 1) + 1
