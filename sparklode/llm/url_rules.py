@@ -10,19 +10,23 @@ Everything is DataFrame and SQL functions. What is compared to rules are distinc
 
 Defined results. A null URL, or one without ``://``, has an empty host and path, no rule, no tokens, and so the usual verdict. Without
 labels, or with none on these pages, the usual verdict is "allow". Labels of repeated ids count each; a label whose quality and toxic are
-both null counts for "allow". URLs of any length are matched whole; in mining, a labelled URL takes part with up to ``MOST_TOKENS``
-distinct tokens, and one with more is left out (a bound of the fit, as itemsets double with each token). Repeated pages give equal rows;
-other columns are ignored.
+both null counts for "allow". URLs of any length are matched whole, and labelled ones mined whole: as itemsets double with
+each token, FP-growth takes URLs of up to ``MOST_TOKENS`` frequent tokens; where some have more, all are mined level by level instead, without
+the itemsets that can't give a rule that is kept (:func:`by_levels`). Repeated pages give equal rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from math import ceil
 from typing import NamedTuple
 
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparklode.llm.store import Tables
+
 ALLOW, BLOCK = "allow", "block"
 MIN_SUPPORT, MIN_CONFIDENCE, MIN_ROWS, MOST_TOKENS = 0.01, 0.5, 5, 16
 #: Rules are broadcast up to this many; more are joined by shuffle.
@@ -90,13 +94,58 @@ def labelled(pages: DataFrame, labels: DataFrame, page_id: str = "page_id", doc_
     return pages.select(page_id, "url").join(marks, F.col(page_id) == F.col("_id")).select("url", "label")
 
 
-def mined(known: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """(tokens, label, confidence, support) of the rules kept, from (url, label); each holds on at least ``MIN_ROWS`` labelled URLs."""
-    rows = with_parts(known).select(tokens().alias("_t"), "label").filter(F.size("_t") <= MOST_TOKENS)
+def by_growth(rows: DataFrame, total: int, min_support: float, min_confidence: float) -> DataFrame:
+    """(tokens, label, confidence, support) of all rules, from (_t, label), by FP-growth."""
     baskets = rows.select(F.concat("_t", F.array(F.concat(F.lit("label="), "label"))).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
-    rules = model.associationRules.filter(F.startswith(F.get("consequent", F.lit(0)), F.lit("label=")) & (F.round(F.col("support") * baskets.count()) >= MIN_ROWS))
-    rules = rules.select(F.array_sort("antecedent").alias("tokens"), F.substring_index(F.get("consequent", F.lit(0)), "=", -1).alias("label"), "confidence", "support")
+    rules = model.associationRules.filter(F.startswith(F.get("consequent", F.lit(0)), F.lit("label=")) & (F.round(F.col("support") * total) >= MIN_ROWS))
+    return rules.select(F.array_sort("antecedent").alias("tokens"), F.substring_index(F.get("consequent", F.lit(0)), "=", -1).alias("label"), "confidence", "support")
+
+
+def by_levels(bags: DataFrame, total: int, least: int, min_confidence: float) -> DataFrame:
+    """The same from (items, label, w: how many URLs), but for rules that are no surer than one with a token less, and all of whose URLs
+    that one has, or that has no exception.
+
+    Sets of k + 1 tokens are made of sets of k that a URL holds. A set goes on only if it is frequent with a label, has fewer URLs than each
+    set with a token less (or else its rules, and those of all sets above it, are no surer than with that token left out), and has URLs of
+    both labels (or else its rule is sure, and none above it is surer). So tokens that always come together, as in copies, don't multiply.
+    """
+    tables = Tables(bags.sparkSession)
+    held = tables.keep(bags.withColumn("bag", F.monotonically_increasing_id()), "url-bags")
+    of = held.select("bag", "label", "w", F.explode("items").alias("_x")).select("bag", "label", "w", F.array("_x").alias("set"))
+    last, found = None, []
+    for k in range(1, 1 + (held.agg(F.max(F.size("items"))).head()[0] or 0)):
+        of = tables.keep(of, "url-sets")
+        sums = of.groupBy("set").agg(F.sum("w").alias("m"), *(F.sum(F.when(F.col("label") == v, F.col("w")).otherwise(0)).alias(v) for v in (ALLOW, BLOCK)))
+        sums = sums.filter(F.greatest(ALLOW, BLOCK) >= least)
+        if last is not None:
+            part = sums.select("set", "m", F.explode("set").alias("_x")).select("set", "m", F.array_except("set", F.array("_x")).alias("_part"))
+            fewer = part.join(last.select(F.col("set").alias("_part"), F.col("m").alias("_m")), "_part").filter("m < _m").groupBy("set").agg(F.count("*").alias("_parts")).filter(F.col("_parts") == k)
+            sums = sums.join(fewer.select("set"), "set")
+        sums = tables.keep(sums, "url-counts")
+        for v in (ALLOW, BLOCK):
+            found.append(sums.filter(F.col(v) >= least).select(F.col("set").alias("tokens"), F.lit(v).alias("label"), (F.col(v) / F.col("m")).alias("confidence"), (F.col(v) / F.lit(float(total))).alias("support")))
+        last = sums.filter((F.col(ALLOW) < F.col("m")) & (F.col(BLOCK) < F.col("m")))
+        if last.isEmpty():
+            break
+        on = of.join(last.select("set"), "set").select("bag", "label", "w", "set", F.slice("set", 1, k - 1).alias("head"), F.element_at("set", -1).alias("end"))
+        other = on.select("bag", "head", F.col("end").alias("_end"))
+        of = on.join(other, ["bag", "head"]).filter("end < _end").select("bag", "label", "w", F.concat("set", F.array("_end")).alias("set"))
+    return reduce(DataFrame.unionByName, found).filter(F.col("confidence") >= min_confidence)
+
+
+def mined(known: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+    """(tokens, label, confidence, support) of the rules kept, from (url, label); each holds on at least ``MIN_ROWS`` labelled URLs."""
+    rows = with_parts(known).select(tokens().alias("_t"), "label")
+    total = rows.count()
+    # Tokens that FP-growth keeps, and the most of them that a URL has.
+    bags = rows.groupBy(F.array_sort("_t").alias("_t"), "label").agg(F.count("*").alias("w"))
+    often = bags.select(F.explode("_t").alias("_x"), "w").groupBy("_x").agg(F.sum("w").alias("_n")).filter(F.col("_n") >= ceil(min_support * total)).select("_x")
+    bags = bags.select("_t", "label", "w", F.explode("_t").alias("_x")).join(often, "_x").groupBy("_t", "label", "w").agg(F.array_sort(F.collect_list("_x")).alias("items"))
+    if (bags.agg(F.max(F.size("items"))).head()[0] or 0) <= MOST_TOKENS:
+        rules = by_growth(rows, total, min_support, min_confidence)
+    else:
+        rules = by_levels(bags.select("items", "label", "w"), total, max(ceil(min_support * total), MIN_ROWS), min_confidence)
     inside = rules.select("label", "confidence", F.explode("tokens").alias("_x"), "tokens").select("label", F.array_except("tokens", F.array("_x")).alias("_part"), "tokens", "confidence")
     shorter = rules.select(F.col("label").alias("_l"), F.col("tokens").alias("_s"), F.col("confidence").alias("_c"))
     weak = inside.join(shorter, (F.col("label") == F.col("_l")) & (F.col("_part") == F.col("_s")) & (F.col("_c") >= F.col("confidence"))).select("label", "tokens").distinct()
