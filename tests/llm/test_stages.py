@@ -127,3 +127,15 @@ def test_no_rows(spark, odd, data, name):
 def test_encoding_stage(spark, odd):
     got = _stage("pieces")(spark, odd, "")
     assert got.count() == odd.count() and got.filter("NOT round_trip").count() == 0
+
+
+def test_a_driver_half_full_is_eased():
+    """The heap of a driver is collected after a table is written, once half of what it may take is used."""
+    from types import SimpleNamespace
+
+    from sparklode.llm import store
+
+    for free, collected in ((100, []), (600, [])):
+        java = SimpleNamespace(totalMemory=lambda: 700, freeMemory=lambda free=free: free, maxMemory=lambda: 1000, gc=lambda to=collected: to.append(1))
+        store.eased(SimpleNamespace(_jvm=SimpleNamespace(java=SimpleNamespace(lang=SimpleNamespace(Runtime=SimpleNamespace(getRuntime=lambda java=java: java))))))
+        assert len(collected) == (free == 100)
